@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import sentencepiece_codec
+from quillspark.llm import language_id, secret_scan, sentencepiece_codec
 from quillspark.llm.common import table
 
 
@@ -27,8 +27,28 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = language_id.learn(docs.where(language_id.fold() != 1))
+    out = language_id.predict(docs, learned)
+    return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(secret_scan.rendered(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.rendered(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_language_id": op7_language_id,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {}
