@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language_id, secret_scan, sentencepiece_codec
+from quillspark.llm import decontamination, fingerprints, language_id, secret_scan, sentencepiece_codec
 from quillspark.llm.common import table
 
 
@@ -17,6 +17,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        F.col("n_words").cast("long").alias("n_words"),
+        F.size("hits").cast("long").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     out = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path or tokenizer_path("piece_bpe_32k.model"))
     return out.select(
@@ -34,6 +46,20 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(language_id.fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents")))
+    rows = fingerprints.with_anchors(rows, "edited", "edited_anchors").withColumn("edited_sketch", fingerprints.sketch("edited_anchors"))
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.rendered("sketch").alias("fingerprint"),
+        fingerprints.rendered("edited_sketch").alias("edited_fingerprint"),
+        fingerprints.likeness("sketch", "edited_sketch").alias("near_edited"),
+        fingerprints.likeness("sketch", "next_sketch").alias("near_next"),
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -46,9 +72,24 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
+    "op8_fingerprints": op8_fingerprints,
     "op10_secrets": op10_secrets,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from documents),
+b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from benchmark),
+iw as (select distinct item_id, len(words[i:i + 9]) as span, array_to_string(words[i:i + 9], ' ') as win from (select item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) as i from b where len(words) > 0)),
+spans as (select distinct span from iw),
+dw as (select doc_id, i, span, array_to_string(words[i:i + span - 1], ' ') as win from (select doc_id, words, span, unnest(range(1, len(words) - span + 2)) as i from w, spans where len(words) >= span)),
+h as (select dw.doc_id, dw.i, dw.span, iw.item_id from dw join iw on dw.win = iw.win and dw.span = iw.span),
+n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + span)) as p from (select distinct doc_id, i, span from h)) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
+select w.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join n on n.doc_id = w.doc_id left join t on t.doc_id = w.doc_id
+""",
+}
