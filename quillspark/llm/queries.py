@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, secret_scan, sentencepiece_codec
+from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, secret_scan, sentencepiece_codec
 from quillspark.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedupe(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     out = sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), model_path or tokenizer_path("piece_bpe_32k.model"))
     return out.select(
@@ -73,6 +78,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
@@ -91,5 +97,13 @@ n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(rang
 t as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from h) group by doc_id)
 select w.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from w left join n on n.doc_id = w.doc_id left join t on t.doc_id = w.doc_id
+""",
+    "op3_line_dedup": r"""
+with l as (select doc_id, i, lines[i] as line, trim(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
+    from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))),
+k as (select key, min(doc_id) as first from l where length(key) >= 10 group by key having count(distinct doc_id) >= 2),
+m as (select l.doc_id, l.i, l.line, k.first is null or k.first = l.doc_id as stays from l left join k on l.key = k.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where not stays)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where stays), '')) as kept_sha256
+from m group by doc_id
 """,
 }
