@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -24,6 +25,17 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def staging_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    checkpoint_ready(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def checkpoint_ready(spark: SparkSession) -> None:
     """checkpoint() writes to the folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, one is made."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

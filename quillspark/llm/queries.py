@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, secret_scan, sentencepiece_codec
-from quillspark.llm.common import table
+from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, secret_scan, sentencepiece_codec, warc
+from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -65,6 +65,15 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    read = warc.read_archive(spark, path)
+    out = cut(read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "complete"))
+    delete_path(spark, path)
+    return out
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == secret_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -82,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentencepiece": op4_sentencepiece,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
+    "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
 }
 
@@ -105,5 +115,13 @@ k as (select key, min(doc_id) as first from l where length(key) >= 10 group by k
 m as (select l.doc_id, l.i, l.line, k.first is null or k.first = l.doc_id as stays from l left join k on l.key = k.key)
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where not stays)::bigint as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where stays), '')) as kept_sha256
 from m group by doc_id
+""",
+    "op9_warc": r"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+d as (select page_id, octet_length(payload) as n, sha1(payload) as digest from p),
+r as (select digest, max(page_id) as response from d where n >= 1000 group by digest)
+select d.page_id, n::bigint as payload_bytes, d.digest as payload_digest, case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
+    case when response <> page_id then response end as refers_to, true as complete
+from d left join r on r.digest = d.digest
 """,
 }
