@@ -50,8 +50,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about SLICE_BYTES of the given string or binary column; a longer row is a piece of its own."""
+def text_slices(batches: Iterable[pa.RecordBatch], column: int = 1, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about `most` bytes of the given string or binary column; a longer row is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,7 +61,7 @@ def text_slices(batches: Iterable[pa.RecordBatch], column: int = 1) -> Iterator[
         first = 0
         while first < batch.num_rows:
             last = first + 1
-            while last < batch.num_rows and offsets[last + 1] - offsets[first] <= SLICE_BYTES:
+            while last < batch.num_rows and offsets[last + 1] - offsets[first] <= most:
                 last += 1
             yield batch.slice(first, last - first)
             first = last

@@ -61,7 +61,7 @@ def window_text(start: Column, size: int) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """For each row of docs: id, n_words, hits array<int> (0-based word positions), items array<string> (sorted)."""
+    """For each row of docs: id, th (the text's hash), n_words, hits array<int> (0-based word positions), items array<string> (sorted)."""
     if not 0 < gram <= span:
         raise ValueError("0 < gram <= span is needed")
     item_rows = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
@@ -70,7 +70,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     no_hits = [F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items")]
     if not spans:
-        return rows.select(F.col("id").alias(id_col), F.size(words(F.col("text"))).alias("n_words"), *no_hits)
+        return rows.select(F.col("id").alias(id_col), "th", F.size(words(F.col("text"))).alias("n_words"), *no_hits)
     # a span's windows come to about span times the words
     small = F.broadcast if size["bytes"] * span <= BROADCAST_BYTES else lambda df: df
 
@@ -95,7 +95,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = seen.select("id", "th", "window").distinct().join(small(windows), "window").groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.th").eqNullSafe(F.col(f"{b}.th"))
     out = scanned.alias("s").join(hits.alias("h"), same("s", "h"), "left").join(found.alias("f"), same("s", "f"), "left")
-    return out.select(F.col("s.id").alias(id_col), "s.n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("s.id").alias(id_col), "s.th", "s.n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of docs without a hit, all columns as they were."""
+    hit = decontaminate(docs, items, id_col, text_col, **how).where(F.size("hits") > 0).select(F.col(id_col).alias("__id"), F.col("th").alias("__th"))
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__id")) & F.xxhash64(F.col(text_col)).eqNullSafe(F.col("__th")), "left_anti")
 
 
 def _windows(item_rows: DataFrame, spans: list[int], of_span) -> DataFrame:
