@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again.
 
 language_id     documents whose language can't be told (no letters, or too narrow a margin) go
-line_dedup      lines that a smaller document holds too go; n_chars follows the text
+line_dedup      lines that a smaller document holds too go, and documents of which no line stays; n_chars follows the text
 ngram_jaccard   of each group of similar documents the smallest stays
 decontaminate   documents that hold a window of a benchmark item go
 sentencepiece   what stays is encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256
@@ -29,7 +29,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    kept = line_dedup.dedupe(row, keep=("row",))
+    kept = line_dedup.dedupe(row, keep=("row",)).where("n_dropped < n_lines")
     changed = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.char_length("text").cast("long")}
     return kept.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

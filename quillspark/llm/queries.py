@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, secret_scan, sentencepiece_codec, warc
+from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, pii, secret_scan, sentencepiece_codec, warc
 from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
@@ -52,6 +52,17 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None =
     return encoded_digests(table(spark, sf_dir, "documents"), model_path)
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["rank"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, pii.KINDS),
+        F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"),
+        pii.rendered(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs.where(language_id.fold() != 1))
@@ -98,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_pii": op5_pii,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
