@@ -27,7 +27,7 @@ def luminance(colour: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     x, y = luminance(a), luminance(b)
-    return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)
+    return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))  # greatest() skips nulls
 
 
 def is_low_contrast(a: Column, b: Column, enough: float = ENOUGH) -> Column:
