@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,6 +25,12 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value worked out once: a lambda's variable holds a value, whereas a column that is used once in a lambda may be
+    put in there as an expression and worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     checkpoint_ready(spark)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut
+from quillspark.llm.common import ascii_lower, cut, let
 
 SPAN, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -112,5 +112,5 @@ def _windows(item_rows: DataFrame, spans: list[int], of_span) -> DataFrame:
 
 
 def _candidates(span: int, column: str) -> Column:
-    starts = F.filter(positions(F.size("words"), span), lambda i: F.array_contains("prints", F.col(column)[i]))
+    starts = let(F.col(column), lambda prints: F.filter(positions(F.size("words"), span), lambda i: F.array_contains("prints", prints[i])))
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(span).alias("size"), window_text(i, span).alias("window")))

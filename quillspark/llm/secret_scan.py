@@ -17,6 +17,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let
+
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character classes from narrow to wide: the run that is a candidate, and the bits a character that a window must reach.
@@ -27,19 +29,14 @@ ALLOW_PART = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{5}", r"(
 
 KEYWORD = "(?:" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
 PATTERNS = {
-    "assign": (rf"{KEYWORD}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", F.lit(True)),
-    "access": (r"AKIA[A-Z0-9]+", F.lit(True)),
-    "hex": (r"[0-9a-f]{24,}", F.lit(True)),
+    "assign": rf"{KEYWORD}[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
+    "access": r"AKIA[A-Z0-9]+",
+    "hex": r"[0-9a-f]{24,}",
 }
 LOW = 43  # '+', the least character of any class
 SLOTS = 123 - LOW
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value worked out once: a lambda's variable holds a value, not an expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, string, group>> of the leftmost non-overlapping matches; `pattern` has one group at most.
 
@@ -101,7 +98,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.col("__text")
     found = rows.select(
         id_col,
-        *[matches(text, pattern).alias(kind) for kind, (pattern, _) in PATTERNS.items()],
+        *[matches(text, pattern).alias(kind) for kind, pattern in PATTERNS.items()],
         *[matches(text, pattern).alias(f"c_{name}") for name, (pattern, _) in CLASSES.items()],
     )
     long_enough = {"assign": lambda x: F.char_length(x["grp"]) >= 6, "access": lambda x: F.char_length(x["string"]) >= 20, "hex": lambda x: F.char_length(x["string"]) >= 24}
