@@ -16,6 +16,7 @@ are not looked at, and an empty table gives an empty table.
 
 from __future__ import annotations
 
+import codecs
 import itertools
 import re
 from array import array
@@ -50,6 +51,14 @@ def read_vocabulary(model_path: str) -> dict:
     return read | {"standing": codec.standing, "pattern": codec.pattern}  # worked out once, here
 
 
+def utf8(run: bytes) -> str:
+    """Bytes as text; each byte that is no part of a character becomes a replacement character."""
+    return run.decode("utf-8", "each-byte")
+
+
+codecs.register_error("each-byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
+
+
 class PrefixTableCodec:
     """Encodes and decodes with one vocabulary. A token is a piece's text, or a character that has only bytes."""
 
@@ -151,7 +160,7 @@ class PrefixTableCodec:
         return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of any list of ids; bytes that are no UTF-8 become replacement characters."""
+        """The text of any list of ids; each byte that is no UTF-8 becomes a replacement character."""
         text = self.text
         if np.isin(ids, self.high_bytes).any():
             out, run = [], bytearray()
@@ -160,10 +169,10 @@ class PrefixTableCodec:
                     run.append(self.byte_of[i])
                 else:
                     if run:
-                        out.append(run.decode("utf-8", "replace"))
+                        out.append(utf8(run))
                         run.clear()
                     out.append(text[i])
-            whole = "".join(out) + run.decode("utf-8", "replace")
+            whole = "".join(out) + utf8(run)
         else:
             whole = "".join([text[i] for i in ids.tolist()])
         return whole[1:] if whole[:1] == " " else whole
