@@ -175,7 +175,7 @@ class PrefixTableCodec:
             whole = "".join(out) + utf8(run)
         else:
             whole = "".join([text[i] for i in ids.tolist()])
-        return whole[1:] if whole[:1] == " " else whole
+        return whole[1:] if len(ids) and self.names[int(ids[0])].startswith(MARK) else whole  # the mark that encoding put in front
 
 
 _codecs: dict[int, PrefixTableCodec] = {}
