@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, pii, secret_scan, sentencepiece_codec, warc
+from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
 from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
@@ -63,6 +63,16 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
+    """Tokens of every whole document, by line; a token that reaches over a line's end counts for the line of its first character."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    out = token_counts.attribute(docs, vocabulary_path or tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, token_counts.lines(F.col("text")), "first")
+    counts = F.transform("counts", lambda x: x.cast("long"))
+    return out.select("doc_id", "n_tokens", F.size("counts").cast("long").alias("n_sections"), "n_crossing", F.array_join(counts.cast("array<string>"), ",").alias("section_tokens"), F.array_max(counts).alias("most_in_section"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = language_id.learn(docs.where(language_id.fold() != 1))
@@ -110,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_pii": op5_pii,
+    "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
