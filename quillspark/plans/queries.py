@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quillspark.functions import colour, text
 from quillspark.functions import geometry as G
 from quillspark.functions.math_words import integer_words
-from quillspark.operators import closure, inventory, ordered, spatial
+from quillspark.functions import visual
+from quillspark.operators import closure, folds, generation, inventory, ordered, spatial
 from quillspark.plans import compare
 from quillspark.plans.views import BOXES_SQL, COLOURS_SQL, EDITS_SQL, ELEMENTS_SQL, ITEMS_SQL, NODES_SQL, boxes, colours, edits, elements, items, nodes
 from quillspark.session import table
@@ -185,8 +186,6 @@ select 1, s_nationkey, row_number() over (partition by s_nationkey order by s_su
 n as (select file_no, sheet_no, count(*) as k from s group by all), o as (select *, sum(k) over (order by file_no, sheet_no) - k as off from n)
 select s.file_no, s.sheet_no, s.row_no, (off + s.row_no)::bigint as out_row, c1 from s join o on s.file_no = o.file_no and s.sheet_no = o.sheet_no""")
 def union_of_sheets(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     def sheet(name: str, file_no: int, nation: str, key: str, value: str) -> DataFrame:
         order = Window.partitionBy(nation).orderBy(key)
         return table(spark, d, name).select(F.lit(file_no).alias("file_no"), F.col(nation).alias("sheet_no"), F.row_number().over(order).cast("long").alias("row_no"), F.col(value).alias("c1"))
@@ -333,3 +332,86 @@ def autosave_sessions(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     sessions = events.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.min("ts").alias("first"), F.count("*").alias("n"), F.max("event_id").alias("last_event"))
     return sessions.select("user_id", F.col("first").cast("timestamp_ntz").alias("first"), "n", "last_event")
+
+
+@query(rf"""with {ELEMENTS_SQL} select doc_id, idx, case when regexp_matches(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '\b(?:answers?|chapter|section|exercise|problem|review|solutions?|cont)\b') and regexp_matches(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), '^[0-9]+(?:[-.][0-9]+)*\b') then false
+    when idx % 3 = 0 then true when idx % 3 = 1 then length(text) % 2 = 0 or length(trim(text)) > 0 and length(text) % 5 = 0 else idx % 4 > 0 end as real from elements""")
+def real_items(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as elements: images with a target, images with a width at most (kept if it shows), and formulas of which some have no visual node."""
+    rows = elements(spark, d)
+    k, n = F.col("idx") % 3, F.length("text")
+    none = F.lit(None).cast("string")
+    m = F.struct(
+        F.when(k == 0, "word/media/a.png").alias("target"), none.alias("image_target"), none.alias("ole_target"), F.when((k == 1) & (n % 2 == 0), "rId1").alias("rel_id"),
+        F.when(((k == 1) & ((n % 2 == 0) | (n % 5 == 0) & (F.trim("text") != ""))) | (k == 0), "Picture").alias("docpr_name"), none.alias("prog_id"), F.when((k == 2) & (F.col("idx") % 4 == 0), "omml").alias("math_source"),
+        F.when(k == 2, 10.0).alias("width_pt"), F.when(k == 2, 10.0).alias("height_pt"),
+    )
+    role = F.when(k == 2, "equation").otherwise("image")
+    return rows.select("doc_id", "idx", visual.is_real_item(role, F.col("text"), F.lit(False), m).alias("real"))
+
+
+@query(f"""with {BOXES_SQL}, b as (select page, n, l_partkey, l_suppkey, x0 * 612 as x0, y0 * 792 as y0, x1 * 612 as x1, y1 * 792 as y1 from boxes), a as (select *, (x1 - x0) * (y1 - y0) as area from b), m as (select page, coalesce(median(area), 0) as med from a where area > 0 group by page)
+select a.page, n, l_partkey, l_suppkey from a join m on m.page = a.page where not ((y1 - y0 <= 6 and x1 - x0 >= 612 * 0.45) or (x1 - x0 <= 6 and y1 - y0 >= 792 * 0.28)) and not (med > 0 and area >= med * 18 and x1 - x0 >= 612 * 0.55 and y1 - y0 >= 792 * 0.4)""")
+def figure_paint(spark: SparkSession, d: str) -> DataFrame:
+    """Painted boxes without rules and frames, by the median area of their page."""
+    rows = boxes(spark, d)
+    b = F.col("bbox")
+    rows = rows.withColumn("bbox", G.box(b["x0"] * 612, b["y0"] * 792, b["x1"] * 612, b["y1"] * 792)).withColumn("area", G.area(b))
+    medians = rows.where("area > 0").groupBy("page").agg(F.coalesce(F.median("area"), F.lit(0.0)).alias("med"))
+    w, h = F.lit(612.0), F.lit(792.0)
+    return rows.join(medians, "page").where(~visual.is_rule(b, w, h) & ~visual.is_frame(b, F.col("med"), w, h)).select("page", "n", "l_partkey", "l_suppkey")
+
+
+@query(f"""with {ITEMS_SQL}, l as (select * from items where trim(alt_text) = ''), s as (select source, avg(case when role = 'equation' then 1.0 else 0.0 end) >= 0.4 as small from l group by source),
+n as (select l.source, id, row_number() over (partition by l.source order by id) - 1 as at_, case when small then 6 else 24 end as size from l join s on s.source = l.source)
+select source, id, (at_ // size)::bigint as batch, (at_ % size + 1)::int as number from n""")
+def generation_batches(spark: SparkSession, d: str) -> DataFrame:
+    return generation.batches(items(spark, d)).select("source", "id", "batch", "number")
+
+
+@query(f"""with {ITEMS_SQL}, l as (select * from items where trim(alt_text) = ''), s as (select source, avg(case when role = 'equation' then 1.0 else 0.0 end) >= 0.4 as small from l group by source),
+n as (select l.source, id, role, row_number() over (partition by l.source order by id) - 1 as at_, case when small then 6 else 24 end as size from l join s on s.source = l.source)
+select source, id, upper(role[1]) || role[2:] || ' ' || (at_ % size + 1)::varchar || ': item of ' || source as text from n""")
+def generated_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Missing texts from a deterministic stand-in for a generator, batched, asked, and joined back by number."""
+    return generation.generated(items(spark, d).withColumn("hint", F.concat(F.lit("item of "), "source")))
+
+
+@query()
+def list_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as typed list items; a fold, held against plain cases in tests."""
+    n = F.col("l_linenumber")
+    marker = F.when(F.col("l_returnflag") == "N", F.concat(n.cast("string"), F.lit(". x"))).when(F.col("l_returnflag") == "R", F.concat(F.lit("("), F.lower(F.char((96 + n).cast("int"))), F.lit(") x"))).otherwise("plain")
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(_lines()).cast("long").alias("idx"), marker.alias("text"), F.lit(False).alias("numbered"))
+    return folds.list_runs(rows)
+
+
+def _lines() -> WindowSpec:
+    return Window.partitionBy("l_orderkey").orderBy(*ORDER.split(", "))
+
+
+@query()
+def grown_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes clustered by growing unions; order-dependent, held against a plain version in tests."""
+    rows = boxes(spark, d).select("page", F.row_number().over(_pages()).cast("long").alias("n"), "bbox.*")
+    return folds.grown_clusters(rows, 0.05, 0.05)
+
+
+def _pages() -> WindowSpec:
+    return Window.partitionBy("page").orderBy("n", "l_partkey", "l_suppkey")
+
+
+@query()
+def matched_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines matched greedily, tier by tier, with those of the next customer order; a fold, held against plain cases in tests."""
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 2).cast("long").alias("doc_id"), (F.col("l_orderkey") % 2).alias("side"), F.row_number().over(_lines()).cast("long").alias("pos"), F.when(F.col("l_returnflag") == "N", "equation").otherwise("image").alias("role"), F.col("l_linestatus").alias("source_part"), F.array(F.concat(F.lit("/word/media/"), (F.col("l_partkey") % 5).cast("string"))).alias("names"))
+    return folds.match_targets(rows.where("side = 0"), rows.where("side = 1"))
+
+
+@query()
+def filled_previews(spark: SparkSession, d: str) -> DataFrame:
+    """Turns without a place get one from their neighbours, each from those filled before it; a fold, held against plain cases in tests."""
+    turn = F.col("turn")
+    known = F.length("text") % 3 > 0
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("idx"), F.when(known, "text").otherwise("empty").alias("role"), F.when(known, F.floor(turn / 5).cast("long")).alias("page"), F.when(known, (turn % 5) / 5).alias("y0"), F.when(known, (turn % 5) / 5 + 0.1).alias("y1"))
+    return folds.filled_previews(rows)
