@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ("million", "thousand", "")
-SIGNS = {">=": "greater than or equal to", "<=": "less than or equal to", "!=": "not equal to", "=": "equals", "+": "plus", "-": "minus", "*": "times", "/": "divided by", ">": "greater than", "<": "less than", "^": "to the power of", "%": "percent"}
+SIGNS = {
+    ">=": "greater than or equal to", "<=": "less than or equal to", "!=": "not equal to", "<>": "not equal to", "==": "equals", "->": "maps to", "≤": "less than or equal to", "≥": "greater than or equal to",
+    "×": "times", "*": "times", "·": "times", "÷": "divided by", "−": "minus", "–": "minus", "—": "minus", ">": "greater than", "<": "less than", "=": "equals", "+": "plus", "/": "over",
+}
+POWERS = {2: "squared", 3: "cubed"}
 
 
 def integer_words(n: Column) -> Column:
@@ -64,9 +68,21 @@ def spoken_numbers(text: str) -> str:
     return NUMBER.sub(say, text)
 
 
+FRACTION, ROOT = re.compile(r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}"), re.compile(r"\\sqrt\s*\{([^{}]+)\}")
+POWER = re.compile(r"\b([A-Za-z])\s*\^\s*(?:\{\s*(\d+)\s*\}|(\d+)\b)")
+HYPHEN = re.compile(r"(?<=\d)-(?=\d)|(?<=[\w)])-(?=[A-Za-z_(])|(?<=\s)-(?=\s)")
+
+
 def spoken_signs(text: str) -> str:
-    """Signs as words, longer ones first, then the numbers."""
-    spaced = SIGN.sub(lambda m: f" {SIGNS[m[0]]} ", text)
+    """A formula as words: fractions, roots and powers, then signs (longer ones first), then numbers."""
+
+    def power(m: re.Match) -> str:
+        n = int(m[2] or m[3])
+        return f"{m[1]} {POWERS.get(n) or 'to the ' + spoken_integer(n)}"
+
+    while (inner := ROOT.sub(r" square root of \1 ", FRACTION.sub(r" \1 over \2 ", text))) != text:
+        text = inner
+    spaced = SIGN.sub(lambda m: f" {SIGNS[m[0]]} ", HYPHEN.sub(" minus ", POWER.sub(power, text)))
     return " ".join(spoken_numbers(" ".join(spaced.split())).split())
 
 

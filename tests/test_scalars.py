@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import colour, text
 from quillspark.functions import geometry as G
 from quillspark.functions.math_words import integer_words, numbers_as_words, signs_as_words
+from quillspark.functions.responses import without_openings
 from quillspark.plans.compare import ratio, skip_cost
 
 
@@ -59,6 +60,9 @@ def value(spark):
         (lambda: numbers_as_words(F.lit("57.5%")), "fifty seven point five percent"),
         (lambda: numbers_as_words(F.lit("x2")), "x2"),
         (lambda: signs_as_words(F.lit("2+2=5")), "two plus two equals five"),
+        (lambda: signs_as_words(F.lit(r"\frac{x^2}{2} -> y^{5}")), "x squared over two maps to y to the five"),
+        (lambda: signs_as_words(F.lit("7-2")), "seven minus two"),
+        (lambda: without_openings(F.lit("This image shows a cat")), "a cat"),
         (lambda: signs_as_words(F.lit("a >= 3")), "a greater than or equal to three"),
         (lambda: G.size_class_of_points(F.lit(36.0), F.lit(50.0)), "small"),
         (lambda: G.size_class_of_points(F.lit(100.0), F.lit(100.0)), "medium"),
