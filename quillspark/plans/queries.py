@@ -11,7 +11,7 @@ from quillspark.functions import colour, text
 from quillspark.functions import geometry as G
 from quillspark.functions.math_words import integer_words
 from quillspark.functions import visual
-from quillspark.operators import closure, folds, generation, inventory, ordered, spatial
+from quillspark.operators import closure, contrast, folds, generation, inventory, ordered, spatial
 from quillspark.plans import compare
 from quillspark.plans.views import BOXES_SQL, COLOURS_SQL, EDITS_SQL, ELEMENTS_SQL, ITEMS_SQL, NODES_SQL, boxes, colours, edits, elements, items, nodes
 from quillspark.session import table
@@ -415,3 +415,21 @@ def filled_previews(spark: SparkSession, d: str) -> DataFrame:
     known = F.length("text") % 3 > 0
     rows = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), turn.alias("idx"), F.when(known, "text").otherwise("empty").alias("role"), F.when(known, F.floor(turn / 5).cast("long")).alias("page"), F.when(known, (turn % 5) / 5).alias("y0"), F.when(known, (turn % 5) / 5 + 0.1).alias("y1"))
     return folds.filled_previews(rows)
+
+
+@query("""with recursive st as (select p_partkey as id, case when p_partkey >= 3 then p_partkey // 3 end as base, case when p_partkey % 5 = 1 then printf('%06X', p_partkey * 2654435 % 16777216) end as color, case when p_partkey % 7 = 2 then printf('%06X', p_partkey * 7919 % 16777216) end as shading from part),
+cc(id, cur, v) as (select id, base, color from st union all select cc.id, st.base, st.color from cc join st on st.id = cc.cur where cc.v is null),
+gg(id, cur, v) as (select id, base, shading from st union all select gg.id, st.base, st.shading from gg join st on st.id = gg.cur where gg.v is null),
+r as (select l_orderkey, l_linenumber, l_partkey, case when l_linenumber % 4 = 0 then printf('%06X', l_suppkey * 104729 % 16777216) end as color, case when l_suppkey % 9 = 0 then 'yellow' when l_suppkey % 9 = 1 then 'darkBlue' end as highlight,
+    case when l_partkey % 2 = 0 then l_partkey end as rs, case when l_partkey % 3 > 0 then l_suppkey end as ps from lineitem)
+select l_orderkey, l_linenumber, l_partkey, coalesce(r.color, cv.v, '000000') as effective_color, coalesce(case highlight when 'yellow' then 'FFFF00' when 'darkBlue' then '00008B' end, ga.v, gb.v, 'FFFFFF') as ground
+from r left join (select id, v from cc where v is not null) cv on cv.id = coalesce(rs, ps) left join (select id, v from gg where v is not null) ga on ga.id = rs left join (select id, v from gg where v is not null) gb on gb.id = ps""")
+def effective_colours(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as runs, parts as styles that inherit."""
+    code = lambda n, k: F.lpad(F.hex(n * k % 16777216), 6, "0")
+    k = F.col("p_partkey")
+    styles = table(spark, d, "part").select(F.lit(1).alias("doc_id"), k.alias("style_id"), F.when(k >= 3, F.floor(k / 3).cast("long")).alias("based_on"), F.when(k % 5 == 1, code(k, 2654435)).alias("color"), F.when(k % 7 == 2, code(k, 7919)).alias("shading"))
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    none = F.lit(None).cast("string")
+    runs = table(spark, d, "lineitem").select(F.lit(1).alias("doc_id"), "l_orderkey", "l_linenumber", "l_partkey", F.when(n % 4 == 0, code(s, 104729)).alias("color"), F.when(s % 9 == 0, "yellow").when(s % 9 == 1, "darkBlue").alias("highlight"), none.alias("shading"), none.alias("nested_shading"), F.when(p % 2 == 0, p).alias("run_style"), F.when(p % 3 > 0, s).alias("para_style"), F.lit(None).cast("long").alias("table_style"))
+    return contrast.effective(runs, styles).select("l_orderkey", "l_linenumber", "l_partkey", "effective_color", "ground")

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import closure, inventory, ordered, spatial
+from quillspark.operators import closure, contrast, inventory, ordered, spatial
 from quillspark.plans import compare
 
 ITEM = "id long, role string, existing_alt_text string, generated_alt_text string, alt_text string, has_alt_text boolean, alt_source string"
@@ -114,3 +114,11 @@ def test_partitions_do_not_matter(spark, sf):
         results.append(sorted(map(repr, QUERIES["reflow_runs"](spark, sf).collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+def test_repaired_runs(spark):
+    styles = spark.createDataFrame([(1, "base", None, "777777", None), (1, "own", "base", None, "000000"), (1, "loop", "loop", None, None)], "doc_id int, style_id string, based_on string, color string, shading string")
+    schema = "doc_id int, run_no int, color string, highlight string, shading string, nested_shading string, run_style string, para_style string, table_style string"
+    runs = [(1, 0, "000000", None, None, None, None, None, None), (1, 1, None, None, None, None, None, "base", None), (1, 2, None, None, None, None, "own", "base", None), (1, 3, None, "yellow", "000000", None, "loop", "base", None), (1, 4, None, None, None, "000000", None, None, None)]
+    got = {r["run_no"]: (r["effective_color"], r["ground"], r["low"], r["new_color"] is not None) for r in contrast.repaired(spark.createDataFrame(runs, schema), styles).collect()}
+    assert got == {0: ("000000", "FFFFFF", False, False), 1: ("777777", "FFFFFF", True, True), 2: ("777777", "000000", False, False), 3: ("000000", "FFFF00", False, False), 4: ("000000", "000000", True, True)}
