@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut
+from quillspark.llm.common import ascii_lower, cut, let
 
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -195,6 +195,6 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", coun
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *keep)
     rows = rows.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").drop("doc")
     rows = rows.withColumn("__lines", F.split("__text", "\n")).withColumn("__keys", F.when(F.col("__gone").isNotNull(), keyed(F.col("__text"))))
-    stay = F.filter("__lines", lambda line, i: F.col("__keys")[i].isNull() | ~F.array_contains("__gone", F.col("__keys")[i]))
+    stay = let(F.col("__keys"), lambda keys: F.filter("__lines", lambda line, i: keys[i].isNull() | ~F.array_contains("__gone", keys[i])))
     rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stay))
     return rows.select(id_col, F.array_join("__kept", "\n").alias(text_col), F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size("__kept")).alias("n_dropped"), *keep)
