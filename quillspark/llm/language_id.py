@@ -4,6 +4,10 @@ For each language a zstandard raw-content dictionary is made of a bounded sample
 every dictionary, in chunks so that a long text never becomes its own dictionary, and the language whose sizes sum
 to the least wins. The margin to the runner-up, as a share of its size, is the score; narrow margins are rejected.
 
+Labelled texts without a letter teach nothing: a language that has no others is not learned and takes no part. Of a labelled text
+that is too long a piece is sampled, from its first letter on. A language with a small sample keeps all of it and
+bounds no other one's: its dictionary is filled up in front with zero bytes, which no encoded text has, so that all are coded alike.
+
 Defined results: a null text, and a text without a letter, is `und`, scores 0 and is rejected. Equal sizes go to the
 first language in order of name, score 0 and are rejected. Where nothing can be learned, everything is `und`. Rows are handled
 one by one, so repeated rows give repeated results; columns other than those named are not read.
@@ -23,12 +27,14 @@ from pyspark.sql import types as T
 from quillspark.llm.common import text_slices
 
 UNKNOWN = "und"
-#: Labelled rows that may be sampled for each language, the longest of them in bytes, and the bytes of a dictionary.
+#: Labelled rows that may be sampled for each language, the bytes that are taken of one at most, and the bytes of a dictionary.
 SAMPLE_ROWS, SAMPLE_ROW_BYTES, DICTIONARY_BYTES = 200, 20_000, 48_000
 CHUNK_BYTES = 8_000
 #: The least score that is accepted.
 MIN_MARGIN = 0.001
 NO_LETTERS = re.compile(r"[\W\d_]+")
+#: What plain() keeps, as Spark's patterns say it.
+LETTER = r"[\p{L}\p{Nl}\p{No}]"
 LEVEL = 6
 
 
@@ -40,7 +46,9 @@ def plain(text: str) -> bytes:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary for each language, all of one size. The sample is chosen by a hash of the identifier: SAMPLE_ROWS rows of each
     language are expected, whatever the size of the table."""
-    usable = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null").where(F.octet_length("text").between(1, SAMPLE_ROW_BYTES))
+    text = F.col(text_col)
+    piece = F.regexp_extract(text, rf"(?s){LETTER}.{{0,{SAMPLE_ROW_BYTES // 4 - 1}}}", 0)  # a character has 4 bytes at most
+    usable = labelled.select(F.col(id_col).cast("string").alias("id"), text.alias("text"), F.when(F.octet_length(text) <= SAMPLE_ROW_BYTES, text).otherwise(piece).alias("piece"), F.col(lang_col).alias("lang")).where("lang is not null").where(F.col("text").rlike(LETTER))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return {}
@@ -48,11 +56,12 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(grain, grain * SAMPLE_ROWS // n)))])
     rank = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(grain))
     texts: dict[str, list[tuple[int, bytes]]] = {}
-    for r in usable.withColumn("rank", rank).where(F.col("rank") < share[F.col("lang")]).select("lang", "rank", "text").collect():
-        texts.setdefault(r["lang"], []).append((r["rank"], plain(r["text"])))
-    joined = {lang: b" ".join(t for _, t in sorted(found)) for lang, found in texts.items()}
-    size = min(DICTIONARY_BYTES, *map(len, joined.values())) if len(joined) > 1 else DICTIONARY_BYTES
-    return {lang: raw[:size] for lang, raw in sorted(joined.items())}
+    for r in usable.withColumn("rank", rank).where(F.col("rank") < share[F.col("lang")]).select("lang", "rank", "piece").collect():
+        if raw := plain(r["piece"]):
+            texts.setdefault(r["lang"], []).append((r["rank"], raw))
+    joined = {lang: b" ".join(t for _, t in sorted(found))[:DICTIONARY_BYTES] for lang, found in texts.items()}
+    size = max(map(len, joined.values()), default=0)
+    return {lang: raw.rjust(size, b"\0") for lang, raw in sorted(joined.items())}
 
 
 class Coder:

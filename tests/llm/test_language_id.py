@@ -39,3 +39,17 @@ def test_nothing_to_learn(make_docs, spark):
     assert empty == {}
     assert [r["lang_pred"] for r in language_id.predict(make_docs([(1, "the cat")]), empty).collect()] == ["und"]
     assert language_id.predict(make_docs([]), {"en": b"the cat"}).count() == 0
+
+
+def test_tiny_letterless_and_long_labels(spark):
+    """A label with one short text bounds no other dictionary, one without a letter is not learned, one with long texts only is."""
+    english = ["the cat and the dog went to the house of the king", "a ship sailed over the sea with all of its men", "she told them that winter had come early this year"]
+    german = ["der hund und die katze gehen in das haus", "ein schiff fuhr mit allen leuten über das meer", "sie sagte ihnen dass der winter früh gekommen ist"]
+    rows = [(k, " ".join([english[k % 3]] * 20), "en") for k in range(6)] + [(10 + k, " ".join([german[k % 3]] * 20), "de") for k in range(6)]
+    rows += [(20, "ja", "xx"), (21, "1234 <> 5678 !!", "yy"), (22, "0 " * 15_000 + "le chat et le chien sont dans la maison du roi " * 400, "fr")]
+    learned = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert sorted(learned) == ["de", "en", "fr", "xx"] and len(set(map(len, learned.values()))) == 1
+    assert min(len(learned[x].lstrip(b"\0")) for x in ("de", "en", "fr")) > 3000 and learned["xx"].lstrip(b"\0") == b"ja"
+    known = language_id.Coder(learned)
+    for text, lang in [*((x, "en") for x in english), *((x, "de") for x in german), ("le chien et le chat du roi", "fr")]:
+        assert known.predict(text)[0] == lang and known.predict(text)[2]
