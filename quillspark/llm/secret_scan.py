@@ -3,7 +3,8 @@
 Base kinds are patterns. The method adds strings that look random: candidates are runs of a character class; a window slides over each,
 the counts of its characters are kept up by adding the entering and removing the leaving one, and so is the sum of
 c log2 c, from which the window's Shannon entropy follows. A candidate whose best window reaches its class's threshold is a span,
-unless the allow-list suppresses it or a base span or a candidate of an earlier class overlaps it.
+unless the allow-list matches all of it or a base span or a candidate of an earlier class overlaps it. Where the allow-list matches a part
+of it, windows that touch that part don't count, but the others do.
 
 Defined results: a null or empty text has no spans. Offsets count code points; the end is exclusive. Repeated rows give repeated
 results. Only the named columns are read.
@@ -23,7 +24,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Character classes from narrow to wide: the run that is a candidate, and the bits a character that a window must reach.
 CLASSES = {"hex": (r"[0-9A-Fa-f]{20,}", 2.9), "alphanumeric": (r"[A-Za-z0-9]{20,}", 3.55), "base64": (r"[A-Za-z0-9+/_-]{20,}={0,2}", 3.65)}
-#: What a candidate may match in full or in part without being a secret.
+#: What a candidate may match in full without being a secret, and what a window may not touch to count.
 ALLOW_FULL = (r"[A-Za-z]+", r"[0-9]+", r"[A-Za-z]+([-_/][A-Za-z]+)*", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", r"[a-z]+([-_/][a-z0-9]+)*")
 ALLOW_PART = (r"(?i)example|sample|dummy|placeholder|changeme", r"(.)\1{5}", r"(?i)abcdefgh|01234567")
 
@@ -85,7 +86,9 @@ def overlaps(spans: Column, x: Column) -> Column:
 
 
 def random_enough(bits: float) -> Callable[[Column], Column]:
-    return lambda x: best_entropy(x["string"]) >= bits
+    """Does a window between the allow-listed parts (leftmost, not overlapping) reach so many bits?"""
+    parts = "|".join(f"(?:{p})" for p in ALLOW_PART)  # one has a group, which \1 refers to
+    return lambda x: F.exists(F.split(x["string"], parts, -1), lambda piece: (F.char_length(piece) >= WINDOW) & (best_entropy(piece) >= bits))
 
 
 def spanned(kind: str) -> Callable[[Column], Column]:
@@ -105,7 +108,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.select(id_col, F.array_sort(F.concat(*[F.transform(F.filter(kind, long_enough[kind]), spanned(kind)) for kind in PATTERNS])).alias("base"), *[f"c_{name}" for name in CLASSES])
 
     def allowed(x: Column) -> Column:
-        tests = [x["string"].rlike(f"^(?:{p})$") for p in ALLOW_FULL] + [x["string"].rlike(p) for p in ALLOW_PART]
+        tests = [x["string"].rlike(f"^(?:{p})$") for p in ALLOW_FULL]
         any_of = tests[0]
         for t in tests[1:]:
             any_of = any_of | t

@@ -50,3 +50,16 @@ def test_added_spans_and_the_allow_list(make_docs):
     assert got[1] == [(4, 3, 4 + len(secret))]
     assert got[2] == got[3] == got[4] == got[5] == []
     assert len(got[6]) == 1
+
+
+def test_allow_listed_parts_hide_no_other_window(make_docs):
+    rng = random.Random(3)
+    body = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(300))
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQAAACD" + body
+    secret = "q7Zx9Kp2Lm4Nv8Rt1Ws6Yb3Hd5Gf0Jc"
+    rows = [(1, f'"key": "{key}"'), (2, key[:70] + "\n" + key[70:140]), (3, f"use {secret}EXAMPLE{secret} now"), (4, "use q7Zx9KpEXAMPLE2Lm4Nv8Rt1Ws now"), (5, "use q7Zx9Kp2Lm4000000Nv8Rt1Ws6Yb now")]
+    got = {r["doc_id"]: spans(r["added"]) for r in secret_scan.scan(make_docs(rows)).collect()}
+    assert got[1] == [(8, 3, 8 + len(key))]
+    assert got[2] == [(0, 3, 70), (71, 3, 141)]
+    assert got[3] == [(4, 3, 11 + 2 * len(secret))]
+    assert got[4] == got[5] == []
