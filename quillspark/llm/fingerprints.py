@@ -3,8 +3,8 @@
 Tokens are runs of non-blank characters, cut every PIECE characters. A k-mer of tokens is an anchor if the least hash of its
 inner s-mers lies at its first or last place. Whether it does depends on nothing but the k-mer itself, so an edit moves only the anchors
 that touch it and equal passages have equal anchors wherever they stand. A text with fewer than k tokens has one anchor: all
-of them. A fingerprint is the sorted set of the least SKETCH anchor hashes; likeness is the Dice coefficient that the two sketches
-estimate, exact where the texts have no more anchors together than SKETCH.
+of them. A fingerprint is the sorted set of all anchor hashes of a text, whatever its length; likeness is the Dice coefficient of the
+anchors that two texts have in common, matched one to one with their places: a hash's first place with its first, and so on.
 
 Defined results: null is the empty text; a text without tokens has no anchors, and two such texts are alike (1), one and any other text
 are not (0). Equal texts have equal fingerprints. Repeated rows are documents of their own, in order of identifier and
@@ -16,10 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, S, PIECE, SKETCH = 5, 2, 12, 128
+from quillspark.llm.common import let
+
+K, S, PIECE = 5, 2, 12
 #: Rows that share a bucket when the table is dealt out in order, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 100, 32_768
 FIRST = -(1 << 63)
+#: In a placed anchor: the bit that tells the second text from the first.
+SECOND = 1 << 31
 
 
 def tokens(text: Column) -> Column:
@@ -44,19 +48,24 @@ def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) ->
     return df.select(*columns, F.when(F.size(w) < k, whole).otherwise(found).alias(name))
 
 
-def sketch(anchor_column: str | Column) -> Column:
-    column = F.col(anchor_column) if isinstance(anchor_column, str) else anchor_column
-    return F.slice(F.array_sort(F.array_distinct(column["hash"])), 1, SKETCH)
+def placed(anchors: str) -> Column:
+    """array<bigint>, sorted: a hash in the upper half, its place in the lower."""
+    return F.sort_array(F.transform(anchors, lambda x: F.shiftleft(x["hash"].cast("long"), 32).bitwiseOR(x["at"].cast("long"))))
+
+
+def fingerprint(places: str) -> Column:
+    """The sorted set of hashes of placed anchors."""
+    return F.sort_array(F.array_distinct(F.transform(places, lambda x: F.shiftright(x, 32).cast("int"))))
 
 
-def likeness(a: str, b: str) -> Column:
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, SKETCH)
-    share = F.size(F.array_intersect(F.array_intersect(a, b), union)) / F.size(union)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * share / (1 + share))
+def likeness(a: str, b: str, matches: Column | None = None) -> Column:
+    """Dice coefficient of two sets, or of placed anchors of which `matches` pairs what they have in common."""
+    common = F.size(F.array_intersect(a, b) if matches is None else matches)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * common / (F.size(a) + F.size(b)))
 
 
-def rendered(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
+def rendered(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
 def in_order(df: DataFrame, key: str) -> tuple[DataFrame, str]:
@@ -82,13 +91,13 @@ def in_order(df: DataFrame, key: str) -> tuple[DataFrame, str]:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, sketch, and next_text and next_sketch of the following document (of the first, for the last)."""
+    """id, text, places (its placed anchors), and next_text and next_places of the following document (of the first, for the last)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed, bucket = in_order(rows, "key")
-    placed = with_anchors(placed, "text", "anchors").withColumn("sketch", sketch("anchors")).drop("anchors")
+    dealt, bucket = in_order(rows, "key")
+    dealt = with_anchors(dealt.repartition(bucket), "text", "anchors").withColumn("places", placed("anchors")).drop("anchors")  # the texts alone are shuffled
     order = Window.partitionBy(bucket).orderBy("__guest", "key", "text")
     follows = lambda c: F.lead(c).over(order).alias(f"next_{c}")
-    return placed.select("id", "text", "sketch", "__guest", follows("text"), follows("sketch")).where("__guest = 0").drop("__guest")
+    return dealt.select("id", "text", "places", "__guest", follows("text"), follows("places")).where("__guest = 0").drop("__guest")
 
 
 def edited(rows: DataFrame) -> DataFrame:
@@ -98,7 +107,34 @@ def edited(rows: DataFrame) -> DataFrame:
     return rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - quarter), F.substring("next_text", F.lit(1), quarter)))
 
 
+def place_matches(a: Column, b: Column) -> Column:
+    """array<struct<a_at, b_at, hash>> of two columns of placed anchors: the n-th place of a hash in one with its n-th place in the other.
+
+    Both are sorted together, so that a hash's places in a stand in a row and those in b after them."""
+    hash_of = lambda x: F.shiftright(x, 32)
+    is_second = lambda x: x.bitwiseAND(SECOND) != 0
+
+    def paired(both: Column) -> Column:
+        def first_from(least: Column) -> Column:
+            step = lambda acc, middle: F.when(F.get(both, middle) < least, F.struct((middle + 1).alias("low"), acc["high"].alias("high"))).otherwise(F.struct(acc["low"].alias("low"), middle.alias("high")))
+            halves = F.sequence(F.lit(0), F.ceil(F.log2(F.size(both) + 1)).cast("int"))
+            start = F.struct(F.lit(0).alias("low"), F.size(both).alias("high"))
+            return F.aggregate(halves, start, lambda acc, _: step(acc, F.shiftright(acc["low"] + acc["high"], 1)), lambda acc: acc["low"])
+
+        def match(x: Column, i: Column) -> Column:
+            before, after = F.get(both, i - 1), F.get(both, i + 1)
+            again = F.coalesce(hash_of(before) == hash_of(x), F.lit(False)) | F.coalesce((hash_of(after) == hash_of(x)) & ~is_second(after), F.lit(False))
+            start = F.shiftleft(hash_of(x), 32)
+            partner = F.when(again, first_from(start.bitwiseOR(F.lit(SECOND))) + i - first_from(start)).otherwise(i + 1)
+            at = lambda y: y.bitwiseAND(SECOND - 1).cast("int")
+            pair = lambda y: F.when((hash_of(y) == hash_of(x)) & is_second(y), F.struct(at(x).alias("a_at"), at(y).alias("b_at"), hash_of(x).cast("int").alias("hash")))
+            return F.when(~is_second(x), let(F.get(both, partner), pair))
+
+        return F.filter(F.transform(both, match), lambda m: m.isNotNull())
+
+    return let(F.sort_array(F.concat(a, F.transform(b, lambda x: x.bitwiseOR(F.lit(SECOND))))), paired)
+
+
 def positional_matches(a: str, b: str) -> Column:
-    """array<struct<a_at, b_at, hash>>: the anchors of two anchor columns with equal hashes, for aligning the texts."""
-    pairs = F.transform(F.col(a), lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["at"].alias("a_at"), y["at"].alias("b_at"), x["hash"].alias("hash"))))
-    return F.flatten(pairs)
+    """place_matches() of two anchor columns, for aligning the texts."""
+    return place_matches(placed(a), placed(b))

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 from llm_data import prose
 from pyspark.sql import functions as F
@@ -68,3 +69,31 @@ def test_positional_matches(spark):
     df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y")
     found = df.select(F.explode(fingerprints.positional_matches("x", "y")).alias("m")).select("m.*").collect()
     assert found and all(r["b_at"] - r["a_at"] == 2 for r in found)
+
+
+def test_long_texts_are_compared_by_all_their_anchors(spark, tmp_path):
+    """A short passage that two long texts share counts in near_next, and repeated anchors are matched one to one."""
+    passage = prose(5, 60)
+    texts = [(1, prose(11, 3000) + " " + passage + " " + prose(12, 1000)), (2, prose(13, 2000) + " " + passage + " " + prose(14, 900)), (3, "to and fro we go " * 50), (4, "to and fro we go " * 20)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_fingerprints(spark, str(tmp_path)).collect()}
+    df = fingerprints.with_anchors(spark.createDataFrame(texts, "id long, text string"), "text", "a")
+    anchors = {r["id"]: [x["hash"] for x in r["a"]] for r in df.collect()}
+    assert len(anchors[1]) > 1500
+    for i, nxt in ((1, 2), (2, 3), (3, 4), (4, 1)):
+        a, b = Counter(anchors[i]), Counter(anchors[nxt])
+        assert got[i]["fingerprint"] == "".join(f"{x & 0xFFFFFFFF:08X}" for x in sorted(a))
+        assert abs(got[i]["near_next"] - 2 * (a & b).total() / (a.total() + b.total())) < 1e-12
+    assert got[1]["near_next"] > 0 and got[3]["near_next"] < 1
+
+
+def test_repeated_anchors_are_matched_in_order(spark):
+    df = spark.createDataFrame([("to and fro we go " * 9, "to and fro we go " * 4), ("", "a b c d e f"), ("x y", "x y")], "a string, b string")
+    df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y")
+    for r in df.select("x", "y", fingerprints.positional_matches("x", "y").alias("m")).collect():
+        places = [{}, {}]
+        for side, found in zip(places, (r["x"], r["y"]), strict=True):
+            for p in found:
+                side.setdefault(p["hash"], []).append(p["at"])
+        expected = [(i, j, h) for h in places[0] for i, j in zip(places[0][h], places[1].get(h, []))]
+        assert sorted(map(tuple, r["m"])) == sorted(expected)
