@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, with SQL functions only.
 
-Tokens are runs of non-blank characters, cut every PIECE characters. A k-mer of tokens is an anchor if the least hash of its
+Tokens are runs of non-blank characters, up to PIECE of them; in longer runs, and in scripts that are written without blanks, each character is a token, so that
+none depends on where its run begins. A k-mer of tokens is an anchor if the least hash of its
 inner s-mers lies at its first or last place. Whether it does depends on nothing but the k-mer itself, so an edit moves only the anchors
 that touch it and equal passages have equal anchors wherever they stand. A text with fewer than k tokens has one anchor: all
 of them. A fingerprint is the sorted set of all anchor hashes of a text, whatever its length; likeness is the Dice coefficient of the
@@ -22,12 +23,15 @@ K, S, PIECE = 5, 2, 12
 #: Rows that share a bucket when the table is dealt out in order, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 100, 32_768
 FIRST = -(1 << 63)
+#: Thai, Lao, Myanmar, Khmer, kana and ideographs: scripts without blanks between words.
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 #: In a placed anchor: the bit that tells the second text from the first.
 SECOND = 1 << 31
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
+    spaced = rf"[^\s{UNSPACED}]"
+    return F.regexp_extract_all(text, F.lit(rf"(?<!{spaced}){spaced}{{1,{PIECE}}}+(?!{spaced})|\S"), F.lit(0))
 
 
 def with_anchors(df: DataFrame, text: str, name: str, k: int = K, s: int = S) -> DataFrame:
