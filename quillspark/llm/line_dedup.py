@@ -1,14 +1,14 @@
-"""Line deduplication with sharded cuckoo filters over exact reference counts; documents can be added and taken away again.
+"""Line deduplication with sharded cuckoo filters over exact reference counts.
 
-State of an index, three tables in one folder, all of them dealt by the key's shard:
+Three tables, dealt by the key's shard; none is stored between runs:
 
 * `lines`: the keys each document holds (the exact source of every count),
 * `counts`: for each key the documents that hold it and the smallest of them,
 * `filters`: for each shard a cuckoo filter of the keys that at least two documents hold, and beside it those keys' smallest documents.
 
 A document's line goes if its shard's filter knows the key, the exact table confirms it, and a smaller document holds the key. Filters
-have no false negatives, so what one doesn't know stays without a look at the exact table. Inserting adds to counts and filters;
-deleting subtracts, and a key that fewer than two documents still hold leaves its filter.
+have no false negatives, so what one doesn't know stays without a look at the exact table. add_counts() and remove_documents() change
+counts that the caller holds; filters are built anew from the counts by every run. There is no operator yet that inserts into or deletes from stored filters.
 
 Hot lines: counts are pre-aggregated on the map side. A shard's lines are dealt out by document to as many parts as its count
 needs, each beside a copy of the shard's filter and exact entries, so that no task gets more than about PART_LINES lines or SHARD_KEYS shared keys.
