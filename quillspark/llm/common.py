@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -31,6 +32,43 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, join: Callable[[Column, Column], Column] = lambda a, b: a + b) -> Column:
+    """array: each value joined with all before it, by doubling: round k takes in what stands 2^k places before, so that a long array
+    costs n log n steps and nothing is appended. `join` is associative and commutative, such as a sum or greatest."""
+
+    def doubled(now: Column, k: Column) -> Column:
+        return F.transform(now, lambda v, i: F.when(i >= power(k), join(v, F.get(now, i - power(k)))).otherwise(v))
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int"))
+    return F.when(F.size(values) < 2, values).otherwise(F.aggregate(rounds, values, doubled))
+
+
+def power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), k)
+
+
+def count_below(ordered: Column, value: Column) -> Column:
+    """How many of a sorted array's values are less than `value`, by halving."""
+
+    def halved(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        less = F.struct((middle + 1).alias("low"), acc["high"].alias("high"))
+        more = F.struct(acc["low"].alias("low"), middle.alias("high"))
+        return F.when(acc["low"] >= acc["high"], acc).when(F.get(ordered, middle) < value, less).otherwise(more)
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high")), halved, lambda acc: acc["low"])
+
+
+#: Bytes up to which a table is broadcast, measured on the table itself before the join; a larger one is shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, most: int | None = None) -> DataFrame:
+    """df (cut before, as it is counted here), marked for broadcast if its rows of about `row_bytes` each stay within the bound."""
+    return F.broadcast(df) if df.count() * row_bytes <= (BROADCAST_BYTES if most is None else most) else df
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share."""
     checkpoint_ready(spark)
@@ -43,10 +81,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """checkpoint() writes to the folder that the cluster names in spark.checkpoint.dir; only where none is named, as in tests, one is made."""
+    """checkpoint() writes to the folder that the cluster names in spark.checkpoint.dir. Only a local master, whose tasks all see the driver's
+    folders, gets one made where none is named."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 

@@ -1,10 +1,11 @@
+import hashlib
 import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from quillspark.llm import secret_scan
+from quillspark.llm import queries, secret_scan
 
 
 def brute(text):
@@ -63,3 +64,43 @@ def test_allow_listed_parts_hide_no_other_window(make_docs):
     assert got[2] == [(0, 3, 70), (71, 3, 141)]
     assert got[3] == [(4, 3, 11 + 2 * len(secret))]
     assert got[4] == got[5] == []
+
+
+def full_brute(text):
+    """Base and added spans by plain loops: every run of every class, every window recounted."""
+    base = brute(text)
+    free = lambda s, e, spans: all(e <= x or s >= y for x, y in spans)
+    taken, added = [(s, e) for s, _, e in base], []
+    allow = re.compile("|".join(f"(?:{p})$" for p in secret_scan.ALLOW_FULL))
+    for pattern, bits in secret_scan.CLASSES.values():
+        mine = []
+        for m in re.finditer(pattern, text):
+            pieces = [p for p in re.split(r"(?i:example|sample|dummy|placeholder|changeme)|(?:(.)\1{5})|(?i:abcdefgh|01234567)", m[0]) if p]
+            pieces, w = [p for p in pieces if len(p) >= secret_scan.WINDOW], secret_scan.WINDOW
+            best = max((-sum(q * math.log2(q) for q in (x.count(c) / w for c in set(x))) for p in pieces for x in (p[i : i + w] for i in range(len(p) - w + 1))), default=0)
+            if not allow.match(m[0]) and free(m.start(), m.end(), taken) and best >= bits:
+                mine.append((m.start(), m.end()))
+        taken += mine
+        added += mine
+    return base, sorted(base + [(s, 3, e) for s, e in added])
+
+
+def test_query_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest of the tables has no secret
+    shown = lambda spans: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in spans)
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = queries.op10_secrets(spark, sf).collect()
+    assert len(rows) == len(texts) and any(r["spans"] for r in rows)
+    for r in rows:
+        base, spans = full_brute(texts[r["doc_id"]])
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(shown(base).encode()).hexdigest(), shown(spans))
+
+
+def test_megabytes_of_repeats_and_of_matches(make_docs):
+    """No pattern recurses, and nothing is a square of a text's matches."""
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(1, "ab-cd-" * 60_000), (2, "password=abcdefgh " * 20_000), (3, "ab_cd/" * 150_000 + "ab"), (4, "".join(rng.choice(letters) for _ in range(30_000))), (5, "password=Zq9 A1b2C3d4E5f6G7h8I9j0K1l2 " * 10_000)]
+    got = {r["doc_id"]: (r["b"], r["a"]) for r in secret_scan.scan(make_docs(rows)).select("doc_id", F.size("base").alias("b"), F.size("added").alias("a")).collect()}
+    assert got == {1: (0, 0), 2: (20_000, 0), 3: (0, 0), 4: (0, 1), 5: (0, 2_000)}
