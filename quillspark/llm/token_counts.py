@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import text_slices
+from quillspark.llm.common import let, running, text_slices
 
 RULES = ("first", "largest", "split")
 SECTIONS = "array<struct<start:int,end:int>>"
@@ -114,8 +114,11 @@ def attribute(docs: DataFrame, vocabulary_path: str, pattern: str, sections: Col
 def lines(text: Column) -> Column:
     """A text's lines as sections, each with the newline that ends it."""
     sizes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.char_length(x) + 1)
-    placed = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), F.array().cast(SECTIONS).alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["out"], F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end"))).alias("out")))
-    return placed["out"]
+
+    def placed(both: Column) -> Column:
+        return F.transform(both["ends"], lambda end, i: F.struct((end - F.get(both["sizes"], i)).alias("start"), end.alias("end")))
+
+    return let(sizes, lambda n: let(F.struct(n.alias("sizes"), running(n).alias("ends")), placed)).cast(SECTIONS)
 
 
 def fields(*columns: str, between: str = "\n") -> tuple[Column, Column]:

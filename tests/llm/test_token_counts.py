@@ -91,3 +91,10 @@ def test_query(spark, sf, library):
             at += len(line) + 1
         n, crossing, counts = brute(library, text, sections, "first")
         assert (r["n_tokens"], r["n_sections"]) == (n, len(sections)) and r["section_tokens"] == ",".join(str(int(x)) for x in counts)
+
+
+def test_lines_of_a_very_long_text(spark):
+    rows = [(1, "ab\n" * 80_000), (2, ""), (3, None), (4, "a\n\nb")]
+    got = {r["id"]: [tuple(x) for x in r["s"]] for r in spark.createDataFrame(rows, "id int, text string").select("id", token_counts.lines(F.col("text")).alias("s")).collect()}
+    assert got[1] == [(3 * k, 3 * k + 3) for k in range(80_000)] + [(240_000, 240_001)]
+    assert got[2] == got[3] == [(0, 1)] and got[4] == [(0, 2), (2, 3), (3, 5)]
