@@ -32,15 +32,15 @@ SAMPLE_ROWS, SAMPLE_ROW_BYTES, DICTIONARY_BYTES = 200, 20_000, 48_000
 CHUNK_BYTES = 8_000
 #: The least score that is accepted.
 MIN_MARGIN = 0.001
-NO_LETTERS = re.compile(r"[\W\d_]+")
-#: What plain() keeps, as Spark's patterns say it.
-LETTER = r"[\p{L}\p{Nl}\p{No}]"
+NO_WORD = re.compile(r"[\W\d_]+")
+LETTER = r"\p{L}"
 LEVEL = 6
 
 
 def plain(text: str) -> bytes:
-    """What is encoded: lower-cased words of letters alone, so that capitals, digits and ornaments don't count."""
-    return NO_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    """What is encoded: lower-cased words, so that capitals, digits and ornaments don't count; nothing if no character is a letter."""
+    words = NO_WORD.sub(" ", text.lower()).strip()
+    return words.encode("utf-8", "replace") if any(map(str.isalpha, words)) else b""
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
@@ -90,20 +90,30 @@ class Coder:
         return ranked[0][1], score, score >= MIN_MARGIN
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, lang_pred, score and accepted for each row, and the columns named in keep."""
-    schema = T.StructType([*docs.select(F.col(id_col), *keep).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+def with_predictions(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", **names: str) -> DataFrame:
+    """docs, all columns as they were, and three more: lang_pred, score and accepted, under other names where `names` gives them. Each text goes to the tasks once."""
+    called = [names.get(c, c) for c in ("lang_pred", "score", "accepted")]
+    kinds = [T.StringType(), T.DoubleType(), T.BooleanType()]
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    plain_text = docs.columns.index(text_col)
+    schema = T.StructType([*(T.StructField(c, f.dataType) for c, f in zip(columns, docs.schema.fields, strict=True)), *map(T.StructField, called, kinds)])
     made: dict[int, Coder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = made.get(0) or made.setdefault(0, Coder(dictionaries))
-        for piece in text_slices(batches, column=0):
-            found = [coder.predict(x) for x in piece.column(0).to_pylist()]
+        for piece in text_slices(batches, column=plain_text):
+            found = [coder.predict(x) for x in piece.column(plain_text).to_pylist()]
             lang, score, accepted = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([*piece.columns[1:], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
+            yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], schema.names)
+
+    said = docs.toDF(*columns).withColumn(columns[plain_text], F.col(columns[plain_text]).cast("string")).mapInArrow(run, schema)
+    return said.select(*[F.col(c).alias(name) for c, name in zip(columns, docs.columns, strict=True)], *called)
 
-    text = F.col(text_col).cast("string").alias("__text")
-    return docs.select(text, id_col, *keep).mapInArrow(run, schema)
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, lang_pred, score and accepted for each row, and the columns named in keep."""
+    rows = docs.select(F.col(text_col).cast("string").alias("__text"), id_col, *keep)
+    return with_predictions(rows, dictionaries, "__text").drop("__text")
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -53,3 +53,16 @@ def test_tiny_letterless_and_long_labels(spark):
     known = language_id.Coder(learned)
     for text, lang in [*((x, "en") for x in english), *((x, "de") for x in german), ("le chien et le chat du roi", "fr")]:
         assert known.predict(text)[0] == lang and known.predict(text)[2]
+
+
+def test_numerals_and_marks_are_no_letters(make_docs, learned):
+    rows = [(1, "²½ Ⅷ ①"), (2, "① the house of the dog"), (3, "٣٤ ๕"), (4, "__"), (5, "ªº")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(make_docs(rows), learned).collect()}
+    assert [got[i] for i in (1, 3, 4)] == ["und"] * 3 and got[2] == "en" and got[5] != "und"
+
+
+def test_predictions_beside_columns_of_their_names(make_docs, odd_rows, learned):
+    docs = make_docs(odd_rows)
+    said = language_id.with_predictions(docs, learned, lang_pred="__lang", score="__score", accepted="__accepted")
+    assert said.columns == [*docs.columns, "__lang", "__score", "__accepted"]
+    assert sorted(map(repr, said.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
