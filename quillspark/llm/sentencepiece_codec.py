@@ -17,6 +17,7 @@ are not looked at, and an empty table gives an empty table.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import itertools
 import re
 from array import array
@@ -32,8 +33,10 @@ from pyspark.sql import types as T
 from quillspark.llm.common import text_slices
 
 MARK = "▁"
-#: Segments a worker remembers; beyond that it starts anew.
-CACHE_SEGMENTS = 600_000
+#: What a worker remembers, in bytes of Python objects as estimated below; beyond that it starts anew. Segments of some words' length
+#: recur, longer ones hardly do.
+CACHE_BYTES, SEGMENT_BYTES, ENTRY_BYTES = 24 << 20, 64, 200
+PAIRS = 200_000
 
 
 def read_vocabulary(model_path: str) -> dict:
@@ -48,7 +51,8 @@ def read_vocabulary(model_path: str) -> dict:
         raise ValueError("the model normalises text or has pieces that cross words")
     read = {"pieces": pieces, "scores": [model.get_score(i) for i in ids], "kind": kind, "end": model.eos_id()}
     codec = PrefixTableCodec(read)
-    return read | {"standing": codec.standing, "pattern": codec.pattern}  # worked out once, here
+    digest = hashlib.sha256(repr(list(read.items())).encode()).hexdigest()
+    return read | {"digest": digest, "standing": codec.standing, "pattern": codec.pattern}  # worked out once, here
 
 
 def utf8(run: bytes) -> str:
@@ -74,6 +78,7 @@ class PrefixTableCodec:
         self.text = ["" if k == "control" else chr(self.byte_of[i]) if k == "byte" else p.replace(MARK, " ") for i, (p, k) in enumerate(zip(pieces, kind, strict=True))]
         self.pairs: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.cached = 0
         self.alphabet = frozenset(p for p in self.id if len(p) == 1)
         self.names = dict(enumerate(pieces))
         standing = vocabulary.get("standing") or [i for p, i in self.id.items() if self.merged(p) == [p]]  # other pieces never come out of an encoding
@@ -107,7 +112,7 @@ class PrefixTableCodec:
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        if len(self.pairs) > 4 * CACHE_SEGMENTS:
+        if len(self.pairs) >= PAIRS:
             self.pairs.clear()
         names = [self.names[left], self.names[right]]
         known = self.pairs[left << 20 | right] = self.merged("".join(names)) == names
@@ -142,11 +147,13 @@ class PrefixTableCodec:
         return out
 
     def segment_ids(self, segment: str) -> bytes:
-        if len(self.cache) >= CACHE_SEGMENTS:
-            self.cache.clear()
         out = array("i", self.ids(segment)).tobytes()
-        if len(segment) <= 256:
+        if len(segment) <= SEGMENT_BYTES:
+            if self.cached >= CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 0
             self.cache[segment] = out
+            self.cached += ENTRY_BYTES + 4 * len(segment) + len(out)
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -178,14 +185,15 @@ class PrefixTableCodec:
         return whole[1:] if len(ids) and self.names[int(ids[0])].startswith(MARK) else whole  # the mark that encoding put in front
 
 
-_codecs: dict[int, PrefixTableCodec] = {}
+_codecs: dict[str, PrefixTableCodec] = {}
 
 
 def _codec(vocabulary: dict) -> PrefixTableCodec:
-    key = hash((len(vocabulary["pieces"]), vocabulary["pieces"][-1], vocabulary["end"], sum(map(len, vocabulary["pieces"]))))
-    if key not in _codecs:
-        _codecs[key] = PrefixTableCodec(vocabulary)
-    return _codecs[key]
+    """This worker's codec of the vocabulary; it keeps one, since a job uses one."""
+    if vocabulary["digest"] not in _codecs:
+        _codecs.clear()
+        _codecs[vocabulary["digest"]] = PrefixTableCodec(vocabulary)
+    return _codecs[vocabulary["digest"]]
 
 
 def _encoded(codec: PrefixTableCodec, texts: list) -> tuple[list[np.ndarray], pa.ListArray]:

@@ -62,3 +62,17 @@ def test_encode_then_decode(make_docs):
     docs = make_docs([(1, prose(1, 20)), (2, None)])
     encoded = sentencepiece_codec.encode(docs, PATH)
     assert {r["doc_id"]: r["decoded"] for r in sentencepiece_codec.decode(encoded, PATH).collect()} == {1: prose(1, 20), 2: ""}
+
+
+def test_a_worker_tells_vocabularies_of_one_size_apart():
+    one = read_vocabulary(PATH)
+    other = dict(one, scores=[-s for s in one["scores"]], digest="another")
+    assert sentencepiece_codec._codec(one) is sentencepiece_codec._codec(one)
+    assert sentencepiece_codec._codec(dict(one)).score != sentencepiece_codec._codec({k: v for k, v in other.items() if k not in ("standing", "pattern")}).score
+
+
+def test_a_full_cache_starts_anew(library, codec, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_BYTES", 2000)
+    monkeypatch.setattr(sentencepiece_codec, "PAIRS", 20)
+    text = prose(3, 400)
+    assert codec.encode(text).tolist() == library.encode(text, add_eos=True) and len(codec.cache) < 20
