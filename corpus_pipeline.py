@@ -23,8 +23,8 @@ from quillspark.llm.queries import encoded_digests
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned = language_id.learn(docs.where(language_id.fold() != 1))
-    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return language_id.predict(row, learned, keep=("row",)).where("accepted").select("row.*")
+    said = language_id.with_predictions(docs, learned, lang_pred="__lang", score="__score", accepted="__accepted")
+    return said.where("__accepted").select(*docs.columns)
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
