@@ -98,7 +98,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = staging_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    read = warc.read_archive(spark, path)
+    read = warc.read_archive(spark, path, payloads=False)
     out = cut(read.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to", "complete"))
     delete_path(spark, path)
     return out

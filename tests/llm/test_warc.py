@@ -62,6 +62,47 @@ def test_broken_archives_are_told(spark):
     assert records((first.replace("<a>", "<z>"), message[:-9])) == {"<z>": False}  # a cut-off segment
 
 
+def test_archives_from_elsewhere(spark):
+    """Gzipped a record at a time, of any name, with digests in base 32 and records of other types."""
+    import base64
+    import gzip
+
+    body = b"<html>" + b"z" * 3000
+    message = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    told = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    record = lambda head, block: b"WARC/1.0\r\n" + head.encode() + f"\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+    records = [record("WARC-Type: warcinfo\r\nWARC-Record-ID: <i>", b"software: x\r\n"), record(f"WARC-Type: response\r\nWARC-Record-ID: <r>\r\nWARC-Target-URI: http://a/\r\nWARC-Payload-Digest: {told}", message), record(f"WARC-Type: revisit\r\nWARC-Record-ID: <v>\r\nWARC-Refers-To: <r>\r\nWARC-Payload-Digest: {told}", b"")]
+    path = tempfile.mkdtemp(prefix="spark-warc-")
+    with open(f"{path}/crawl-0001.warc.gz", "wb") as f:
+        f.write(b"".join(map(gzip.compress, records)))
+    with open(f"{path}/cut.warc.gz", "wb") as f:
+        f.write(gzip.compress(record("WARC-Type: response\r\nWARC-Record-ID: <c>", message))[:-40])
+    got = {r["record"]: r for r in warc.read_archive(spark, path).collect()}
+    assert {k: r["complete"] for k, r in got.items()} == {"<i>": True, "<r>": True, "<v>": True, "<c>": False}
+    assert bytes(got["<r>"]["payload"]) == body and got["<r>"]["uri"] == "http://a/" and got["<v>"]["payload_bytes"] == len(body)
+    assert got["<v>"]["digest"] == got["<r>"]["digest"] == hashlib.sha1(body).hexdigest()
+
+
+def test_a_hot_payload_and_segments_in_many_places(spark, monkeypatch):
+    """Most pages revisit one; segments of a record lie in several files, or are more than a task holds."""
+    monkeypatch.setattr(warc, "HOLD_BYTES", 3000)
+    rows = [(k, prose(1 if k % 3 else 100 + k, 300)) for k in range(90)]
+    df = spark.createDataFrame([(i, "http://a/", h) for i, h in rows], "page_id long, url string, html string")
+    path = tempfile.mkdtemp(prefix="spark-warc-") + "/a"
+    warc.write_archive(df, path, segment_bytes=300, records_per_file=4)
+    for payloads in (True, False):
+        read = warc.read_archive(spark, path, payloads=payloads)
+        assert collected(read) == brute(rows) and ("payload" in read.columns) == payloads
+
+
+def test_beyond_the_broadcast_bound(spark, pages, monkeypatch):
+    monkeypatch.setattr("quillspark.llm.common.BROADCAST_BYTES", 0)
+    df, rows = pages
+    path = tempfile.mkdtemp(prefix="spark-warc-") + "/a"
+    warc.write_archive(df, path)
+    assert collected(warc.read_archive(spark, path)) == brute(rows)
+
+
 def test_empty_table(spark, pages):
     path = tempfile.mkdtemp(prefix="spark-warc-") + "/a"
     warc.write_archive(pages[0].limit(0), path)
