@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import let
+from quillspark.llm.common import let, power
 
 K, S, PIECE = 5, 2, 12
 #: Rows that share a bucket when the table is dealt out in order, and the most buckets.
@@ -57,14 +57,33 @@ def placed(anchors: str) -> Column:
     return F.sort_array(F.transform(anchors, lambda x: F.shiftleft(x["hash"].cast("long"), 32).bitwiseOR(x["at"].cast("long"))))
 
 
+def numbered(places: str) -> Column:
+    """array<bigint>: a hash in the upper half, and in the lower how many of its places come before this one. Two texts' numbered anchors that
+    are equal are the matches of place_matches(): a hash's first place with its first, and so on."""
+    hash_of = lambda x: F.shiftright(x, 32)
+
+    def counted(hashes: Column) -> Column:
+        # by doubling: after round k, how many of up to 2^k - 1 hashes before are the same
+        def doubled(now: Column, k: Column) -> Column:
+            again = lambda i: F.get(hashes, i - power(k)) == F.get(hashes, i)
+            return F.transform(now, lambda v, i: F.when((i >= power(k)) & again(i), power(k) + F.get(now, i - power(k))).otherwise(v))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(hashes) + 1)).cast("int"))
+        before = F.aggregate(rounds, F.transform(hashes, lambda _: F.lit(0)), doubled)
+        several = let(before, lambda n: F.transform(hashes, lambda h, i: F.shiftleft(h, 32).bitwiseOR(F.get(n, i).cast("long"))))
+        return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.transform(hashes, lambda h: F.shiftleft(h, 32))).otherwise(several)
+
+    return let(F.transform(places, hash_of), counted)
+
+
 def fingerprint(places: str) -> Column:
-    """The sorted set of hashes of placed anchors."""
-    return F.sort_array(F.array_distinct(F.transform(places, lambda x: F.shiftright(x, 32).cast("int"))))
+    """The sorted set of hashes of placed or numbered anchors."""
+    return F.array_distinct(F.transform(places, lambda x: F.shiftright(x, 32).cast("int")))
 
 
-def likeness(a: str, b: str, matches: Column | None = None) -> Column:
-    """Dice coefficient of two sets, or of placed anchors of which `matches` pairs what they have in common."""
-    common = F.size(F.array_intersect(a, b) if matches is None else matches)
+def likeness(a: str, b: str) -> Column:
+    """Dice coefficient of two sets, such as numbered anchors, or placed ones if only what stands in its place shall count."""
+    common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * common / (F.size(a) + F.size(b)))
 
 
@@ -95,13 +114,13 @@ def in_order(df: DataFrame, key: str) -> tuple[DataFrame, str]:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, places (its placed anchors), and next_text and next_places of the following document (of the first, for the last)."""
+    """id, text, places and numbered (its anchors), and next_text and next_numbered of the following document (of the first, for the last)."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt, bucket = in_order(rows, "key")
-    dealt = with_anchors(dealt.repartition(bucket), "text", "anchors").withColumn("places", placed("anchors")).drop("anchors")  # the texts alone are shuffled
+    dealt = with_anchors(dealt.repartition(bucket), "text", "anchors").withColumn("places", placed("anchors")).drop("anchors").withColumn("numbered", numbered("places"))  # the texts alone are shuffled
     order = Window.partitionBy(bucket).orderBy("__guest", "key", "text")
     follows = lambda c: F.lead(c).over(order).alias(f"next_{c}")
-    return dealt.select("id", "text", "places", "__guest", follows("text"), follows("places")).where("__guest = 0").drop("__guest")
+    return dealt.select("id", "text", "places", "numbered", "__guest", follows("text"), follows("numbered")).where("__guest = 0").drop("__guest")
 
 
 def edited(rows: DataFrame) -> DataFrame:

@@ -83,15 +83,16 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.edited(fingerprints.with_next(table(spark, sf_dir, "documents")))
     rows = fingerprints.with_anchors(rows, "edited", "edited_anchors").withColumn("edited_places", fingerprints.placed("edited_anchors"))
-    alike = lambda other: fingerprints.likeness("places", other, fingerprints.place_matches(F.col("places"), F.col(other)))
+    rows = rows.withColumn("edited_numbered", fingerprints.numbered("edited_places"))
     return rows.select(
         F.col("id").alias("doc_id"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.rendered(fingerprints.fingerprint("places")).alias("fingerprint"),
-        fingerprints.rendered(fingerprints.fingerprint("edited_places")).alias("edited_fingerprint"),
-        alike("edited_places").alias("near_edited"),
-        alike("next_places").alias("near_next"),
+        fingerprints.rendered(fingerprints.fingerprint("numbered")).alias("fingerprint"),
+        fingerprints.rendered(fingerprints.fingerprint("edited_numbered")).alias("edited_fingerprint"),
+        fingerprints.likeness("numbered", "edited_numbered").alias("near_edited"),
+        fingerprints.likeness("numbered", "next_numbered").alias("near_next"),
+        fingerprints.likeness("places", "edited_places").alias("in_place_edited"),
     )
 
 

@@ -17,7 +17,7 @@ def test_query_against_brute_force(spark, sf):
         cut = len(text) // 4
         changed = text[: len(text) - cut] + after[:cut]
         assert (rows[i]["n_chars"], rows[i]["edited_sha256"]) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
-        assert 0 <= rows[i]["near_next"] <= 1 and 0 <= rows[i]["near_edited"] <= 1
+        assert 0 <= rows[i]["near_next"] <= 1 and 0 <= rows[i]["in_place_edited"] <= rows[i]["near_edited"] <= 1
     by_text = {}
     for i, text in docs:
         assert by_text.setdefault(text, rows[i]["fingerprint"]) == rows[i]["fingerprint"]
@@ -88,6 +88,22 @@ def test_long_texts_are_compared_by_all_their_anchors(spark, tmp_path):
     assert got[1]["near_next"] > 0 and got[3]["near_next"] < 1
 
 
+def test_numbered_anchors_match_as_placed_ones_do(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(80))) for _ in range(60)] + ["", "a", "to and fro we go " * 40]
+    df = spark.createDataFrame([(a, rng.choice(texts)) for a in texts], "a string, b string")
+    df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y").withColumns({"p": fingerprints.placed("x"), "q": fingerprints.placed("y")})
+    df = df.withColumns({"m": fingerprints.numbered("p"), "n": fingerprints.numbered("q"), "matches": fingerprints.place_matches(F.col("p"), F.col("q"))})
+    for r in df.select("x", "m", F.size(F.array_intersect("m", "n")).alias("common"), F.size("matches").alias("matches")).collect():
+        assert r["common"] == r["matches"]
+        seen = Counter()
+        expected = []
+        for h in sorted(x["hash"] for x in r["x"]):
+            expected.append((h, seen[h]))
+            seen[h] += 1
+        assert [(v >> 32, v & 0xFFFFFFFF) for v in r["m"]] == expected
+
+
 def test_repeated_anchors_are_matched_in_order(spark):
     df = spark.createDataFrame([("to and fro we go " * 9, "to and fro we go " * 4), ("", "a b c d e f"), ("x y", "x y")], "a string, b string")
     df = fingerprints.with_anchors(fingerprints.with_anchors(df, "a", "x"), "b", "y")
