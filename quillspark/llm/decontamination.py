@@ -6,14 +6,14 @@ the same fingerprint on both sides, so nothing long enough is missed, and neighb
 
 1. The items' distinct fingerprints are joined with the documents' distinct fingerprints.
 2. In documents that a hit names, every window with such a fingerprint is extended to its words and joined, as text, with the
-   items' windows. What is equal is contamination; hits are never decided by hashes.
+   items' windows. What is equal is contamination; hits are never decided by hashes. All other documents are read for their number of words alone.
 
-The items' sides are broadcast when the benchmark has at most BROADCAST_BYTES of text, which is checked first; beyond that the same joins
-shuffle. Documents are joined back by identifier and text hash, so that a repeated identifier never mixes texts.
+The items' sides, and the documents that a hit names, are broadcast when they have at most BROADCAST_BYTES, which is checked first; beyond that the same
+joins shuffle. Documents are joined back by identifier and text hash, so that a repeated identifier never mixes texts.
 
 Defined results: a null or empty text, or one of separators only, has no words and no hits; items without words count for nothing. Items
-repeated under one identifier count once; equal items under several identifiers all count. Each row of the input gives one row, also
-for null or repeated identifiers. An empty benchmark contaminates nothing. Only the named columns are read.
+repeated under one identifier count once; equal items under several identifiers all count. Items whose identifier is null are one item, named by the empty
+string. Each row of the input gives one row, also for null or repeated identifiers. An empty benchmark contaminates nothing. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -64,7 +64,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """For each row of docs: id, th (the text's hash), n_words, hits array<int> (0-based word positions), items array<string> (sorted)."""
     if not 0 < gram <= span:
         raise ValueError("0 < gram <= span is needed")
-    item_rows = items.select(F.col(item_col).cast("string").alias("item"), words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
+    item_rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(item_text_col)).alias("words")).where(F.size("words") > 0)
     size = item_rows.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words")).alias("bytes"), F.collect_set(F.least(F.size("words"), F.lit(span))).alias("spans")).first()
     spans = sorted(size["spans"])
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
@@ -81,20 +81,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     doc_prints, by_span = with_fingerprints(rows.select("id", "th", words(F.col("text")).alias("words")), spans, gram)
     met = doc_prints.select("id", "th", F.explode(F.array_distinct(F.concat(*by_span.values()))).alias("print")).join(small(item_prints), "print", "left_semi")
-    met = met.groupBy("id", "th").agg(F.collect_set("print").alias("prints"))
+    met = cut(met.groupBy("id", "th").agg(F.collect_set("print").alias("prints")))
+    bytes_met = met.agg(F.sum(8 * F.size("prints") + 40)).first()[0] or 0
+    named = F.broadcast(met) if bytes_met <= BROADCAST_BYTES else met
 
-    both = rows.alias("r").join(met.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & F.col("r.th").eqNullSafe(F.col("m.th")), "left").select("r.id", "r.th", words(F.col("text")).alias("words"), "prints")
-    both, by_span = with_fingerprints(both.select("id", "th", "prints", "words"), spans, gram)
-    none = F.array().cast("array<struct<start:int,size:int,window:string>>")
-    candidates = F.concat(*[_candidates(s, m) for s, m in by_span.items()])
-    scanned = cut(both.select("id", "th", F.size("words").alias("n_words"), F.when(F.col("prints").isNotNull(), candidates).otherwise(none).alias("candidates")))
+    both = rows.alias("r").join(named.alias("m"), F.col("r.id").eqNullSafe(F.col("m.id")) & F.col("r.th").eqNullSafe(F.col("m.th"))).select("r.id", "r.th", words(F.col("text")).alias("words"), "prints")
+    both, by_span = with_fingerprints(both, spans, gram)
+    scanned = cut(both.select("id", "th", F.concat(*[_candidates(s, m) for s, m in by_span.items()]).alias("candidates")))
 
-    seen = scanned.where(F.size("candidates") > 0).select("id", "th", F.explode("candidates").alias("c")).select("id", "th", "c.start", "c.size", "c.window")
+    seen = scanned.select("id", "th", F.explode("candidates").alias("c")).select("id", "th", "c.start", "c.size", "c.window")
     hits = seen.join(small(windows.select("window").distinct()), "window", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
     hits = hits.select("id", "th", F.array_sort(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))).alias("hits"))
     found = seen.select("id", "th", "window").distinct().join(small(windows), "window").groupBy("id", "th").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    counted = rows.select("id", "th", F.size(words(F.col("text"))).alias("n_words"))
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & F.col(f"{a}.th").eqNullSafe(F.col(f"{b}.th"))
-    out = scanned.alias("s").join(hits.alias("h"), same("s", "h"), "left").join(found.alias("f"), same("s", "f"), "left")
+    out = counted.alias("s").join(hits.alias("h"), same("s", "h"), "left").join(found.alias("f"), same("s", "f"), "left")
     return out.select(F.col("s.id").alias(id_col), "s.th", "s.n_words", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

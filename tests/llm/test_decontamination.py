@@ -18,7 +18,7 @@ def brute(rows, items):
     for item, text in items:
         w = words(text)
         for i in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[i : i + 10]), set()).add(str(item))
+            windows.setdefault(tuple(w[i : i + 10]), set()).add("" if item is None else str(item))
     out = []
     for i, text in rows:
         w, hit, found = words(text), set(), set()
@@ -35,7 +35,7 @@ def collected(df):
     return sorted(((r["doc_id"], r["n_words"], r["hits"], r["items"]) for r in df.collect()), key=repr)
 
 
-ITEMS = [(1, prose(1, 40)), (2, prose(2, 12)), (3, "Alpha1, beta2"), (4, ""), (5, None), (6, "one two three four five six seven"), (10, prose(2, 12)), (2, prose(2, 12)), (7, "same " * 12)]
+ITEMS = [(1, prose(1, 40)), (2, prose(2, 12)), (3, "Alpha1, beta2"), (4, ""), (5, None), (6, "one two three four five six seven"), (10, prose(2, 12)), (2, prose(2, 12)), (7, "same " * 12), (None, prose(3, 14)), (None, prose(4, 11))]
 
 
 @pytest.fixture(scope="module")
@@ -48,7 +48,7 @@ def planted(odd_rows):
     w = prose(1, 40).split()
     return odd_rows + [
         (20, prose(7, 30) + " " + " ".join(w[5:15]) + ". " + prose(8, 30)), (21, " ".join(w[5:14])), (22, "x ALPHA1-beta2 y " * 3), (23, "one two three four five six seven"), (24, "one two three four five six"),
-        (25, prose(2, 12) + " " + prose(2, 12)), (26, "same " * 30), (27, prose(1, 40) + " tail"),
+        (25, prose(2, 12) + " " + prose(2, 12)), (26, "same " * 30), (27, prose(1, 40) + " tail"), (28, "x " + prose(3, 14)), (29, prose(4, 11) + " " + prose(1, 40)),
     ]
 
 
