@@ -1,31 +1,38 @@
-"""Line deduplication with sharded cuckoo filters over exact reference counts.
+"""Line deduplication with sharded cuckoo filters over exact reference counts, kept in an index that documents enter and leave.
 
-Three tables, dealt by the key's shard; none is stored between runs:
+An index is a folder of three Parquet tables:
 
 * `lines`: the keys each document holds (the exact source of every count),
-* `counts`: for each key the documents that hold it and the smallest of them,
-* `filters`: for each shard a cuckoo filter of the keys that at least two documents hold, and beside it those keys' smallest documents.
+* `counts`: for each key how often documents hold it, and the smallest and largest of them,
+* `filters`: for each shard a cuckoo filter of its shared keys, those that two documents or more hold.
+
+insert() adds a batch's lines to the counts and puts keys that have become shared into the filters of their shards. delete() takes documents
+out: the keys that they held are counted anew from the lines that are left, and what is no longer shared is taken out of the filters. Only filters that
+change are unpacked; one that is full is built anew from the exact counts of its shard. Every change writes a new version beside the old one and
+is done when its last table is, so that a job that dies leaves the index as it was. Inserting and then deleting the same documents
+gives the same lines and counts, filters of the same keys, and so the same results.
 
 A document's line goes if its shard's filter knows the key, the exact table confirms it, and a smaller document holds the key. Filters
-have no false negatives, so what one doesn't know stays without a look at the exact table. add_counts() and remove_documents() change
-counts that the caller holds; filters are built anew from the counts by every run. There is no operator yet that inserts into or deletes from stored filters.
+have no false negatives, so what one doesn't know stays and never reaches the join with the exact table.
 
-Hot lines: counts are pre-aggregated on the map side. A shard's lines are dealt out by document to as many parts as its count
-needs, each beside a copy of the shard's filter and exact entries, so that no task gets more than about PART_LINES lines or SHARD_KEYS shared keys.
+Hot lines: counts are pre-aggregated on the map side. A shard's lines are dealt out by document to as many parts as its number of lines
+needs, each beside a copy of the shard's filter, so that no task gets more than about PART_LINES lines; the join with the exact table
+is a plain one that Spark can split.
 
 Defined results: a null or empty text is one empty line. Lines end at \\n only. A line's key is the line without blanks at its ends, A-Z
 lower-cased; keys of fewer than MIN_KEY code points never go. Rows that repeat an identifier are one document to the counts, and
-each row gives its own result; a null identifier counts as the smallest. Only the named columns are read.
+each row gives its own result; a null identifier counts as the smallest. A document that is inserted again holds the lines of both its texts.
+Deleting what the index doesn't hold changes nothing. Only the named columns are read; names that begin with two underscores are the operator's own.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut, let
+from quillspark.llm.common import ascii_lower, broadcast_if_small, count_below, cut, delete_path, let, staging_path
 
 MIN_KEY = 10
 BLANKS = " \t\n\x0b\x0c\r"
@@ -130,71 +137,159 @@ def reference_counts(lines: DataFrame) -> DataFrame:
     return lines.groupBy("a", "b").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
 
 
-def add_counts(counts: DataFrame, more: DataFrame) -> DataFrame:
-    """The counts of two disjoint sets of documents together."""
-    return counts.unionByName(more).groupBy("a", "b").agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"), F.max("last").alias("last"))
-
-
-def remove_documents(counts: DataFrame, lines: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts and lines without the documents whose ids (column `doc`) are in `gone`. Only keys that a gone document held are
-    counted anew, since their smallest document may have left; the others are kept as they are."""
-    gone = gone.select("doc").distinct()
-    left = lines.join(gone, "doc", "left_anti")
-    touched = lines.join(gone, "doc", "left_semi").select("a", "b").distinct()
-    again = reference_counts(left.join(touched, ["a", "b"], "left_semi"))
-    return counts.join(touched, ["a", "b"], "left_anti").unionByName(again), left
-
-
-def filters(counts: DataFrame, shards: int) -> DataFrame:
-    """shard, parts, filter, a, b, first (each shard's shared keys as packed int64) of the keys that two documents or more hold."""
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        a = rows["a"].to_numpy(dtype=np.int64)
-        order = np.argsort(a, kind="stable")
-        packed = {c: rows[c].to_numpy(dtype=np.int64)[order].tobytes() for c in ("a", "b", "first")}
-        parts = int(-(-int(rows["n_docs"].sum()) // PART_LINES))
-        return pd.DataFrame([{"shard": int(rows["shard"].iloc[0]), "parts": parts, "filter": CuckooFilter.of(np.unique(a).view(np.uint64)).to_bytes()} | packed])
-
-    shared = counts.where("first < last").withColumn("shard", shard_of(shards))
-    return shared.select("shard", "a", "b", "first", "n_docs").groupBy("shard").applyInPandas(build, "shard int, parts int, filter binary, a binary, b binary, first binary")
+def filter_keys(rows: pd.DataFrame) -> np.ndarray:
+    """One uint64 for each key, of both its hashes."""
+    a, b = (rows[c].to_numpy(dtype=np.int64).view(np.uint64) for c in ("a", "b"))
+    return a ^ (b * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shard_of(shards: int) -> Column:
     return F.pmod(F.col("b"), F.lit(shards)).cast("int")
 
 
-def dropped(lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """doc, a, b of every line key that a smaller document holds too."""
-    shared = counts.where("first < last")
-    shards = max(1, -(-shared.count() // SHARD_KEYS))
-    built = cut(filters(shared, shards))
-
-    def probe(mine: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine) or not len(state):
-            return mine.iloc[:0][["doc", "a", "b"]]
-        s = state.iloc[0]
-        a = mine["a"].to_numpy(dtype=np.int64)
-        mine = mine[CuckooFilter.from_bytes(s["filter"]).contains(a.view(np.uint64))]
-        a, b, doc = (mine[c].to_numpy(dtype=np.int64) for c in ("a", "b", "doc"))
-        known = pd.DataFrame({c: np.frombuffer(s[c], dtype=np.int64) for c in ("a", "b", "first")})
-        met = pd.DataFrame({"doc": doc, "a": a, "b": b}).merge(known, on=["a", "b"])
-        return met.loc[met["first"] < met["doc"], ["doc", "a", "b"]]
-
-    parts = built.select("shard", "parts")
-    dealt = lines.withColumn("shard", shard_of(shards)).join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("parts")
-    copies = built.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    return dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "doc long, a long, b long")
-
-
-def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text without the lines that go, n_lines, n_dropped, and the columns named in keep. `counts` of a larger collection that
-    holds these documents may be given; else they are those of docs."""
-    lines = line_keys(docs, id_col, text_col)
-    counts = cut(reference_counts(lines)) if counts is None else counts
-    gone = dropped(lines, counts).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *keep)
-    rows = rows.join(gone, F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)) == F.col("doc"), "left").drop("doc")
-    rows = rows.withColumn("__lines", F.split("__text", "\n")).withColumn("__keys", F.when(F.col("__gone").isNotNull(), keyed(F.col("__text"))))
-    stay = let(F.col("__keys"), lambda keys: F.filter("__lines", lambda line, i: keys[i].isNull() | ~F.array_contains("__gone", keys[i])))
-    rows = rows.withColumn("__kept", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stay))
-    return rows.select(id_col, F.array_join("__kept", "\n").alias(text_col), F.size("__lines").alias("n_lines"), (F.size("__lines") - F.size("__kept")).alias("n_dropped"), *keep)
+def built_filters(shared: DataFrame, shards: int) -> DataFrame:
+    """shard, filter (null for a shard without shared keys) of all shards, from the exact keys."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"shard": int(rows["shard"].iloc[0]), "filter": CuckooFilter.of(filter_keys(rows)).to_bytes()}])
+
+    built = shared.select("a", "b", shard_of(shards).alias("shard")).groupBy("shard").applyInPandas(build, "shard int, filter binary")
+    return shared.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard")).join(built, "shard", "left")
+
+
+def changed_filters(filters: DataFrame, changes: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
+    """filters with the keys of changes (a, b, comes) put in or taken out; only shards that change are looked into."""
+
+    def change(before: pd.DataFrame, mine: pd.DataFrame) -> pd.DataFrame:
+        shard, raw, keys = int(mine["shard"].iloc[0]), before["filter"].iloc[0], filter_keys(mine)
+        comes = mine["comes"].to_numpy(dtype=bool)
+        if raw is None:
+            made: CuckooFilter | None = CuckooFilter.of(keys[comes])
+        else:
+            made = CuckooFilter.from_bytes(raw)
+            made.delete(keys[~comes])
+            made = made if made.insert(keys[comes]) else None
+        return pd.DataFrame([{"shard": shard, "filter": made and made.to_bytes(), "full": made is None}])
+
+    changes = cut(changes.select("a", "b", "comes", shard_of(shards).alias("shard")))
+    touched = changes.select("shard").distinct()
+    done = filters.join(touched, "shard", "left_semi").groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(change, "shard int, filter binary, full boolean")
+    done = cut(done)
+    full = done.where("full").select("shard")
+    again = built_filters(shared.join(full, shard_of(shards) == full["shard"], "left_semi"), shards).join(full, "shard", "left_semi")
+    return filters.join(touched, "shard", "left_anti").unionByName(done.where("not full").drop("full")).unionByName(again)
+
+
+class LineIndex:
+    """The lines, counts and filters of a set of documents, in the newest version under `path`, a folder that all executors share."""
+
+    TABLES = ("lines", "counts", "filters")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.version = max(self._versions(), default=0)
+
+    def _versions(self) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        store = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not store.exists(at):
+            return []
+        found = [int(x.getPath().getName()) for x in store.listStatus(at)]
+        return [v for v in found if store.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{v}/filters/_SUCCESS"))]
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.version}/{name}")
+
+    def shared(self) -> DataFrame:
+        return self.table("counts").where("first < last")
+
+    def _write(self, lines: DataFrame, counts: DataFrame, filters) -> None:
+        """A new version; filters(shared, shards) is called when lines and counts are written."""
+        at = f"{self.path}/{self.version + 1}"
+        read = lambda name, df: (df.write.mode("overwrite").parquet(f"{at}/{name}"), self.spark.read.parquet(f"{at}/{name}"))[1]
+        lines = read("lines", lines)
+        counts = read("counts", counts(lines) if callable(counts) else counts)
+        filters(counts.where("first < last")).write.mode("overwrite").parquet(f"{at}/filters")
+        self.version += 1
+
+    def _filters(self, changes: DataFrame):
+        """What makes the next version's filters: the old ones changed, or all of them anew where shards have become too large."""
+        old = self.table("filters")
+        shards = old.count()
+
+        def made(shared: DataFrame) -> DataFrame:
+            needed = shards_for(shared)
+            return built_filters(shared, needed) if needed > 4 * shards else changed_filters(old, changes, shared, shards)
+
+        return made
+
+    def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
+        new = line_keys(docs, id_col, text_col)
+        if not self.version:
+            self._write(new, reference_counts, lambda shared: built_filters(shared, shards_for(shared)))
+            return
+        new = cut(new)
+        more = reference_counts(new).withColumn("was", F.lit(False))
+        both = self.table("counts").withColumn("was", F.col("first") < F.col("last")).unionByName(more).groupBy("a", "b")
+        both = cut(both.agg(F.sum("n_docs").alias("n_docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("was").alias("was")))
+        risen = both.where("first < last and not was").select("a", "b", F.lit(True).alias("comes"))
+        self._write(self.table("lines").unionByName(new), both.drop("was"), self._filters(risen))
+
+    def delete(self, gone: DataFrame, id_col: str = "doc_id") -> None:
+        """Takes out the documents whose identifiers are in `gone`. Only keys that one of them held are counted anew."""
+        if not self.version:
+            return
+        ids = gone.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc")).distinct()
+        lines, counts = self.table("lines"), self.table("counts")
+        left = lines.join(ids, "doc", "left_anti")
+        touched = cut(lines.join(ids, "doc", "left_semi").select("a", "b").distinct())
+        again = cut(reference_counts(left.join(touched, ["a", "b"], "left_semi")))
+        fallen = self.shared().join(touched, ["a", "b"], "left_semi").join(again.where("first < last"), ["a", "b"], "left_anti").select("a", "b", F.lit(False).alias("comes"))
+        self._write(left, counts.join(touched, ["a", "b"], "left_anti").unionByName(again), self._filters(fallen))
+
+    def dropped(self, lines: DataFrame | None = None) -> DataFrame:
+        """doc, a, b of every line key (of the documents that the index holds, or of these lines) that a smaller document of the index holds too."""
+        lines = self.table("lines") if lines is None else lines
+        filters = self.table("filters").where("filter is not null")
+        shards = self.table("filters").count()
+        lines = lines.select("doc", "a", "b", shard_of(shards).alias("shard"))
+        parts = cut(lines.groupBy("shard").agg(F.ceil(F.count("*") / PART_LINES).cast("int").alias("parts")))
+        dealt = lines.join(broadcast_if_small(parts, 16), "shard").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("parts")
+        copies = filters.join(broadcast_if_small(parts, 16), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+        def probe(mine: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+            if not len(mine) or not len(state):
+                return mine.iloc[:0][["doc", "a", "b"]]
+            return mine.loc[CuckooFilter.from_bytes(state["filter"].iloc[0]).contains(filter_keys(mine)), ["doc", "a", "b"]]
+
+        possible = dealt.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInPandas(probe, "doc long, a long, b long")
+        return possible.join(self.shared().select("a", "b", "first"), ["a", "b"]).where("first < doc").select("doc", "a", "b")
+
+
+def shards_for(shared: DataFrame) -> int:
+    return max(1, -(-shared.count() // SHARD_KEYS))
+
+
+def with_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
+    """docs, all columns as they were, with __kept (the text without the lines that go), __n_lines and __n_dropped. An index that holds
+    these documents, and maybe more, may be given; else one is made of docs and deleted again."""
+    own = index or LineIndex(docs.sparkSession, staging_path(docs.sparkSession, "line-index"))
+    if index is None:
+        own.insert(docs, id_col, text_col)
+    gone = own.dropped() if index is None else own.dropped(line_keys(docs, id_col, text_col))
+    gone = cut(gone.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("__gone")))
+    if index is None:
+        delete_path(docs.sparkSession, own.path)
+    rows = docs.join(gone, F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == gone["doc"], "left").select(*[docs[c] for c in docs.columns], "__gone")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = rows.withColumn("__lines", F.split(text, "\n")).withColumn("__keys", F.when(F.col("__gone").isNotNull(), keyed(text)))
+    known = lambda key: F.coalesce(F.get("__gone", count_below(F.col("__gone"), key)) == key, F.lit(False))
+    stay = let(F.col("__keys"), lambda keys: F.filter("__lines", lambda line, i: keys[i].isNull() | ~known(keys[i])))
+    rows = rows.withColumn("__stay", F.when(F.col("__gone").isNull(), F.col("__lines")).otherwise(stay))
+    return rows.select(*docs.columns, F.array_join("__stay", "\n").alias("__kept"), F.size("__lines").alias("__n_lines"), (F.size("__lines") - F.size("__stay")).alias("__n_dropped"))
+
+
+def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: LineIndex | None = None) -> DataFrame:
+    """id, text without the lines that go, n_lines, n_dropped."""
+    kept = with_kept(docs.select(id_col, text_col), id_col, text_col, index)
+    return kept.select(id_col, F.col("__kept").alias(text_col), F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"))

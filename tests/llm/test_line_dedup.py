@@ -1,11 +1,12 @@
 import numpy as np
+import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm_data import prose
-from pyspark.sql import functions as F
 
 from quillspark.llm import line_dedup
-from quillspark.llm.line_dedup import CuckooFilter
+from quillspark.llm.line_dedup import CuckooFilter, LineIndex
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -44,7 +45,8 @@ def test_odd_rows(make_docs, odd_rows):
 def test_hot_lines_over_many_parts(make_docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", 3)
     monkeypatch.setattr(line_dedup, "PART_LINES", 10)
-    rows = lines_of(60)
+    monkeypatch.setattr("quillspark.llm.common.BROADCAST_BYTES", 0)
+    rows = lines_of(60) + [(200, "\n".join(f"line number {k}" for k in range(3000))), (201, "\n".join(f"Line number {k % 2000}" for k in range(4000)))]
     assert collected(line_dedup.dedupe(make_docs(rows))) == brute(rows)
 
 
@@ -52,17 +54,49 @@ def test_empty_table(make_docs):
     assert line_dedup.dedupe(make_docs([])).count() == 0
 
 
-def test_insertion_and_deletion_are_reversible(make_docs):
-    rows = lines_of(30)
-    first, second = make_docs(rows[:20]), make_docs(rows[20:])
-    counts = lambda df: sorted(map(tuple, df.select("a", "b", "n_docs", "first", "last").collect()))
-    one = line_dedup.reference_counts(line_dedup.line_keys(first))
-    both = line_dedup.add_counts(one, line_dedup.reference_counts(line_dedup.line_keys(second)))
-    lines = line_dedup.line_keys(make_docs(rows))
-    assert counts(both) == counts(line_dedup.reference_counts(lines))
-    back, left = line_dedup.remove_documents(both, lines, second.select(F.col("doc_id").alias("doc")))
-    assert counts(back) == counts(one) and left.count() == line_dedup.line_keys(first).count()
-    assert collected(line_dedup.dedupe(first, counts=back)) == brute(rows[:20])
+def state(index):
+    """Lines and counts as they are; of the filters, which shared keys each knows."""
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    shards = index.table("filters").count()
+    filters = {r["shard"]: r["filter"] for r in index.table("filters").collect()}
+    for r in index.shared().withColumn("shard", line_dedup.shard_of(shards)).toPandas().to_dict("records"):
+        key = line_dedup.filter_keys(pd.DataFrame([r]))
+        assert CuckooFilter.from_bytes(filters[r["shard"]]).contains(key).all()
+    held = sum(int((CuckooFilter.from_bytes(f).table != 0).sum()) for f in filters.values() if f)
+    assert held == index.shared().count()
+    return rows(index.table("lines")), rows(index.table("counts").select("a", "b", "n_docs", "first", "last"))
+
+
+@pytest.mark.parametrize("shard_keys", [4, 20_000])
+def test_insertion_and_deletion_are_reversible(spark, make_docs, monkeypatch, tmp_path, shard_keys):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    rows = lines_of(40)
+    index = LineIndex(spark, str(tmp_path / "index"))
+    assert index.version == 0
+    index.insert(make_docs(rows[:10]))
+    one = state(index)
+    index.insert(make_docs(rows[10:24] + [(None, rows[30][1])]))
+    two = state(index)
+    assert collected(line_dedup.dedupe(make_docs(rows[:24] + [(None, rows[30][1])]), index=index)) == brute(rows[:24] + [(None, rows[30][1])])
+    index.insert(make_docs(rows[24:]))
+    assert LineIndex(spark, index.path).version == 3
+    index.delete(make_docs(rows[24:]))
+    assert state(index) == two
+    index.delete(make_docs(rows[10:24] + [(None, "")]))
+    assert state(index) == one
+    index.delete(make_docs([(99, "")]))
+    assert state(index) == one
+    assert collected(line_dedup.dedupe(make_docs(rows[:10]), index=index)) == brute(rows[:10])
+    index.delete(make_docs(rows[:10]))
+    assert state(index) == ([], [])
+
+
+def test_a_full_filter_is_built_anew(spark, make_docs, tmp_path):
+    index = LineIndex(spark, str(tmp_path / "index"))
+    index.insert(make_docs([(1, "the first shared line"), (2, "the first shared line")]))
+    many = "\n".join(f"line number {k}" for k in range(300))
+    index.insert(make_docs([(3, many), (4, many)]))
+    assert len(state(index)[1]) == 301 and index.shared().count() == 301
 
 
 @settings(max_examples=30, deadline=None)
