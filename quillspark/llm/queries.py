@@ -136,9 +136,10 @@ s as (select distinct doc_id, array_to_string(words[i:i + 4], ' ') as shingle fr
 n as (select doc_id, count(*) as n from s group by doc_id),
 c as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by 1, 2),
 l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 75 * (x.n + y.n - shared)),
-r(node, comp) as (select doc_id, doc_id from documents union select l.b, r.comp from r join l on r.node = l.a)
-select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.comp) as component_id
-from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id group by d.doc_id, n.n
+r(node, comp) as (select doc_id, doc_id from documents union select l.b, r.comp from r join l on r.node = l.a),
+k as (select a, count(*) as links from l group by a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, min(r.comp) as component_id, coalesce(k.links, 0)::bigint as n_links
+from documents d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id left join k on k.a = d.doc_id group by d.doc_id, n.n, k.links
 """,
     "op2_decontamination": r"""
 with w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from documents),

@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 
 FAN, BITS = 16, 2048
+#: Columns of an incidence matrix that are multiplied at a time.
+WIDE = 1 << 16
 
 
 def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -78,10 +80,37 @@ class SignatureTree:
                     if a != b or m >= k:
                         stack.append((level - 1, int(k), int(m)))
 
-    def spanning_links(self, group: np.ndarray | None = None) -> list[tuple[int, int]]:
-        """Links between similar sets: as many as join all that similarity joins, so that no two links say the same. Sets of
-        one group need not be compared with each other if `group` says so (equal, non-negative numbers)."""
+    def _incidence(self, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct tokens of a leaf's sets, and a row for each set with 1 where it has the token."""
+        tokens, at = np.unique(np.concatenate([self.sets[k] for k in leaf]), return_inverse=True)
+        has = np.zeros((len(leaf), len(tokens)), dtype=np.float32)
+        has[np.repeat(np.arange(len(leaf)), self.size[leaf]), at] = 1
+        return tokens, has
+
+    def _shared(self, known: tuple[np.ndarray, np.ndarray], right: np.ndarray) -> np.ndarray:
+        """Tokens that each set of a leaf (its incidence) has in common with each set of another one."""
+        tokens, has = known
+        out = np.zeros((len(has), len(right)), dtype=np.int64)
+        theirs = np.concatenate([self.sets[k] for k in right])
+        if not len(tokens) or not len(theirs):
+            return out
+        owner, at = np.repeat(np.arange(len(right)), self.size[right]), np.searchsorted(tokens, theirs)
+        hit = tokens[np.minimum(at, len(tokens) - 1)] == theirs
+        owner, at = owner[hit], at[hit]
+        for low in range(0, len(tokens), WIDE):  # sums of at most WIDE ones are exact in 32 bits
+            mine = has[:, low : low + WIDE]
+            inside = slice(None) if len(tokens) <= WIDE else (at >= low) & (at < low + WIDE)
+            other = np.zeros((len(right), mine.shape[1]), dtype=np.float32)
+            other[owner[inside], at[inside] - low] = 1
+            out += (mine @ other.T).astype(np.int64)
+        return out
+
+    def joined(self, weights: np.ndarray | None = None, group: np.ndarray | None = None) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """The join of the sets with each other: for each set the weights of all sets that are similar to it, summed up, and links that hold
+        together what is similar (a spanning forest of all links). With `group`, only sets of different groups are joined."""
         parent = np.arange(len(self.sets))
+        weights = np.ones(len(self.sets), dtype=np.int64) if weights is None else weights
+        counts = np.zeros(len(self.sets), dtype=np.int64)
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -89,25 +118,24 @@ class SignatureTree:
                 x = parent[x]
             return x
 
-        links = []
+        links, last, known = [], None, None
         for left, right in self.leaf_pairs():
-            many = (self.bits[right], self.size[right], self.size[right], self.slack[right])
-            same = left is right
-            for n, x in enumerate(left):
-                others = right[self.possible((self.bits[x], self.size[x], self.size[x], self.slack[x]), many)]
-                others = others[~np.isin(others, left[: n + 1])] if same else others
-                if group is not None and len(others):
-                    others = others[(group[others] != group[x]) | (group[x] < 0)]
-                own = root(x)
-                others = [y for y in others if root(y) != own]
-                if not others or not len(self.sets[x]):
-                    continue
-                sizes = self.size[others]
-                tokens, mine = np.concatenate([self.sets[y] for y in others]), self.sets[x]
-                hit = mine[np.minimum(np.searchsorted(mine, tokens), len(mine) - 1)] == tokens
-                shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
-                for y in np.array(others)[100 * shared >= self.percent * (sizes + len(mine) - shared)]:
-                    if root(y) != root(x):
-                        parent[root(y)] = root(x)
-                        links.append((int(x), int(y)))
-        return links
+            if last is not left:
+                last, known = left, self._incidence(left)
+            shared = self._shared(known, right)
+            similar = (shared > 0) & (100 * shared >= self.percent * (self.size[left][:, None] + self.size[right][None, :] - shared))
+            if left is right:
+                similar = np.triu(similar, 1)
+            if group is not None:
+                similar &= group[left][:, None] != group[right][None, :]
+            if not similar.any():
+                continue
+            counts[left] += similar @ weights[right]
+            counts[right] += weights[left] @ similar
+            roots = [np.array([root(x) for x in leaf]) for leaf in (left, right)]
+            for i, j in np.argwhere(similar & (roots[0][:, None] != roots[1][None, :])):
+                x, y = root(left[i]), root(right[j])
+                if x != y:
+                    parent[y] = x
+                    links.append((int(left[i]), int(right[j])))
+        return links, counts

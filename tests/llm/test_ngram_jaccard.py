@@ -17,7 +17,7 @@ def plain_set(text):
 
 
 def brute(rows):
-    """n_shingles and component of each document, from all pairs."""
+    """n_shingles, component and number of links of each row, from all pairs."""
     ids = sorted({-(1 << 63) if i is None else i for i, _ in rows})
     sets = [(-(1 << 63) if i is None else i, plain_set(t)) for i, t in rows]
     parent = {i: i for i in ids}
@@ -27,16 +27,19 @@ def brute(rows):
             x = parent[x]
         return x
 
-    for (i, a), (j, b) in combinations(sets, 2):
+    linked = [{(i, frozenset(a))} for i, a in sets]
+    for (k, (i, a)), (m, (j, b)) in combinations(enumerate(sets), 2):
         if a and b and 100 * len(a & b) >= 75 * len(a | b):
             x, y = sorted((root(i), root(j)))
             parent[y] = x
+            linked[k].add((j, frozenset(b)))
+            linked[m].add((i, frozenset(a)))
     null = lambda x: None if x == -(1 << 63) else x
-    return sorted(((null(i), len(s), null(root(i))) for i, s in sets), key=repr)
+    return sorted(((null(i), len(s), null(root(i)), len(x) - 1) for (i, s), x in zip(sets, linked, strict=True)), key=repr)
 
 
 def collected(df):
-    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in df.collect()), key=repr)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in df.collect()), key=repr)
 
 
 def test_odd_rows(make_docs, odd_rows):
@@ -75,12 +78,24 @@ def test_large_blocks_and_tiles(make_docs, monkeypatch, block, chunk):
     assert collected(ngram_jaccard.components(make_docs(rows))) == brute(rows)
 
 
+def test_a_passage_in_every_document(make_docs, monkeypatch):
+    """A frequent passage ties all documents; bands and tiles then find the links, whatever the bounds."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 5)
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", 8)
+    monkeypatch.setattr(ngram_jaccard, "HASHED_BYTES", 2000)
+    monkeypatch.setattr("quillspark.llm.common.BROADCAST_BYTES", 0)
+    passage = prose(5, 90)
+    rows = [(k, passage + " " + prose(1000 + k // 3, 2 + 7 * (k % 9)) + (f" w{k}" if k % 2 else "")) for k in range(120)]
+    rows += [(500 + k, edited(passage, k, 1)) for k in range(60)] + [(None, passage), (None, prose(7, 30)), (3, prose(7, 30))]
+    assert collected(ngram_jaccard.components(make_docs(rows))) == brute(rows)
+
+
 def test_representatives_keep_all_columns(make_docs):
     rows = near_copies(10, 3)
     docs = make_docs(rows)
     kept = ngram_jaccard.representatives(docs)
     assert kept.columns == docs.columns
-    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c in brute(rows)}
+    assert {r["doc_id"] for r in kept.collect()} == {c for _, _, c, _ in brute(rows)}
 
 
 def test_tree_finds_what_all_pairs_find():
@@ -106,7 +121,8 @@ def test_tree_finds_what_all_pairs_find():
         return [root(x) for x in range(len(sets))]
 
     exact = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i]) and len(sets[j]) and 100 * (s := len(np.intersect1d(sets[i], sets[j]))) >= 75 * (len(sets[i]) + len(sets[j]) - s)]
-    links = SignatureTree(sets, 75).spanning_links()
+    links, counts = SignatureTree(sets, 75).joined()
+    assert counts.tolist() == [sum(k in x for x in exact) for k in range(len(sets))]
     assert set(links) | {(b, a) for a, b in links} <= set(exact) | {(b, a) for a, b in exact}
     assert classes(links) == classes(exact)
 
@@ -122,3 +138,27 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201), (201, 202), (202, 200)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in (200, 201, 202)}
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    """Paths, stars and random graphs whose edges no task sees together; repeated edges, and nodes on both sides of zero."""
+    monkeypatch.setattr("quillspark.llm.components.LOCAL_EDGES", 3)
+    rng = random.Random(6)
+    nodes = [rng.randrange(-(1 << 62), 1 << 62) for _ in range(400)]
+    edges = [(nodes[k], nodes[k + 1]) for k in range(90)] + [(nodes[100], nodes[k]) for k in range(101, 180)] + [(rng.choice(nodes[200:]), rng.choice(nodes[200:])) for _ in range(150)]
+    edges = edges * 2
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b and root(a) != root(b):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()
+    assert len(got) == len(parent) and {r["node"]: r["component"] for r in got} == {x: root(x) for x in parent}
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0

@@ -26,7 +26,7 @@ def test_stages(spark, sf):
     assert all(r["n_chars"] == len(r["text"]) for r in two.collect())
 
     three = spark.createDataFrame(stages["ngram_jaccard"](spark, two, sf).collect(), docs.schema)
-    assert {i for i, _ in rows(three)} == {c for _, _, c in components(rows(two))}
+    assert {i for i, _ in rows(three)} == {c for _, _, c, _ in components(rows(two))}
 
     four = spark.createDataFrame(stages["decontaminate"](spark, three, sf).collect(), docs.schema)
     assert {i for i, _ in rows(four)} == {i for i, _, hits, _ in contaminated(rows(three), items) if not hits}
