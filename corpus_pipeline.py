@@ -28,10 +28,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    row = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    kept = line_dedup.dedupe(row, keep=("row",)).where("n_dropped < n_lines")
-    changed = {"text": F.when(F.col("row.text").isNotNull(), F.col("text")), "n_chars": F.char_length("text").cast("long")}
-    return kept.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    kept = line_dedup.with_kept(docs).where("__n_dropped < __n_lines")
+    changed = {"text": F.when(F.col("text").isNotNull(), F.col("__kept")), "n_chars": F.char_length("__kept").cast("long")}
+    return kept.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def join_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
