@@ -17,10 +17,12 @@ NUMBER_FORMATS = ("decimal", "lowerLetter", "upperLetter", "lowerRoman", "upperR
 #: Fixed values.
 ROMAN = {1000: "M", 900: "CM", 500: "D", 400: "CD", 100: "C", 90: "XC", 50: "L", 40: "XL", 10: "X", 9: "IX", 5: "V", 4: "IV", 1: "I"}
 EQUATION_SIGNS = ("=", "+", "-", "^", "/", "(", ")", "x", "y", "a2", "b2", "c2")
-SECTION_WORDS = r"\b(?:answers?|chapter|section|exercise|problem|review|solutions?|cont)\b"
+SECTION_WORDS = ("answer", "answers", "chapter", "cont", "exercise", "problem", "review", "section", "solution", "solutions")
 ROMAN_PATTERN = r"^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
-PREFIX = r"^(\s*)([(\[]?)([0-9]+|[a-zA-Z]+)([.)\]])(\s+)"
-BULLET = r"^(\s*)([\u2022\u25CF\u25CB\u25AA\u25FE\u25B6\u2043\u2219\u2013\u2014*\uf000-\uf0ff-])(\s+)"
+#: What a typed list number may stand between, and signs that open a bulleted line; symbol fonts have theirs in a private range.
+OPENERS, CLOSERS = ("(", "["), (".", ")", "]")
+BULLETS = ("*", "-", "\u2013", "\u2014", "\u2022", "\u2043", "\u2219", "\u25aa", "\u25b6", "\u25cb", "\u25cf", "\u25fe")
+SYMBOL_FONT = ("\uf000", "\uf0ff")
 
 
 def text_or_empty(s: Text) -> Column:
@@ -81,14 +83,28 @@ def normal_is_equation_like(normal: Column) -> Column:
     return (signs >= 3) | ((signs >= 2) & (F.length(F.regexp_replace(normal, "[^0-9]", "")) >= 2))
 
 
+def first_word(s: Text) -> Column:
+    """What stands before the first blank, blanks in front aside."""
+    return F.regexp_extract(text_or_empty(s), r"^\s*(\S*)", 1)
+
+
 def is_list_item(s: Text) -> Column:
-    return F.trim(text_or_empty(s)).rlike(r"^(?:[0-9]+[.)]|[a-zA-Z][.)]|[ivxlcdmIVXLCDM]+\.)(?:$|\s+)")
+    """The first word is a number or letter with a full stop or closing parenthesis, or Roman digits with a full stop."""
+    word = first_word(F.trim(text_or_empty(s)))
+    mark, value = F.right(word, F.lit(1)), F.substring(word, F.lit(1), F.length(word) - 1)
+    counted = value.rlike("^[0-9]+$") | value.rlike("^[A-Za-z]$")
+    return (counted & mark.isin(".", ")")) | ((F.translate(F.upper(value), "IVXLCDM", "") == "") & (value != "") & (mark == "."))
+
+
+def has_section_word(s: Text) -> Column:
+    words = F.regexp_extract_all(F.lower(text_or_empty(s)), F.lit(r"\w+"), F.lit(0))
+    return F.arrays_overlap(words, F.array(*map(F.lit, SECTION_WORDS)))
 
 
 def is_section_heading(s: Text) -> Column:
     """A number and a word such as section or exercise. Marks go first, so 3.2 counts as 32."""
     normal = normal_for_style(s)
-    return normal.rlike(SECTION_WORDS) & normal.rlike(r"^[0-9]+\b")
+    return has_section_word(normal) & normal.rlike(r"^[0-9]+\b")
 
 
 def opens_like_prose(s: Text, count: int = 5) -> Column:
@@ -107,17 +123,23 @@ def is_sentence_case(s: Text) -> Column:
     return F.when(F.size(words) == 0, True).when(~starts_with_capital(s), False).when(F.size(words) == 1, ~shouted(words[0])).otherwise(~F.exists(F.slice(words, 2, F.size(words)), shouted))
 
 
+#: What a footer is set in.
+FOOTER_FONT, FOOTER_POINTS = "times new roman", 10.0
+
+
 def footer_issues(text: Text, fonts: Column, sizes: Column) -> Column:
-    """array<string> of what is wrong with a footer: not Times New Roman, not 10 pt, no capital first, no sentence case."""
-    has_letters = text_or_empty(text).rlike("[A-Za-z]")
-    return F.array_compact(
-        F.array(
-            F.when(F.coalesce(F.size(fonts), F.lit(0)) < 1, "font family could not be verified").when(F.exists(fonts, lambda f: F.lower(f) != "times new roman"), F.concat(F.lit("font should be Times New Roman, found "), F.array_join(fonts, ", "))),
-            F.when(F.coalesce(F.size(sizes), F.lit(0)) < 1, "font size could not be verified").when(F.exists(sizes, lambda x: F.abs(x - 10.0) > 0.05), F.concat(F.lit("font size should be 10 pt, found "), F.array_join(F.transform(sizes, lambda x: F.concat(F.regexp_replace(x.cast("string"), r"\.0$", ""), F.lit(" pt"))), ", "))),
-            F.when(has_letters & ~starts_with_capital(text), "text should start with a capital letter"),
-            F.when(has_letters & ~is_sentence_case(text), "text should be in sentence case"),
-        )
-    )
+    """array<string>: codes of what is wrong with a footer, with what was found instead: font, size, capital, case."""
+    lettered = text_or_empty(text).rlike("[A-Za-z]")
+    other_fonts = F.filter(fonts, lambda f: F.lower(f) != FOOTER_FONT)
+    other_sizes = F.filter(sizes, lambda x: F.abs(x - FOOTER_POINTS) > 0.05)
+    shown = lambda code, found: F.concat(F.lit(f"{code}:"), F.array_join(found.cast("array<string>"), ","))
+    told = [
+        F.when(F.coalesce(F.size(fonts), F.lit(0)) < 1, "font:unknown").when(F.size(other_fonts) > 0, shown("font", other_fonts)),
+        F.when(F.coalesce(F.size(sizes), F.lit(0)) < 1, "size:unknown").when(F.size(other_sizes) > 0, shown("size", other_sizes)),
+        F.when(lettered & ~starts_with_capital(text), "capital"),
+        F.when(lettered & ~is_sentence_case(text), "case"),
+    ]
+    return F.array_compact(F.array(*told))
 
 
 def paragraph_role(text: Text, style: Text, num_id: Text, has_math: Column, equation_only: Column, outline: Column) -> Column:
@@ -184,14 +206,32 @@ def list_number(n: Column, number_format: Column) -> Column:
     return F.when(number_format == "lowerLetter", letters(n)).when(number_format == "upperLetter", F.upper(letters(n))).when(number_format == "lowerRoman", F.lower(roman(n))).when(number_format == "upperRoman", roman(n)).otherwise(n.cast("string"))
 
 
+def leading_blanks(s: Text) -> Column:
+    return F.regexp_extract(text_or_empty(s), r"^\s*", 0)
+
+
+def after_first_word(s: Text) -> Column:
+    """Where the second word begins: blanks in front, the first word and the blanks after it, in characters."""
+    return F.length(F.regexp_extract(text_or_empty(s), r"^\s*\S+\s+", 0))
+
+
 def list_prefix(s: Text) -> Column:
-    """struct<kind, value, length, leading, template> of a typed list marker; null if there is none."""
-    part = lambda k: F.regexp_extract(text_or_empty(s), PREFIX, k)
-    value = part(3)
+    """struct<kind, value, length, leading, template> of a typed list marker, a first word such as (a) or iv.; null if there is none."""
+    word = first_word(s)
+    opener = F.when(F.left(word, F.lit(1)).isin(*OPENERS), F.left(word, F.lit(1))).otherwise("")
+    closer = F.right(word, F.lit(1))
+    value = F.substring(word, F.length(opener) + 1, F.length(word) - F.length(opener) - 1)
     lower = value == F.lower(value)
-    kind = F.when(value.rlike("^[0-9]+$"), "decimal").when(is_roman(value), F.when(lower, "lowerRoman").otherwise("upperRoman")).when(F.length(value) <= 2, F.when(lower, "lowerLetter").otherwise("upperLetter"))
-    found = F.struct(kind.alias("kind"), value.alias("value"), F.length(part(0)).alias("length"), part(1).alias("leading"), F.concat(part(2), F.lit("%1"), part(4)).alias("template"))
-    return F.when(text_or_empty(s).rlike(PREFIX) & kind.isNotNull(), found)
+    kind = F.when(value.rlike("^[0-9]+$"), "decimal").when(~value.rlike("^[A-Za-z]+$"), None)
+    kind = kind.when(is_roman(value), F.when(lower, "lowerRoman").otherwise("upperRoman")).when(F.length(value) <= 2, F.when(lower, "lowerLetter").otherwise("upperLetter"))
+    found = F.struct(kind.alias("kind"), value.alias("value"), after_first_word(s).alias("length"), leading_blanks(s).alias("leading"), F.concat(opener, F.lit("%1"), closer).alias("template"))
+    return F.when(closer.isin(*CLOSERS) & (after_first_word(s) > 0) & kind.isNotNull(), found)
+
+
+def opens_with_bullet(s: Text) -> Column:
+    """Whether the first word is a bullet, and a second one may follow."""
+    word = first_word(s)
+    return (F.length(word) == 1) & (word.isin(*BULLETS) | word.between(*SYMBOL_FONT)) & (after_first_word(s) > 0)
 
 
 def prefix_number(prefix: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry as G
-from quillspark.functions.text import SECTION_WORDS, collapse, is_effectively_empty
+from quillspark.functions.text import collapse, has_section_word, is_effectively_empty
 
 
 def is_package_visual(target: Column) -> Column:
@@ -17,7 +17,7 @@ def is_package_visual(target: Column) -> Column:
 
 def is_heading_label(label: Column) -> Column:
     text = F.lower(collapse(label))
-    return text.rlike(SECTION_WORDS) & text.rlike(r"^[0-9]+(?:[-.][0-9]+)*\b")
+    return has_section_word(text) & text.rlike(r"^[0-9]+(?:[-.][0-9]+)*\b")
 
 
 def is_real_item(role: Column, label: Column, has_text: Column, m: Column) -> Column:

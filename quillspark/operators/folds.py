@@ -46,8 +46,8 @@ def list_runs(lines: DataFrame) -> DataFrame:
     or doesn't follow; plain or blank lines end all lists, bullets those of their level and deeper, numbers the deeper ones. lines: doc_id, idx, text, numbered
     (already a real list item: left alone, ends nothing)."""
     prefix = T.list_prefix("text")
-    bullet = F.regexp_extract("text", T.BULLET, 1)
-    is_bullet = F.coalesce(F.col("text").rlike(T.BULLET), F.lit(False))
+    bullet = T.leading_blanks("text")
+    is_bullet = F.coalesce(T.opens_with_bullet("text"), F.lit(False))
     rows = lines.select(
         "doc_id", "idx", F.coalesce("numbered", F.lit(False)).alias("numbered"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), is_bullet.alias("bullet"),
         F.when(is_bullet, T.indent_level(bullet)).otherwise(T.indent_level(prefix["leading"])).alias("level"), prefix["kind"].alias("kind"), prefix["template"].alias("template"), T.prefix_number(prefix).alias("number"),
