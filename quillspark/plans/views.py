@@ -66,3 +66,50 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NODES_SQL = """nodes as (select p_partkey as node, case when p_partkey >= 3 then p_partkey // 3 end as parent, case when p_partkey % 7 = 0 then p_brand end as value, 'role' || (p_partkey % 5)::varchar as role from part)"""
+
+
+#: Phrases that texts of the view are made of.
+OPENING_PHRASES = ("x squared equals", "The chart shows", "Equation showing", "see page 4", "a over b", "1/2 + 3", "IBM = ABC", "the square root of y", "comma open brace", "Photo of a red-brick house", "y2 - 3", "", "answers explain why")
+MIDDLE_PHRASES = ("is greater than", "equals", "plus the numerator", "and 12.5", "frequency of rows", "close parenthesis ellipsis", "x - y = 7", "with the legend", "divided by", "12 - 3", "?")
+CLOSING_PHRASES = ("times z.", "three cubed", "in each case!", "(graph)", "a b c d e f g", "from New York to Paris", "ABC")
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts about formulas and pictures: item, grp (six candidates or so of one thing), role, page, text."""
+    k = F.col("p_partkey")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    text = F.concat_ws(" ", pick(OPENING_PHRASES, k), pick(MIDDLE_PHRASES, k), pick(CLOSING_PHRASES, k), F.when(k % 17 == 0, F.repeat(F.lit("word "), 20)).otherwise(""))
+    role = F.when(k % 3 == 0, "equation").when(k % 3 == 1, "image").otherwise("paragraph")
+    return table(spark, sf_dir, "part").select(k.alias("item"), F.floor(k / 6).cast("long").alias("grp"), role.alias("role"), F.when(k % 4 != 0, k % 9).alias("page"), text.alias("text"))
+
+
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _sql_pick(values: tuple[str, ...]) -> str:
+    return f"({_sql_list(values)})[p_partkey % {len(values)} + 1]"
+
+
+PHRASES_SQL = f"""phrases as (select p_partkey as item, p_partkey // 6 as grp, case p_partkey % 3 when 0 then 'equation' when 1 then 'image' else 'paragraph' end as role, case when p_partkey % 4 <> 0 then p_partkey % 9 end as page,
+    concat_ws(' ', {_sql_pick(OPENING_PHRASES)}, {_sql_pick(MIDDLE_PHRASES)}, {_sql_pick(CLOSING_PHRASES)}, case when p_partkey % 17 = 0 then repeat('word ', 20) else '' end) as text from part),
+t as (select *, trim(regexp_replace(text, '\\s+', ' ', 'g')) as c, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as low from phrases)"""
+
+#: Words that stand on the pages of the view, and descriptions of what is looked for there.
+PAGE_WORDS = ("x2", "=", "+", "the", "sin", "12.5", "where", "xy", "(", ")", "Solution", "y", "of", "{", "}", "determine", "37", "a", "proof")
+DESCRIPTIONS = ("x sub 2 equals twelve point 12.5", "open brace x y close brace plus 37", "the fraction a over y", "sin of x squared open parenthesis y close parenthesis", "a bracket of nothing here")
+
+
+def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, line, x0, y0, x1, y1, text: some 16 words in four lines."""
+    k, n = F.col("l_partkey"), F.col("l_orderkey")
+    word = F.element_at(F.array(*map(F.lit, PAGE_WORDS)), (k % len(PAGE_WORDS) + 1).cast("int"))
+    x0, y0 = F.col("l_linenumber") * 20.0, (n % 4) * 10.0 + F.when(n % 8 > 3, 30.0).otherwise(0.0)
+    return table(spark, sf_dir, "lineitem").select(F.floor(n / 4).cast("long").alias("item"), (n % 4).alias("line"), x0.alias("x0"), y0.alias("y0"), (x0 + F.length(word) * 4).alias("x1"), (y0 + 9.5).alias("y1"), word.alias("text"))
+
+
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.floor(F.col("o_orderkey") / 4).cast("long")
+    box = F.struct(F.lit(20.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(140.0).alias("x1"), F.lit(40.0).alias("y1"))
+    said = F.element_at(F.array(*map(F.lit, DESCRIPTIONS)), (F.col("item") % len(DESCRIPTIONS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(item.alias("item")).distinct().select("item", said.alias("description"), box.alias("box"))
