@@ -81,3 +81,17 @@ def _accessible_series(colour: pd.Series, ground: pd.Series) -> pd.Series:
 def accessible(colour: Column, ground: Column) -> Column:
     """The first of a fixed grid of lighter or darker, then paler tones that reaches the contrast, else black or white, else the best."""
     return F.pandas_udf(_accessible_series, "string")(colour, ground)
+
+
+def _hex(channels_: list[Column]) -> Column:
+    return F.concat(*[F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(255), c.cast("int"))).cast("long")), 2, "0") for c in channels_])
+
+
+def tinted(colour: Column, tint: Column, shade: Column) -> Column:
+    """A colour drawn to white by tint, then to black by shade, both two hex digits as a share of 255 or null. RRGGBB; as it was if it can't be read."""
+    share = lambda x: F.when(x.rlike("^[0-9A-Fa-f]{1,2}$"), F.conv(x, 16, 10).cast("double") / 255)
+    up, down, rgb = share(tint), share(shade), channels(colour)
+    lit = [F.bround(c * 255) for c in (rgb["r"], rgb["g"], rgb["b"])]
+    lit = [F.when(up.isNotNull(), F.bround(c + (255 - c) * up)).otherwise(c) for c in lit]
+    lit = [F.when(down.isNotNull(), F.bround(c * down)).otherwise(c) for c in lit]
+    return F.when(rgb.isNotNull(), _hex(lit)).otherwise(colour)

@@ -6,7 +6,6 @@ product of their paragraphs, not with the collection.
 
 from __future__ import annotations
 
-from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -19,6 +18,8 @@ from quillspark.operators import ordered
 
 ALIGNED = "pair long, n long, left_idx long, right_idx long, score double, similarity double"
 LEAST_SCORE = 0.45
+#: Where elements without a place in an order stand.
+LAST = 10**9
 
 
 def ratio(a: str, b: str) -> float:
@@ -26,16 +27,14 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def at_most(a: str, b: str, ca: Counter, cb: Counter) -> float:
-    """What the ratio can't exceed, from the characters alone."""
-    return 2.0 * sum((ca & cb).values()) / (len(a) + len(b)) if a or b else 1.0
-
-
 def score(a: pd.Series, b: pd.Series, raw: float, normal: float) -> float:
     near = lambda c: 1 - min(abs(a[c] - b[c]), 1)
     value = 0.34 * raw + 0.46 * normal + 0.12 * near("y_norm") + 0.05 * near("x_norm") + 0.02 * near("doc_y") + 0.01 / (1 + abs(a["page"] - b["page"]))
     if a["role"] and b["role"]:
         value += 0.05 if a["role"] == b["role"] else -0.08 if {a["role"], b["role"]} & {"image", "equation"} else 0
+    for order, most in (("reading_order", 0.05), ("sequence_order", 0.08)):
+        if pd.notna(a.get(order)) and pd.notna(b.get(order)):
+            value += most / (1 + abs(a[order] - b[order]))
     return round(value, 6)
 
 
@@ -48,7 +47,9 @@ def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     none = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "int64") for c in ALIGNED.split(", ")})
     if left.empty or right.empty:
         return none
-    left, right = (x.sort_values(["page", "y_norm", "x_norm", "idx"], kind="stable").to_dict("records") for x in (left, right))
+    order = [c for c in ("sequence_order", "page", "reading_order", "y_norm", "x_norm", "idx") if c in left]
+    last = {c: LAST for c in order if c.endswith("_order")}
+    left, right = (x.loc[x[order].fillna(last).sort_values(order, kind="stable").index].to_dict("records") for x in (left, right))
     ratios: dict[tuple[str, str], float] = {}
 
     def known(a: str, b: str) -> float:
@@ -88,10 +89,11 @@ def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 def prepared(paragraphs: DataFrame) -> DataFrame:
-    """Valid paragraphs with their normal forms."""
+    """Valid paragraphs with their normal forms, and with reading_order and sequence_order if they have them."""
+    orders = [c for c in ("reading_order", "sequence_order") if c in paragraphs.columns]
     rows = paragraphs.where(T.is_valid_paragraph("text", F.col("y_norm")))
     doc_y = F.col("page") + F.col("y_norm") if "doc_y" not in paragraphs.columns else F.col("doc_y")
-    rows = rows.select("pair", "idx", F.coalesce("text", F.lit("")).alias("text"), "page", "x_norm", "y_norm", "role", doc_y.alias("doc_y"), T.normal_for_alignment("text").alias("normal"), T.normal_for_comparison("text").alias("comparison"))
+    rows = rows.select("pair", "idx", F.coalesce("text", F.lit("")).alias("text"), "page", "x_norm", "y_norm", "role", doc_y.alias("doc_y"), T.normal_for_alignment("text").alias("normal"), T.normal_for_comparison("text").alias("comparison"), *orders)
     return rows.withColumn("formula", T.normal_is_equation_like(F.col("comparison")))
 
 

@@ -4,13 +4,14 @@ Packages are read as binary files, so any file system that Spark reads will do,
 Roles, fingerprints and filters are columns over these rows, not part of the reading. A package's bytes are bounded by what Spark's
 binary source allows, and documents never meet in a task.
 
-Read as they are in the wild: the body only (headers and footers by `part`), the first of alternate contents, no deleted or field text; paragraphs inside
-content controls are not reached.
+Read as they are in the wild: the body, or headers, body and footers together (style_map), also inside content controls; the first of alternate
+contents, no deleted or field text.
 """
 
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.functions.visual import is_real_item
 
 #: Name spaces: fixed values.
 NS = {
@@ -121,7 +123,7 @@ def element_rows(content: bytes, source: str = "word/document.xml") -> Iterator[
         root = part(archive, source)
     body = root.find("w:body", NS) if root is not None else None
     body = root if body is None else body
-    for block in body if body is not None else ():
+    for block in blocks(body) if body is not None else ():
         if block.tag == tag("w:p"):
             yield from paragraph_rows(block, source)
         elif block.tag == tag("w:tbl"):
@@ -132,6 +134,36 @@ def element_rows(content: bytes, source: str = "word/document.xml") -> Iterator[
                 yield from (x for x in paragraph_rows(p, source) if x["kind"] != "text")
 
 
+def blocks(node: ET.Element) -> Iterator[ET.Element]:
+    """Paragraphs and tables in order, also those in content controls."""
+    for child in node:
+        if child.tag == tag("w:sdt"):
+            inner = child.find("w:sdtContent", NS)
+            yield from blocks(inner) if inner is not None else ()
+        else:
+            yield child
+
+
+def map_rows(content: bytes) -> Iterator[dict]:
+    """The elements of headers, the body and footers, in this order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = sorted(archive.namelist())
+    heads, feet = ([n for n in names if re.fullmatch(rf"word/{kind}[0-9]*\.xml", n)] for kind in ("header", "footer"))
+    for name in [*heads, "word/document.xml", *feet]:
+        zone = "header" if name in heads else "footer" if name in feet else "body"
+        yield from (x | {"zone": zone} for x in element_rows(content, name))
+
+
+def storage_rows(content: bytes) -> Iterator[dict]:
+    """How a package keeps its formulas, for each part: as formulas (whole paragraphs of them only where there are no others) or as objects of a program."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        for name in sorted(archive.namelist()):
+            if name.startswith("word/") and name.endswith(".xml"):
+                root = part(archive, name)
+                formulas = len(list(root.iter(tag("m:oMath")))) or len(list(root.iter(tag("m:oMathPara"))))
+                yield {"part": name, "formulas": formulas, "programs": [x.get("ProgID") or "" for x in root.iter(tag("o:OLEObject"))]}
+
+
 def relation_rows(content: bytes) -> Iterator[dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         for name in archive.namelist():
@@ -175,15 +207,30 @@ def _table(source: DataFrame, rows: Callable[[bytes], Iterator[dict]], schema: s
     return source.mapInPandas(run, schema)
 
 
-def elements(source: DataFrame, source_part: str = "word/document.xml") -> DataFrame:
-    """Text, tables, drawings, shapes and formulas of each package in order, with role and fingerprint."""
-    rows = _table(source, lambda content: element_rows(content, source_part), ELEMENTS, counted=True)
+def _judged(rows: DataFrame) -> DataFrame:
     equation = F.col("kind").isin("formula") | F.lower(F.coalesce("docpr_name", F.lit(""))).contains("equation")
     paragraph = T.paragraph_role("text", "style", "num_id", F.col("has_math"), T.is_equation_like("text"), F.col("outline_level"))
     role = F.when(F.col("kind") == "text", paragraph).when(F.col("kind") == "table", "table").when(equation, "equation").otherwise("image")
     return rows.withColumns({"role": role, "fingerprint": T.fingerprint("text"), "has_alt_text": ~T.is_effectively_empty("alt_text")})
 
 
+def elements(source: DataFrame, source_part: str = "word/document.xml") -> DataFrame:
+    """Text, tables, drawings, shapes and formulas of each package in order, with role and fingerprint."""
+    return _judged(_table(source, lambda content: element_rows(content, source_part), ELEMENTS, counted=True))
+
+
+def style_map(source: DataFrame) -> DataFrame:
+    """elements() of headers, body and footers together, numbered through, with their zone."""
+    return _judged(_table(source, map_rows, ELEMENTS + ", zone string", counted=True))
+
+
+def formula_storage(source: DataFrame) -> DataFrame:
+    """path, formulas, objects, and programs: the distinct programs of objects that a package holds, sorted."""
+    rows = _table(source, storage_rows, "path string, part string, formulas long, programs array<string>")
+    programs = F.flatten(F.collect_list("programs"))
+    return rows.groupBy("path").agg(F.sum("formulas").alias("formulas"), F.sum(F.size("programs")).alias("objects"), F.array_sort(F.array_distinct(F.filter(programs, lambda x: x != ""))).alias("programs"))
+
+
 def relations(source: DataFrame) -> DataFrame:
     return _table(source, relation_rows, RELATIONS)
 
@@ -197,11 +244,20 @@ def numbering(source: DataFrame) -> DataFrame:
 
 
 def inventory(source: DataFrame) -> DataFrame:
-    """The visual items of each package: images and formulas that can carry a text, with their target."""
-    items = elements(source).where(F.col("role").isin("image", "equation") & (F.col("kind") != "formula"))
-    targets = relations(source).select("path", F.col("part").alias("source_part"), "rel_id", F.col("target").alias("media_target"))
-    given = T.collapse("alt_text")
+    """The visual items of each package, headers and footers included: images and formulas that can carry a text and are no remains, with their target."""
+    items = style_map(source).where(F.col("role").isin("image", "equation"))
+    target = F.when(F.col("target").startswith("/"), F.ltrim("target", F.lit("/"))).otherwise(F.concat(F.lit("word/"), "target"))
+    targets = relations(source).select("path", F.col("part").alias("source_part"), "rel_id", F.col("target").alias("media_target"), target.alias("__target"))
     items = items.join(targets, ["path", "source_part", "rel_id"], "left")
+    none = F.lit(None).cast("string")
+    program = F.when(F.col("kind") == "ole", F.col("docpr_name"))
+    known = F.struct(
+        F.col("__target").alias("target"), F.col("__target").alias("image_target"), none.alias("ole_target"), "rel_id", F.when(F.col("kind") != "ole", F.col("docpr_name")).alias("docpr_name"),
+        program.alias("prog_id"), F.when(F.col("kind") == "formula", "omml").alias("math_source"), "width_pt", "height_pt",
+    )
+    label = F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.col("alt_text"))
+    items = items.where(is_real_item(F.col("role"), label, F.col("has_alt_text"), known))
+    given = T.collapse("alt_text")
     return items.select("path", F.col("idx").alias("id"), "role", "source_part", "docpr_id", "docpr_name", "media_target", "width_pt", "height_pt", "has_alt_text", given.alias("existing_alt_text"), given.alias("alt_text"), F.lit("").alias("generated_alt_text"), F.when(given != "", "existing").otherwise("missing").alias("alt_source"))
 
 

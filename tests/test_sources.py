@@ -51,7 +51,7 @@ def files(spark, tmp_path_factory):
 
 def test_elements(files):
     rows = files.where("path like '%d0.docx'").transform(docx.elements).orderBy("idx").collect()
-    assert [(r["kind"], r["role"]) for r in rows] == [("text", "heading"), ("text", "normal_text"), ("drawing", "image"), ("drawing", "image"), ("formula", "equation"), ("shape", "image"), ("text", "list"), ("table", "table"), ("drawing", "image"), ("text", "empty")]
+    assert [(r["kind"], r["role"]) for r in rows] == [("text", "heading"), ("text", "normal_text"), ("drawing", "image"), ("drawing", "image"), ("formula", "equation"), ("shape", "image"), ("text", "list"), ("table", "table"), ("drawing", "image"), ("text", "normal_text"), ("text", "empty")]
     assert rows[1]["text"] == "Some \ttext" and rows[2]["alt_text"] == "old text" and (rows[2]["width_pt"], rows[2]["height_pt"]) == (100.0, 50.0)
     assert docx.styles(files).first()["outline_level"] == 0
     assert tuple(docx.numbering(files).first())[1:] == ("4", "0", 3, "lowerRoman", "%1.")
