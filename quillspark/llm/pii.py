@@ -9,7 +9,8 @@ probabilities to tell from the features alone. Candidates it accepts are added w
 One pass over the texts; what it finds, without the texts, is checkpointed and used twice.
 
 Defined results: null and empty texts have no spans. Offsets count code points, ends are exclusive. Without candidates nothing is
-learned and nothing added. Of overlapping added spans the earliest, then longest, stays. Rows are handled one by one, repeated or not; only
+learned and nothing added. Of added spans one that begins within an earlier one, or a shorter one with the same beginning, goes. A candidate has any
+length; numbers stand in one with up to two blanks, dots, hyphens or parentheses between digits. The CONTEXT characters before a candidate are its context. Rows are handled one by one, repeated or not; only
 the named columns are read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import cut, text_slices
+from quillspark.llm.common import cut, let, running, text_slices
 
 KINDS = ("email", "ip", "card", "phone")
 SPANS = "array<struct<rank:int,start:int,end:int>>"
@@ -40,16 +41,23 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: Candidates: bounded on both sides, so that they cost a fixed time at each place.
+#: Candidates. What is repeated is taken possessively and neither side crosses another sign, so that a text costs time in proportion to its length.
 AT_SIGN = re.compile(r"@|\[at\]|\(at\)| at ")
-LEFT_OF_AT = re.compile(r"[A-Za-z0-9._%+-]{1,64}$")
-RIGHT_OF_AT = re.compile(r"[A-Za-z0-9-]{1,63}(?:(?:\.|\[dot\]|\(dot\)| dot )[A-Za-z0-9-]{1,63}){1,5}")
-NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,30}[0-9](?![0-9])")
-
-#: Gazetteers and contexts: fixed values.
-ENDINGS = frozenset("com org net edu gov io info biz de fr es uk eu us co example".split())
-FOR_IT = re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|call|phone|tel|mobile|fax|card|visa|mastercard|credit|ip|address|host|correo|tarjeta|carte|karte|telefon|teléfono)\b")
-AGAINST_IT = re.compile(r"(?i)\b(?:version|isbn|issn|order|invoice|ref|section|figure|page|serial|total|build|release|chapter|id)\b")
+RIGHT_OF_AT = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\)| dot )[A-Za-z0-9-]++)++")
+NUMBER = re.compile(r"(?<![0-9])[+(]?[0-9](?:[ ().-]{0,2}[0-9])*+")
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: Characters before a candidate that its context is taken from.
+CONTEXT = 40
+
+#: Gazetteers and contexts: fixed values. Two letters are a country's ending.
+ENDINGS = frozenset("academy aero agency app art asia biz blog cat cloud club co com community company coop design dev digital edu email engineering example finance foundation fun global gov group health help host info int io jobs law life link live media mil mobi money museum name net news ngo online org page photo post press pro pub research school science services shop site social software solutions space store studio support systems team tech tel today tools top travel university video website wiki work world xyz".split())
+#: Telephone codes of countries: the first two digits of two-digit codes, and of those codes that have three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+THREE_DIGIT_CODES = frozenset("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 80 85 87 88 96 97 99".split())
+#: Numbers of card issuers: what they begin with, from and to, and how long they are.
+ISSUERS = ((4, 4, (13, 16, 19)), (51, 55, (16,)), (2221, 2720, (16,)), (34, 34, (15,)), (37, 37, (15,)), (300, 305, (14,)), (36, 36, (14, 16)), (38, 39, (14, 16)), (6011, 6011, (16, 19)), (644, 649, (16, 19)), (65, 65, (16, 19)), (3528, 3589, (16, 19)), (50, 50, (16, 19)), (56, 58, (16, 19)), (62, 62, (16, 19)))
+FOR_IT = re.compile(r"(?i)\b(?:e-?mail|mail|contact|contacto|kontakt|write|reach|call|ring|phone|telephone|tel|mobile|cell|fax|whatsapp|card|visa|mastercard|amex|credit|debit|payment|ip|address|adresse|host|server|from|correo|tarjeta|llamar|teléfono|carte|courriel|appeler|téléphone|karte|telefon|anrufen|handy)\b")
+AGAINST_IT = re.compile(r"(?i)\b(?:version|isbn|issn|doi|order|invoice|ref|section|figure|table|page|serial|total|build|release|chapter|id|sku|part|item|pedido|factura|commande|facture|bestellung|rechnung|seite|page)\b")
 PLACEHOLDER = re.compile(r"(?i)^(?:no-?reply|user|name|foo|bar|test)@|(\d)\1{6}|0123456789|123456789(?!\d{4})")
 
 
@@ -85,11 +93,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int, int]]:
+    done = 0
     for m in AT_SIGN.finditer(text):
-        left = LEFT_OF_AT.search(text, max(0, m.start() - 64), m.start())
+        start = m.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
         right = RIGHT_OF_AT.match(text, m.end())
-        if left and right:
-            yield 0, left.start(), right.end()
+        if start < m.start() and right:
+            done = right.end()
+            yield 0, start, done
     if DIGIT.search(text):
         for m in NUMBER.finditer(text):
             n = len(NOT_DIGIT.sub("", m[0]))
@@ -98,19 +110,41 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
                 yield 1 if dotted else 2 if n >= 13 and m[0][0] != "+" else 3, m.start(), m.end()
 
 
+def plain_email(found: str) -> str:
+    """An address as it is meant: signs for words in brackets or between blanks."""
+    for said, sign in (("[at]", "@"), ("(at)", "@"), (" at ", "@"), ("[dot]", "."), ("(dot)", "."), (" dot ", ".")):
+        found = found.replace(said, sign)
+    return found
+
+
+def in_gazetteer(rank: int, found: str, digits: str) -> bool:
+    """Does the ending, the network, the issuer or the country exist? Numbers without a country's code are national: with a zero or an area in front."""
+    if rank == 0:
+        ending = plain_email(found).rpartition(".")[2].lower()
+        return ending in ENDINGS or len(ending) == 2 and ending.isalpha()
+    if rank == 1:
+        first, _, rest = found.partition(".")
+        return first.lstrip("0") not in ("", "10", "127", "1", "2") and int(first[:4]) < 224 and not found.startswith(("192.168.", "169.254."))
+    if rank == 2:
+        return any(len(digits) in sizes and low <= int(digits[: len(str(low))]) <= high for low, high, sizes in ISSUERS)
+    if found[0] == "+":
+        return digits[0] in "17" or digits[:2] in TWO_DIGIT_CODES or digits[:2] in THREE_DIGIT_CODES
+    return digits[0] == "0" and 9 <= len(digits) <= 12 or digits[0] in "23456789" and len(digits) == 10
+
+
 def judged(text: str, rank: int, start: int, end: int, base: set[tuple[int, int, int]]) -> tuple[int, int]:
     """The labelers' votes and the features of a candidate, as codes."""
     found, digits = text[start:end], NOT_DIGIT.sub("", text[start:end])
-    before, after = text[max(0, start - 40) : start], text[end : end + 1]
-    sound = rank == 0 and found.count("@") == 1 or rank == 1 and octets(found) or rank == 2 and len(digits) <= 19 and luhn(digits) or rank == 3 and 8 <= len(digits) <= 15
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + 1]
+    sound = rank == 0 and bool(PLAIN_EMAIL.fullmatch(plain_email(found))) or rank == 1 and octets(found) or rank == 2 and len(digits) <= 19 and luhn(digits) or rank == 3 and 8 <= len(digits) <= 15
     glued = bool(before[-1:].isalnum() or after.isalnum() or before[-1:] in "-_/" and before or after in "-_/" and after)
     context = 1 if FOR_IT.search(before) else 0 if AGAINST_IT.search(before) else 2
-    known = found.rpartition(".")[2].rpartition(" ")[2].lower() in ENDINGS if rank == 0 else digits[:1] in "3456" if rank == 2 else found[:1] in "+(" if rank == 3 else not found.startswith(("0.", "1.0", "2.0"))
-    dull = bool(PLACEHOLDER.search(found)) or len(set(digits)) == 1 and len(digits) > 3
+    known = in_gazetteer(rank, found, digits)
+    dull = bool(PLACEHOLDER.search(found)) or len(set(digits)) == 1 and len(digits) > 3 or " at " in found and " dot " not in found
     separators = {c for c in found if c in " .-()"}
     tidy = len(separators - set("()")) <= 2
-    votes = (1 if (rank, start, end) in base else 2, 1 if sound else 0, 1 if known else 2 if rank == 3 else 0, context, 0 if glued else 2, 0 if dull else 1 if tidy else 2)
-    features = (rank, min(3, len(found) // 8), context, 0 if not separators else 1 if tidy else 2, int(sound), int(glued), int(bool(known) and not dull))
+    votes = (1 if (rank, start, end) in base else 2, 1 if sound else 0, 1 if known else 0, context, 0 if glued else 2, 0 if dull else 1 if tidy else 2)
+    features = (rank, min(3, len(found) // 8), context, 0 if not separators else 1 if tidy else 2, int(sound), int(glued), int(known and not dull))
     code = 0
     for value, size in zip(features, (4, 4, 3, 3, 2, 2, 2), strict=True):
         code = code * size + value
@@ -213,14 +247,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fresh = F.filter("candidates", lambda c: F.array_contains(good, c["features"]) & ~F.exists("base", lambda b: overlap(b, c)))
     # earliest, then longest; one that overlaps an earlier one goes
     ordered = F.array_sort(F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), (-c["end"]).alias("less"), c["rank"].alias("rank"))))
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast(SPANS).alias("spans"))
+    # a span is taken if it begins behind all that were taken before it: the furthest end of the earlier ones is carried along
+    ends = lambda spans: F.transform(spans, lambda c: -c["less"])
 
-    def take(acc: Column, c: Column) -> Column:
-        span = F.struct(c["rank"].alias("rank"), c["start"].alias("start"), (-c["less"]).alias("end"))
-        return F.when(c["start"] >= acc["end"], F.struct((-c["less"]).alias("end"), F.array_append(acc["spans"], span).alias("spans"))).otherwise(acc)
+    def taken(spans: Column) -> Column:
+        far = running(ends(spans), F.greatest)
+        apart = F.filter(spans, lambda c, i: (i == 0) | (c["start"] >= F.get(far, i - 1)))
+        return F.transform(apart, lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), (-c["less"]).alias("end")))
 
-    added = F.when(F.size("candidates") > 0, F.array_sort(F.aggregate(ordered, empty, take, lambda acc: acc["spans"]))).otherwise(F.array().cast(SPANS))
-    return found.select(F.col("id").alias(id_col), F.array_sort("base").alias("base"), added.alias("added"))
+    added = F.when(F.size("candidates") > 0, F.array_sort(let(ordered, taken))).otherwise(F.array().cast(SPANS))
+    return found.select(F.col("id").alias(id_col), F.array_sort("base").alias("base"), added.cast(SPANS).alias("added"))
 
 
 def rendered(spans: Column) -> Column:

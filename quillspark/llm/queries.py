@@ -60,6 +60,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *map(count, pii.KINDS),
         F.sha2(pii.rendered(F.col("base")), 256).alias("base_sha256"),
         pii.rendered(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

@@ -1,9 +1,11 @@
+import hashlib
 import random
 import re
 
 import numpy as np
+from llm_data import prose
 
-from quillspark.llm import pii
+from quillspark.llm import pii, queries
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -75,3 +77,51 @@ def test_regression_learns_soft_labels():
 
 def test_feature_codes_are_bounded():
     assert len(pii.features_of(pii.FEATURE_CODES - 1)) == 20 and sum(pii.features_of(pii.FEATURE_CODES - 1)) == 7
+
+
+def planted(seed, n):
+    """Texts with personal data that the patterns miss, and the like that is none: text, spans, decoys."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    real = [
+        lambda: f"{name()} [at] {name()} [dot] com".replace(" ", ""), lambda: f"{name()}.{name()}(at){name()}.org", lambda: f"{name()} at {name()} dot net",
+        lambda: f"(2{digits(2)}) 5{digits(2)}-{digits(4)}", lambda: f"0{rng.choice('123')}{digits(2)} {digits(3)} {digits(4)}", lambda: f"{name()}@{name()}.io", lambda: f"+49 30 {digits(7)}",
+    ]
+    decoys = [lambda: f"version 1.0.{digits(1)}.{digits(2)}", lambda: f"ISBN 978{digits(10)}", lambda: f"order {digits(9)}x", lambda: f"meet at {name()}.{name()}", lambda: f"part-{digits(8)}-{digits(5)}"]
+    rows = []
+    for k in range(n):
+        said = rng.choice(["call", "mail", "contact:", "telefon", "and", "so"])
+        found, other = rng.choice(real)(), rng.choice(decoys)()
+        text = f"{prose(k, 6)} {other} {prose(k + 1, 5)} {said} {found} {prose(k + 2, 4)}"
+        rows.append((k, text, (text.index(found), text.index(found) + len(found)), (text.index(other), text.index(other) + len(other))))
+    return rows
+
+
+def test_recall_and_precision_on_planted_spans(make_docs):
+    rows = planted(3, 900)
+    found = pii.detect(make_docs([(k, t) for k, t, _, _ in rows])).collect()
+    added = {r["doc_id"]: [(s["start"], s["end"]) for s in r["added"]] for r in found}
+    got = {r["doc_id"]: added[r["doc_id"]] + [(s["start"], s["end"]) for s in r["base"]] for r in found}
+    meets = lambda a, b: a[0] < b[1] and b[0] < a[1]
+    caught = sum(any(meets(x, s) for x in got[k]) for k, _, s, _ in rows) / len(rows)
+    wrong = sum(any(meets(x, d) for x in added[k]) for k, _, _, d in rows) / len(rows)
+    assert caught >= 0.9 and wrong <= 0.1, (caught, wrong)
+
+
+def test_long_candidates_and_many_of_them(make_docs):
+    rows = [(1, "a" * 5000 + "@" + "b" * 3000 + ".com"), (2, "7" * 200_000), (3, "x [at] y.com " * 3000), (4, "1 2 3 4 5 6 7 8 9 " * 5000), (5, "@" * 100_000), (6, " at a" * 30_000)]
+    got = {r["doc_id"]: (len(r["base"]), len(r["added"])) for r in pii.detect(make_docs(rows)).collect()}
+    assert got[1][0] == 1 and len(got) == 6
+
+
+def test_query_base_against_plain_loops(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    shown = lambda spans: ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    for r in queries.op5_pii(spark, sf).collect():
+        base = sorted(brute(texts[r["doc_id"]]))
+        assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(k == x for k, _, _ in base) for x in range(4)]
+        assert r["base_sha256"] == hashlib.sha256(shown(base).encode()).hexdigest()
+        spans = [x for x in r["spans"].split(",") if x]
+        assert set(shown(base).split(",")) - {""} <= set(spans) and r["n_spans"] == len(spans)
