@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import colorsys
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,47 +35,48 @@ def is_low_contrast(a: Column, b: Column, enough: float = ENOUGH) -> Column:
     return F.coalesce(contrast(a, b) < enough, F.lit(False))
 
 
-def _plain_luminance(rgb: tuple[float, ...]) -> float:
-    r, g, b = (c / 12.92 if c <= 0.03928 else ((c + 0.055) / 1.055) ** 2.4 for c in rgb)
-    return 0.2126 * r + 0.7152 * g + 0.0722 * b
+#: The grid of tones that a repair looks through: shares of the colour's strength, and steps of lightness away from the ground's.
+STRENGTHS, STEPS, STEP = (1.0, 0.85, 0.65, 0.45, 0.25, 0.0), 59, 0.02
 
 
-def _accessible(colour: str, ground: str, enough: float) -> str:
-    def parsed(x: str) -> tuple[float, ...]:
-        return tuple(int(x[i : i + 2], 16) / 255 for i in (0, 2, 4))
+def _linear_light(rgb: np.ndarray) -> np.ndarray:
+    return np.where(rgb <= 0.03928, rgb / 12.92, ((rgb + 0.055) / 1.055) ** 2.4) @ np.array([0.2126, 0.7152, 0.0722])
 
-    plain, under = colour.strip().lstrip("#"), ground.strip().lstrip("#")
+
+def _tones(hue: float, light: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """[n, 3]: colours of one hue."""
+    top = np.where(light <= 0.5, light * (1 + strength), light + strength - light * strength)
+    low = 2 * light - top
+    turns = np.array([hue + 1 / 3, hue, hue - 1 / 3]) % 1.0
+    share = np.select([turns < 1 / 6, turns < 0.5, turns < 2 / 3], [turns * 6, 1.0, (2 / 3 - turns) * 6], 0.0)
+    return low[:, None] + (top - low)[:, None] * share[None, :]
+
+
+def _repaired(colour: str, ground: str) -> str:
+    plain, under = (x.strip().lstrip("#") for x in (colour, ground))
     try:
-        start, below = parsed(plain), _plain_luminance(parsed(under))
+        start, below = (np.array([int(x[i : i + 2], 16) / 255 for i in (0, 2, 4)]) for x in (plain, under))
     except ValueError:
         return plain.upper()
-
-    def ratio(rgb: tuple[float, ...]) -> float:
-        own = _plain_luminance(rgb)
-        return (max(own, below) + 0.05) / (min(own, below) + 0.05)
-
+    dark = float(_linear_light(below))
     hue, light, strength = colorsys.rgb_to_hls(*start)
-
-    def tries() -> Iterator[tuple[float, ...]]:
-        for part in (1.0, 0.85, 0.65, 0.45, 0.25, 0.0):
-            for step in range(1, 60):
-                moved = max(0, light - step * 0.02) if below > 0.5 else min(1, light + step * 0.02)
-                yield colorsys.hls_to_rgb(hue, moved, min(1.0, strength * part))
-        yield from ((0.0, 0.0, 0.0), (1.0, 1.0, 1.0))
-
-    best = start
-    for rgb in tries():
-        if ratio(rgb) >= enough:
-            best = rgb
-            break
-        if ratio(rgb) > ratio(best):
-            best = rgb
-    return "".join(f"{round(max(0.0, min(c, 1.0)) * 255):02X}" for c in best)
+    way = -STEP if dark > 0.5 else STEP
+    lights = np.clip(light + way * np.arange(1, STEPS + 1), 0, 1)
+    grid = [_tones(hue, lights, np.full(STEPS, min(1.0, strength * part))) for part in STRENGTHS]
+    tones = np.vstack([*grid, np.zeros((1, 3)), np.ones((1, 3))])
+    own = _linear_light(tones)
+    ratios = (np.maximum(own, dark) + 0.05) / (np.minimum(own, dark) + 0.05)
+    mine = float(_linear_light(start))
+    enough = np.flatnonzero(ratios >= ENOUGH)
+    best = tones[enough[0]] if len(enough) else tones[ratios.argmax()] if ratios.max() > (max(mine, dark) + 0.05) / (min(mine, dark) + 0.05) else start
+    return "".join(f"{int(c):02X}" for c in np.rint(np.clip(best, 0, 1) * 255))
 
 
 def _accessible_series(colour: pd.Series, ground: pd.Series) -> pd.Series:
-    known: dict[tuple[str, str], str] = {}
-    return pd.Series([None if a is None or b is None else known.get((a, b)) or known.setdefault((a, b), _accessible(a, b, ENOUGH)) for a, b in zip(colour, ground, strict=True)])
+    """Each pair of colours of a batch once."""
+    pairs = pd.DataFrame({"a": colour, "b": ground})
+    known = {(a, b): _repaired(a, b) for a, b in pairs.dropna().drop_duplicates().itertuples(index=False)}
+    return pd.Series([known.get(x) for x in pairs.itertuples(index=False, name=None)], dtype=object)
 
 
 def accessible(colour: Column, ground: Column) -> Column:

@@ -91,14 +91,14 @@ def element_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return elements(spark, d).groupBy(text.fingerprint("text").alias("fingerprint")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
-@query(rf"""with {ELEMENTS_SQL}, t as (select doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[_`~|]', ' ', 'g'), '[^a-z0-9=+\-*/^().,:; ]', '', 'g')) as n from elements),
+@query(rf"""with {ELEMENTS_SQL}, t as (select doc_id, idx, text, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[_`~|]', ' ', 'g'), '[^a-z0-9=+\-*/^().,:; ]', '', 'g')) as n from elements),
 u as (select *, {' + '.join(f"contains(n, '{x}')::int" for x in text.EQUATION_SIGNS)} as signs, length(regexp_replace(n, '[^0-9]', '', 'g')) as digits from t)
-select doc_id, count(*) filter (where length(trim(text)) >= 5) as valid, count(*) filter (where signs >= 3 or (signs >= 2 and digits >= 2)) as equations,
+select doc_id, count(*) filter (where length(trim(text)) >= 5 and (idx % 4 = 0 or (idx % 41) / 40 between 0.05 and 0.95)) as valid, count(*) filter (where signs >= 3 or (signs >= 2 and digits >= 2)) as equations,
     count(*) filter (where regexp_matches(trim(text), '^(?:[0-9]+[.)]|[a-zA-Z][.)]|[ivxlcdmIVXLCDM]+\.)(?:$|\s+)')) as list_items,
     count(*) filter (where trim(replace(replace({COLLAPSE.format('text')}, '"', ''), '''', '')) = '') as empty from u group by doc_id""")
 def element_predicates(spark: SparkSession, d: str) -> DataFrame:
     return elements(spark, d).groupBy("doc_id").agg(
-        F.count_if(text.is_valid_paragraph("text", F.lit(None).cast("double"))).alias("valid"),
+        F.count_if(text.is_valid_paragraph("text", F.when(F.col("idx") % 4 != 0, F.col("idx") % 41 / 40))).alias("valid"),
         F.count_if(text.is_equation_like("text")).alias("equations"),
         F.count_if(text.is_list_item("text")).alias("list_items"),
         F.count_if(text.is_effectively_empty("text")).alias("empty"),
@@ -235,10 +235,12 @@ def list_counters(spark: SparkSession, d: str) -> DataFrame:
     return ordered.level_counters(rows, ["l_orderkey"], ORDER.split(", "), "level", 3).select("l_orderkey", "l_linenumber", "l_partkey", "level", F.col("counter").cast("long").alias("counter"))
 
 
-@query(f"""with {ELEMENTS_SQL}, e as (select doc_id, idx, trim(text) = '' as empty, (idx - row_number() over (partition by doc_id, trim(text) = '' order by idx)) as g from elements)
+@query(f"""with {ELEMENTS_SQL}, c as (select doc_id, idx, case when idx % 3 = 1 or idx % 7 = 2 then ' ' else text end as text from elements), e as (select doc_id, idx, trim(text) = '' as empty, (idx - row_number() over (partition by doc_id, trim(text) = '' order by idx)) as g from c)
 select doc_id, min(idx) as first, count(*) as length, case when count(*) > 1 then 'double_empty_paragraph' else 'empty_paragraph' end as alert from e where empty group by doc_id, g""")
 def empty_runs(spark: SparkSession, d: str) -> DataFrame:
-    return ordered.empty_runs(elements(spark, d), ["doc_id"], ["idx"])
+    """Runs of empty lines, of which some are made here."""
+    cleared = F.when((F.col("idx") % 3 == 1) | (F.col("idx") % 7 == 2), " ").otherwise(F.col("text"))
+    return ordered.empty_runs(elements(spark, d).withColumn("text", cleared), ["doc_id"], ["idx"])
 
 
 REFLOW_SQL = """r as (select l_orderkey, l_linenumber, l_partkey, case when l_returnflag = 'N' then 'reflow-candidate' else 'content-change' end as classification, l_suppkey % 2 as lp, l_partkey % 2 as rp, l_discount <= l_tax as down, abs(l_discount - l_tax) as distance from lineitem)"""
