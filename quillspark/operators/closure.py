@@ -1,11 +1,12 @@
 """Closures over parent pointers by pointer jumping: each round doubles the distance a node has looked along its chain, so a chain
-of n nodes takes log2 n joins of equal size; cycles end because a chain that hasn't ended after log2 n rounds is one."""
+of n nodes takes log2 n joins of equal size, and it ends soon after the longest chain has; cycles end because a chain that hasn't ended after as many rounds as all
+nodes could make up is one."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import cut
@@ -32,6 +33,8 @@ def along_chain(nodes: DataFrame) -> DataFrame:
         )
         if k % CUT_EVERY == CUT_EVERY - 1:
             now = cut(now)
+            if now.where("jump is not null").isEmpty():
+                break
     return now.select("node", "value", "steps", F.when(F.col("jump").isNull(), F.col("root")).alias("root"))
 
 
@@ -51,7 +54,3 @@ def without_same_below(nodes: DataFrame, role: str = "role") -> DataFrame:
         if looking.isEmpty():
             return nodes.join(found, nodes["node"] == found["hit"], "left_anti")
         seen = cut(seen.union(looking))
-
-
-def null_safe(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)

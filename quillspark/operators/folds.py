@@ -6,10 +6,11 @@ So many small documents cost no more than their rows.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,25 +21,29 @@ OUT_ROWS = 20_000
 
 
 def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[object, list], Iterable[tuple]], schema: str) -> DataFrame:
-    """fold(key, rows) over each document's rows, in order, as named tuples; it gives tuples without the key, which comes first in the schema."""
-    names = [x.split()[0] for x in schema.split(", ")]
-    whole = {x.split()[0] for x in schema.split(", ") if x.split()[1] in ("int", "long")}
+    """fold(key, rows) over each document's rows, in order, as named tuples of plain Python values; it gives tuples without the key, which comes first in the
+    schema. Rows without a key belong to no document and are left out."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    out_schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({c: "Int64" for c in names if c in whole})
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out_schema, strict=True)], schema=out_schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        rows = (r for batch in batches for r in batch.itertuples(index=False))
-        for k, mine in groupby(rows, key=lambda r: getattr(r, key)):
+        for k, mine in groupby((r for b in batches for r in rows_of(b)), key=lambda r: getattr(r, key)):
             out += ((k, *x) for x in fold(k, list(mine)))
             if len(out) >= OUT_ROWS:
-                yield frame(out)
+                yield batch(out)
                 out = []
-        yield frame(out)
+        if out:
+            yield batch(out)
 
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    def rows_of(b: pa.RecordBatch) -> Iterator[tuple]:
+        row = namedtuple("row", b.schema.names)
+        return map(row._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def list_runs(lines: DataFrame) -> DataFrame:
@@ -64,7 +69,7 @@ def list_runs(lines: DataFrame) -> DataFrame:
             elif r.bullet:
                 open_lists = {k: v for k, v in open_lists.items() if k < r.level}
                 yield r.idx, 0, r.level, "bullet", None
-            elif pd.isna(r.kind):
+            elif r.kind is None:
                 open_lists.clear()
             else:
                 open_lists = {k: v for k, v in open_lists.items() if k <= r.level}
@@ -83,9 +88,9 @@ def match_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     role. Null where none is left. Both: doc_id, pos, role, source_part, names (array of targets)."""
 
     def fold(_: object, both: list) -> Iterator[tuple]:
-        left = [(t.pos, t.role, t.source_part, set(t.names)) for t in both if not t.is_row]
+        left = [(t.pos, t.role, t.source_part, set(t.names or ())) for t in both if not t.is_row]
         for r in (x for x in both if x.is_row):
-            names = set(r.names)
+            names = set(r.names or ())
             by_name = (lambda t: t[1] == r.role and t[2] == r.source_part, lambda t: t[1] == r.role, lambda t: bool(r.source_part) and t[2] == r.source_part, lambda t: True)  # noqa: B023
             tiers = [lambda t, f=f: bool(t[3] & names) and f(t) for f in by_name] if names else []  # noqa: B023
             tiers += [lambda t: bool(r.role and r.source_part) and t[1] == r.role and t[2] == r.source_part, lambda t: bool(r.role) and t[1] == r.role]  # noqa: B023
@@ -128,7 +133,7 @@ def filled_previews(items: DataFrame) -> DataFrame:
 
     def fold(_: object, mine: list) -> Iterator[tuple]:
         rows = [[r.idx, r.role, r.page, r.y0, r.y1] for r in mine]
-        known = [not (pd.isna(r[2]) or pd.isna(r[3])) for r in rows]
+        known = [r[2] is not None and r[3] is not None for r in rows]
         after: list[int | None] = [None] * len(rows)
         for k in range(len(rows) - 2, -1, -1):
             after[k] = k + 1 if known[k + 1] else after[k + 1]
@@ -145,9 +150,9 @@ def filled_previews(items: DataFrame) -> DataFrame:
                 elif anchor := ahead or before:
                     top = min(anchor[4] + 0.004, 0.97)
                     r[2:] = anchor[2], top, min(top + 0.02, 0.995)
-                known[k] = not pd.isna(r[2])
+                known[k] = r[2] is not None
             last = k if known[k] else last
-        yield from ((idx, None if pd.isna(page) else int(page), y0, y1) for idx, _, page, y0, y1 in rows)
+        yield from ((idx, page, y0, y1) for idx, _, page, y0, y1 in rows)
 
     return each_document(items.select("doc_id", "idx", "role", "page", "y0", "y1"), "doc_id", ["idx"], fold, "doc_id long, idx long, page long, y0 double, y1 double")
 

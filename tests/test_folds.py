@@ -91,3 +91,9 @@ def test_items_an_answer_leaves_out_get_nothing(spark):
     some = generation.generated(items, lambda batch: "1. only the first")
     assert sorted(r["id"] for r in some.collect()) == [0, 6]
     assert generation.generated(items).count() == 10
+
+
+def test_large_ids_and_missing_documents(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, 2**60 + 1, "1. a", None), (big, 2**60 + 3, "2. b", False), (None, 1, "1. x", False), (None, 2, "2. y", False)], "doc_id long, idx long, text string, numbered boolean")
+    assert sorted((r["doc_id"], r["idx"], r["number"]) for r in folds.list_runs(df).collect()) == [(big, 2**60 + 1, 1), (big, 2**60 + 3, 2)]
