@@ -35,8 +35,8 @@ from quillspark.llm.common import text_slices
 MARK = "▁"
 #: What a worker remembers, in bytes of Python objects as estimated below; beyond that it starts anew. Segments of some words' length
 #: recur, longer ones hardly do.
-CACHE_BYTES, SEGMENT_BYTES, ENTRY_BYTES = 24 << 20, 64, 200
-PAIRS = 200_000
+CACHE_BYTES, SEGMENT_BYTES, ENTRY_BYTES = 64 << 20, 64, 200
+PAIRS = 600_000
 
 
 def read_vocabulary(model_path: str) -> dict:
