@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontamination, language_id, line_dedup, ngram_jaccard
-from quillspark.llm.common import staging_path, table
+from quillspark.llm.common import delete_path, staging_path, table
 from quillspark.llm.queries import encoded_digests
 
 
@@ -58,10 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows over the documents of sf_dir. Each stage's table stays in the shared folder, so that a lost executor costs no earlier stage."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over the documents of sf_dir. Each stage's table lies in the shared folder until the next one is written, so that a lost executor
+    costs no earlier stage; the last one's stays, as the result is read from it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = staging_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        before = path
     return docs
