@@ -20,14 +20,13 @@ from quillspark.session import table
 from quillspark.sources import docx
 
 SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in docx.NS.items() if k != "pr")
-#: The first lines of a document that become paragraphs of a package: every third has a picture, every fifth a formula; the first is the header.
-LINES = 12
+#: Every line of a document becomes a paragraph of its package: every third has a picture, every fifth a formula; the first is the header, too.
 XML_SAFE = r"[^\x20-퟿-�]"
 
 
 def made_packages(spark: SparkSession, d: str) -> DataFrame:
     """path, content: a package for each document, built in the tasks."""
-    lines = F.slice(F.split(F.regexp_replace(F.coalesce("text", F.lit("")), XML_SAFE.replace(r"\x20", r"\x0A\x20"), ""), "\n"), 1, LINES)
+    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), XML_SAFE.replace(r"\x20", r"\x0A\x20"), ""), "\n")
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), lines.alias("lines"))
 
     def paragraph(k: int, line: str) -> str:
@@ -52,8 +51,8 @@ def made_packages(spark: SparkSession, d: str) -> DataFrame:
     return rows.mapInPandas(build, "path string, content binary")
 
 
-LINES_SQL = rf"""e as (select doc_id::varchar as path, i - 1 as k, lines[i] as line from (select doc_id, lines, unnest(range(1, least(len(lines), {LINES}) + 1)) as i
-    from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\x0A\x20-\x{{D7FF}}\x{{E000}}-\x{{FFFD}}]', '', 'g'), chr(10)) as lines from documents)))"""
+LINES_SQL = r"""e as (select doc_id::varchar as path, i - 1 as k, lines[i] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i
+    from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}]', '', 'g'), chr(10)) as lines from documents)))"""
 
 
 @query(rf"""with {LINES_SQL} select path, count(*) as total_items, count(*) as images, 0::bigint as equations, count(*) filter (where k % 2 = 0) as with_alt_text, 0::bigint as generated_alt_text,
