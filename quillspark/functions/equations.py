@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions import geometry as G
 from quillspark.functions.columns import column, let
 from quillspark.functions.responses import any_of, word_count
-from quillspark.functions.text import Text, collapse, text_or_empty
+from quillspark.functions.text import Text, collapse, is_section_heading, normal_for_style, text_or_empty
 
 #: Signs and words that speak for an equation or against one.
 RAW_SIGNS = ("=", "^", "_", "\\frac", "\\sqrt", "≤", "≥", "×", "÷", "·", "−", "–", "—")
@@ -28,6 +29,16 @@ STYLE_NOT = ("bizchat", "feedback", "page", "equation showing", "expression show
 STYLE_SPOKEN = ("equals", "over", "plus", "minus", "open parenthesis", "close parenthesis", "squared", "cubed")
 STOP_WORDS = ("the", "and", "for", "with", "from", "this", "that", "are", "was", "were", "into", "onto", "over", "under", "chart", "graph", "plot", "image", "figure")
 SPOKEN_MARKS = {"comma": ",", "ellipsis": "...", "open brace": "{", "close brace": "}", "open bracket": "[", "close bracket": "]", "open parenthesis": "(", "close parenthesis": ")"}
+#: Words of a picture's text that tell it from a formula, phrases of which some make a formula, and words of names that say one.
+PICTURE_WORDS = (
+    "graph", "axis", "axes", "grid", "curve", "curves", "rectangle", "picture", "figure", "plot", "diagram", "plane", "hyperbola", "ellipse", "parabola", "triangle", "line", "notes", "handwritten", "steps", "coordinate",
+)
+READ_OUT = ("equals", "plus", "minus", "over", "squared", "cubed", "open parenthesis", "close parenthesis", "fraction")
+MATH_WORDS, EDITOR_WORDS = ("equation", "formula", "math", "vector"), ("professional", "officemath")
+FIELD_WORDS = ("eq", "equation", "mathtype", "math", "professional", "officemath")
+PROGRAM_WORDS, OBJECT_WORDS, MEDIA_WORDS = ("equation", "mathtype", "math"), ("equation", "mathtype", "oleobject"), ("equation", "mathtype", "formula", "math")
+#: A picture's text that names or reads a formula has so many words at most, and reads out so many signs at least.
+MOST_WORDS, LEAST_READ_OUT = 12, 4
 NUMERIC = r"^[0-9\s.,]+$"
 
 
@@ -150,3 +161,47 @@ def finished(s: Text, role: Text, page: Text) -> Column:
         return F.when(text == "", "").when((column(role) == "equation") & is_low_quality(text), "").when(names, paged).otherwise(stopped)
 
     return let(collapse(s), ended)
+
+
+def picture_reads_as_equation(s: Text) -> Column:
+    """Whether a picture's text is that of a formula: no word of pictures in it, and an editor's name, a word for formulas in few words, or signs read out."""
+
+    def judged(normal: Column) -> Column:
+        words = F.split(normal, " +")
+        has = lambda values: F.arrays_overlap(words, F.array(*map(F.lit, values)))
+        few = F.size(words) <= MOST_WORDS
+        read_out = sum((normal.contains(x).cast("int") for x in READ_OUT), F.lit(0))
+        other = (normal == "") | is_section_heading(normal) | has(PICTURE_WORDS)
+        return F.when(other, False).when(has(EDITOR_WORDS), True).when(has(MATH_WORDS), few).otherwise(few & (read_out >= LEAST_READ_OUT))
+
+    return let(normal_for_style(s), judged)
+
+
+def target_is_equation(target: Text, relation: Text, known: Column) -> Column:
+    """Whether a part of a package holds a formula: known as one, an embedded object, or named like one. target: its path; relation: its relation's type."""
+    path, kind = F.lower(text_or_empty(target)), text_or_empty(relation)
+    embedded = path.startswith("word/embeddings/") & (any_of(kind, ("oleobject", "package")) | any_of(path, OBJECT_WORDS))
+    return F.coalesce(known, F.lit(False)) | embedded | (path.startswith("word/media/") & any_of(path, MEDIA_WORDS))
+
+
+def drawing_is_equation(s: Text, target: Text, relation: Text, known: Column, width: Column, height: Column) -> Column:
+    """Whether a drawing is a formula, by its part or else by its text, unless it is large."""
+    large = F.coalesce(G.size_class_of_points(width, height) == "large", F.lit(False))
+    return target_is_equation(target, relation, known) | (picture_reads_as_equation(s) & ~large)
+
+
+def paragraph_holds_equation(has_math: Column, instructions: Text, programs: Column, targets: Column, has_object: Column, style: Text) -> Column:
+    """Whether a paragraph holds a formula. has_math: an equation object or markup; instructions: its fields' text; programs: array<string> of its objects' program names;
+    targets: array<boolean>, target_is_equation() of its relations; has_object: an object or legacy picture, which counts in a style for formulas."""
+    words = F.regexp_extract_all(F.lower(text_or_empty(instructions)), F.lit(r"\w+"), F.lit(0))
+    truly = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        truly(has_math) | F.arrays_overlap(words, F.array(*map(F.lit, FIELD_WORDS))) | truly(F.exists(programs, lambda p: any_of(p, PROGRAM_WORDS)))
+        | truly(F.exists(targets, truly)) | (truly(has_object) & any_of(text_or_empty(style), MATH_WORDS))
+    )
+
+
+def is_visual_equation(role: Text, text: Text, program: Text, object_target: Text, image_target: Text) -> Column:
+    """An equation element with an object or picture, or without any text."""
+    given = lambda c: text_or_empty(c) != ""
+    return F.coalesce(column(role) == "equation", F.lit(False)) & (given(program) | given(object_target) | given(image_target) | (normal_for_style(text) == ""))

@@ -36,11 +36,17 @@ def intersection_area(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), across) * F.greatest(F.lit(0.0), down)
 
 
+def gap_x(a: Column, b: Column) -> Column:
+    return F.greatest(a["x0"] - b["x1"], b["x0"] - a["x1"], F.lit(0.0))
+
+
+def gap_y(a: Column, b: Column) -> Column:
+    return F.greatest(a["y0"] - b["y1"], b["y0"] - a["y1"], F.lit(0.0))
+
+
 def gap(a: Column, b: Column) -> Column:
     """The larger of the horizontal and the vertical distance; 0 where they meet."""
-    across = F.greatest(a["x0"] - b["x1"], b["x0"] - a["x1"], F.lit(0.0))
-    down = F.greatest(a["y0"] - b["y1"], b["y0"] - a["y1"], F.lit(0.0))
-    return F.greatest(across, down)
+    return F.greatest(gap_x(a, b), gap_y(a, b))
 
 
 def intersects(a: Column, b: Column) -> Column:
@@ -90,6 +96,11 @@ def union(b: Column) -> Column:
     return box(F.min(b["x0"]), F.min(b["y0"]), F.max(b["x1"]), F.max(b["y1"]))
 
 
+def union_of(a: Column, b: Column) -> Column:
+    """The box around two boxes."""
+    return box(F.least(a["x0"], b["x0"]), F.least(a["y0"], b["y0"]), F.greatest(a["x1"], b["x1"]), F.greatest(a["y1"], b["y1"]))
+
+
 def transform(matrix: Column, x: Column, y: Column) -> Column:
     """struct<x, y>: a point under an affine matrix struct a..f."""
     return F.struct((matrix["a"] * x + matrix["c"] * y + matrix["e"]).alias("x"), (matrix["b"] * x + matrix["d"] * y + matrix["f"]).alias("y"))

@@ -10,11 +10,12 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import responses
 from quillspark.functions.text import collapse
+from quillspark.operators.ordered import numbered
 
 BATCH, SMALL_BATCH, MANY_EQUATIONS = 24, 6, 0.4
 
@@ -24,9 +25,9 @@ def batches(items: DataFrame, by: str = "source") -> DataFrame:
     left = items.where(collapse("alt_text") == "")
     share = left.groupBy(by).agg((F.avg((F.lower("role") == "equation").cast("double")) >= MANY_EQUATIONS).alias("__small"))
     left = left.join(share, by)
-    at = F.row_number().over(Window.partitionBy(by).orderBy("id")) - 1
+    left = numbered(left, by, "id").withColumn("__at", F.col("__number") - 1).drop("__number")
     size = F.when(F.col("__small"), SMALL_BATCH).otherwise(BATCH)
-    left = left.withColumns({"__at": at, "__size": size})
+    left = left.withColumn("__size", size)
     return left.withColumns({"batch": F.floor(F.col("__at") / F.col("__size")).cast("long"), "number": (F.col("__at") % F.col("__size") + 1).cast("int")}).drop("__at", "__size", "__small")
 
 

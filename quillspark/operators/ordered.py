@@ -103,6 +103,22 @@ def level_counters(df: DataFrame, by: list[str], order: list[str], level: str, l
     return df.withColumn("counter", F.row_number().over(Window.partitionBy(*by, level, "__segment").orderBy(*order)) + start - 1).drop("__segment", *[f"__s{k}" for k in range(levels)])
 
 
+#: How far apart identifiers may be that are numbered in one task.
+NUMBERED_SPAN = 10_000
+
+
+def numbered(df: DataFrame, by: str, order: str, span: int = NUMBERED_SPAN) -> DataFrame:
+    """df with __number, the place of each row among those of its key, by a whole number without repeats within the key. A key with very many rows is numbered in spans of identifiers: what lies
+    in the spans before comes from a small table of counts, so that no task sorts a whole key. Rows whose key is null are numbered together; null identifiers come first."""
+    df = df.withColumn("__span", F.floor(F.coalesce(F.col(order).cast("long"), F.lit(-(1 << 62))) / span))
+    counts = df.groupBy(by, "__span").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(by).alias("__by"), F.col("__span").alias("__of"), before.alias("__before"))
+    rows = df.join(offsets, df[by].eqNullSafe(F.col("__by")) & (df["__span"] == F.col("__of")))
+    at = F.row_number().over(Window.partitionBy(by, "__span").orderBy(order))
+    return rows.withColumn("__number", F.col("__before") + at).drop("__span", "__by", "__of", "__before")
+
+
 def ordered_distinct(df: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
     """by..., values: distinct without regard to case, in order of first appearance, as first written."""
     first = df.groupBy(*by, F.lower(value).alias("__k")).agg(F.min(F.struct(order, value)).alias("f"))
