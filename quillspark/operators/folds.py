@@ -23,7 +23,7 @@ OUT_ROWS = 20_000
 def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[object, list], Iterable[tuple]], schema: str) -> DataFrame:
     """fold(key, rows) over each document's rows, in order, as named tuples of plain Python values; it gives tuples without the key, which comes first in the
     schema. Rows without a key belong to no document and are left out."""
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "string": pa.string()}
     out_schema = pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -49,13 +49,14 @@ def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[obj
 def list_runs(lines: DataFrame) -> DataFrame:
     """doc_id, idx, list_id, level, kind, number: typed list markers as lists. A new list begins where its level has none, the kind or template changes, the number is 1
     or doesn't follow; plain or blank lines end all lists, bullets those of their level and deeper, numbers the deeper ones. lines: doc_id, idx, text, numbered
-    (already a real list item: left alone, ends nothing)."""
+    (already a real list item: left alone, ends nothing); style and twips too, if the style's name and the indent may deepen a level."""
     prefix = T.list_prefix("text")
-    bullet = T.leading_blanks("text")
+    leading = F.coalesce(prefix["leading"], T.leading_blanks("text"))
+    level = T.list_level(leading, "style", F.col("twips")) if "style" in lines.columns else T.indent_level(leading)
     is_bullet = F.coalesce(T.opens_with_bullet("text"), F.lit(False))
     rows = lines.select(
         "doc_id", "idx", F.coalesce("numbered", F.lit(False)).alias("numbered"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), is_bullet.alias("bullet"),
-        F.when(is_bullet, T.indent_level(bullet)).otherwise(T.indent_level(prefix["leading"])).alias("level"), prefix["kind"].alias("kind"), prefix["template"].alias("template"), T.prefix_number(prefix).alias("number"),
+        level.cast("int").alias("level"), prefix["kind"].alias("kind"), prefix["template"].alias("template"), T.prefix_number(prefix).alias("number"),
     )
 
     def fold(_: object, mine: list) -> Iterator[tuple]:
@@ -80,7 +81,7 @@ def list_runs(lines: DataFrame) -> DataFrame:
                 open_lists[r.level] = (r.kind, r.template, r.number, own)
                 yield r.idx, own, int(r.level), r.kind, int(r.number)
 
-    return each_document(rows, "doc_id", ["idx"], fold, "doc_id long, idx long, list_id long, level int, kind string, number long")
+    return each_document(rows, "doc_id", ["idx"], fold, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, idx long, list_id long, level int, kind string, number long")
 
 
 def match_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -13,19 +13,19 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import colour, equations, text
 from quillspark.functions import geometry as G
-from quillspark.operators import anchors, inventory
+from quillspark.operators import anchors, inventory, numbering
 from quillspark.plans.queries import query
 from quillspark.plans.views import BOXES_SQL, COLOURS_SQL, ELEMENTS_SQL, ITEMS_SQL, OPENING_PHRASES, PHRASES_SQL, _sql_list, boxes, colours, elements, items, phrases
 from quillspark.session import table
-from quillspark.sources import docx
+from quillspark.sources import docx, docx_repairs
 
 SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in docx.NS.items() if k != "pr")
 #: Every line of a document becomes a paragraph of its package: every third has a picture, every fifth a formula; the first is the header, too.
 XML_SAFE = r"[^\x20-퟿-�]"
 
 
-def made_packages(spark: SparkSession, d: str) -> DataFrame:
-    """path, content: a package for each document, built in the tasks."""
+def made_packages(spark: SparkSession, d: str, marker: Callable[[int], str] = lambda k: "") -> DataFrame:
+    """path, content: a package for each document, built in the tasks; its paragraphs may have typed markers."""
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), XML_SAFE.replace(r"\x20", r"\x0A\x20"), ""), "\n")
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), lines.alias("lines"))
 
@@ -33,7 +33,7 @@ def made_packages(spark: SparkSession, d: str) -> DataFrame:
         said = "" if k % 2 else f' descr="picture {k}"'
         picture = f'<w:r><w:drawing><wp:inline><wp:extent cx="1270000" cy="635000"/><wp:docPr id="{k}" name="Picture {k}"{said}/><a:graphic><a:blip r:embed="rId{k}"/></a:graphic></wp:inline></w:drawing></w:r>' if k % 3 == 0 else ""
         formula = "<m:oMath><m:r><m:t>a=b</m:t></m:r></m:oMath>" if k % 5 == 1 else ""
-        return f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r>{picture}{formula}</w:p>'
+        return f'<w:p><w:r><w:t xml:space="preserve">{escape(marker(k) + line)}</w:t></w:r>{picture}{formula}</w:p>'
 
     def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -87,6 +87,28 @@ def package_formulas(spark: SparkSession, d: str) -> DataFrame:
     return docx.formula_storage(made_packages(spark, d)).withColumn("programs", F.array_join("programs", ","))
 
 
+def typed_marker(k: int) -> str:
+    """Of six lines: an item, one below it, another, one below that, a bullet, and plain text."""
+    return (f"{k // 6 * 2 + 1}. ", "    (a) ", f"{k // 6 * 2 + 2}. ", "    (b) ", "- ", "")[k % 6]
+
+
+@query(rf"""with {LINES_SQL} select path, k as idx, k % 6 not in (4, 5) as numbered, case k % 6 when 0 then (k // 6 * 2 + 1) || '.' when 2 then (k // 6 * 2 + 2) || '.' when 1 then '(a)' when 3 then '(b)' else '{docx_repairs.BULLET}' end as prefix,
+    md5(regexp_replace(line, '^\s+', '')) as digest from e where k % 6 < 5
+    union all select path, max(k) + 1, true, '(a)', md5(regexp_replace(arg_min(line, k), '^\s+', '')) from e group by path""")
+def package_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Typed markers become lists of the word processor; read again, their rendered numbers are what was typed."""
+    made = made_packages(spark, d, marker=typed_marker)
+    again = docx_repairs.with_lists(made, docx_repairs.typed_lists(docx_repairs.paragraphs(made))).select("path", "content")
+    return rendered_lists(docx_repairs.paragraphs(again), docx.numbering(again))
+
+
+def rendered_lists(items: DataFrame, levels: DataFrame) -> DataFrame:
+    key = F.concat_ws("/", "doc_id", "num_id")
+    spec = levels.select(F.concat_ws("/", "path", "num_id").alias("num_id"), F.col("ilvl").cast("int").alias("level"), F.col("lvl_text").alias("template"), F.col("num_fmt").alias("format"), "start", F.lit(None).cast("int").alias("first"))
+    found = numbering.numbered(items.where("num_id is not null").withColumn("num_id", key), spec, ["doc_id"], ["idx"])
+    return found.select(F.col("doc_id").alias("path"), "idx", (F.col("prefix") != docx_repairs.BULLET).alias("numbered"), "prefix", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 def box_key():
     """A key of the view's boxes within their page, in order of their numbers."""
     return F.col("n") * 10**9 + F.col("l_partkey") * 10**4 + F.col("l_suppkey")
