@@ -89,7 +89,7 @@ def package_formulas(spark: SparkSession, d: str) -> DataFrame:
 
 def typed_marker(k: int) -> str:
     """Of six lines: an item, one below it, another, one below that, a bullet, and plain text."""
-    return (f"{k // 6 * 2 + 1}. ", "    (a) ", f"{k // 6 * 2 + 2}. ", "    (b) ", "- ", "")[k % 6]
+    return (f"{k // 6 * 2 + 1}. ", "    (a) ", f"{k // 6 * 2 + 2}. ", "    (b) ", "- ", "then ")[k % 6]
 
 
 @query(rf"""with {LINES_SQL} select path, k as idx, k % 6 not in (4, 5) as numbered, case k % 6 when 0 then (k // 6 * 2 + 1) || '.' when 2 then (k // 6 * 2 + 2) || '.' when 1 then '(a)' when 3 then '(b)' else '{docx_repairs.BULLET}' end as prefix,
