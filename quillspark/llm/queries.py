@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
+from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, merkle, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
 from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
@@ -117,6 +117,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = merkle.manifest(docs, also={"tampered": merkle.tampered_leaf()})
+    folded = out.withColumn("folded_root", merkle.fold(F.coalesce("tampered", "leaf"), F.col("lefts"), F.col("rights")))
+    proof = merkle.proof_digest(F.col("lefts"), F.col("rights"))
+    return folded.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_decontamination": op2_decontamination,
@@ -128,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {
@@ -169,5 +178,32 @@ r as (select digest, max(page_id) as response from d where n >= 1000 group by di
 select d.page_id, n::bigint as payload_bytes, d.digest as payload_digest, case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
     case when response <> page_id then response end as refers_to, true as complete
 from d left join r on r.digest = d.digest
+""",
+    "op13_merkle": r"""
+with recursive d as (select doc_id, lang, case when lang is null then '' else '.' || lang end as grp,
+    [case when doc_id is null then '-' else length(doc_id::varchar) || ':' || doc_id end, case when source is null then '-' else strlen(source) || ':' || source end, case when lang is null then '-' else strlen(lang) || ':' || lang end] as before,
+    case when text is null then '-' else strlen(text) || ':' || text end as after, n_chars, n_chars + 1 as more,
+    [4294967295] || flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(doc_id::varchar, '')]) as steps from documents),
+h as (select *, sha256(array_to_string(before, '') || case when n_chars is null then '-' else length(n_chars::varchar) || ':' || n_chars end || after) as leaf,
+    sha256(array_to_string(before, '') || case when more is null then '-' else length(more::varchar) || ':' || more end || after) as raised,
+    xor(list_reduce(steps, lambda c, x: case when x >= 0 then xor(c, x::bigint) else xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end) end), 4294967295) as crc from d),
+l as (select *, row_number() over (partition by grp order by doc_id nulls first, leaf) - 1 as idx from h),
+t(grp, lvl, idx, hash) as (select grp, 0, idx, leaf from l union all
+    select grp, lvl + 1, idx // 2, sha256(string_agg(hash, '' order by idx)) from (select *, count(*) over (partition by grp) as n from t) where n > 1 group by grp, lvl, idx // 2),
+top as (select grp, max(lvl) as height from t group by grp),
+sub as (select t.grp, t.hash as subroot, row_number() over (order by t.grp) - 1 as idx from t join top on t.grp = top.grp and t.lvl = top.height),
+u(lvl, idx, hash) as (select 0, idx, subroot from sub union all
+    select lvl + 1, idx // 2, sha256(string_agg(hash, '' order by idx)) from (select *, count(*) over () as n from u) where n > 1 group by lvl, idx // 2),
+r as (select hash as root from u order by lvl desc limit 1),
+sib as (select l.grp, l.idx, t.lvl, case when t.idx < l.idx >> t.lvl then 'L' else 'R' end as side, t.hash from l join t on t.grp = l.grp and t.idx = xor(l.idx >> t.lvl, 1) join top on top.grp = l.grp where t.lvl < top.height),
+alone as (select l.grp, l.idx, s.lvl from l join top on top.grp = l.grp, lateral (select unnest(range(0, top.height)) as lvl) s),
+low as (select a.grp, a.idx, a.lvl, coalesce(side, 'N') as side, coalesce(hash, '') as hash from alone a left join sib on sib.grp = a.grp and sib.idx = a.idx and sib.lvl = a.lvl),
+high as (select sub.grp, w.lvl, case when v.idx is null then 'N' when v.idx < sub.idx >> w.lvl then 'L' else 'R' end as side, coalesce(v.hash, '') as hash
+    from sub, lateral (select unnest(range(0, (select max(lvl) from u))) as lvl) w left join u v on v.lvl = w.lvl and v.idx = xor(sub.idx >> w.lvl, 1)),
+p as (select grp, idx, 0 as part, lvl, side, hash from low union all select l.grp, l.idx, 1, high.lvl, side, hash from l join high on high.grp = l.grp),
+q as (select grp, idx, list(side || hash order by part, lvl) as proof from p group by grp, idx),
+z as (select l.*, subroot, root, coalesce(q.proof, []) as proof from l join sub on sub.grp = l.grp cross join r left join q on q.grp = l.grp and q.idx = l.idx),
+f as (select *, list_reduce([case when crc % 7 = 0 then raised else leaf end] || proof, lambda a, x: sha256(case x[1] when 'L' then x[2:] || a when 'R' then a || x[2:] else a end)) as folded_root from z)
+select doc_id, leaf, subroot, root, sha256(array_to_string([x[2:] for x in proof], '')) as proof_sha256, folded_root, folded_root = root as verified from f
 """,
 }
