@@ -50,7 +50,7 @@ def plain(rows, fanout):
 
 def rows_of(n, langs=("en", None, "de", "é", "zz")):
     out = [(k * 37 % n, "web" if k % 3 else None, "en" if k % 3 else langs[k % len(langs)], k if k % 4 else None, None if k % 11 == 0 else f"text {k} é🎉") for k in range(n)]
-    return [*out, out[1], out[1], (None, None, None, None, None), (None, "", "", 9223372036854775807, ""), (5, "s", "only", 1, "one leaf")]
+    return [*out, out[-1], out[-1], (None, None, None, None, None), (None, "", "", 9223372036854775807, ""), (5, "s", "only", 1, "one leaf")]
 
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, leaf int, root int, idx string, grp int, n int, hash int, bucket int, id int"
