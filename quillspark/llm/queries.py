@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import decontamination, fingerprints, language_id, line_dedup, merkle, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
+from quillspark.llm import collocations, decontamination, fingerprints, language_id, line_dedup, merkle, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
 from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
@@ -117,6 +117,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = merkle.manifest(docs, also={"tampered": merkle.tampered_leaf()})
@@ -136,6 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op12_collocations": op12_collocations,
     "op13_merkle": op13_merkle,
 }
 
@@ -178,6 +183,21 @@ r as (select digest, max(page_id) as response from d where n >= 1000 group by di
 select d.page_id, n::bigint as payload_bytes, d.digest as payload_digest, case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
     case when response <> page_id then response end as refers_to, true as complete
 from d left join r on r.digest = d.digest
+""",
+    "op12_collocations": r"""
+with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as words from p),
+g as (select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase from (select lang, words, k, unnest(range(1, len(words) - k + 2)) as i from w, (select unnest([1, 2, 3, 4]) as k) where len(words) >= k)),
+f as materialized (select lang, k, phrase, count(*) as f, string_split(phrase, ' ') as words from g group by all having count(*) >= 30),
+n as (select lang, sum(len(words)) as n from w group by lang),
+cuts as (select lang, k, phrase, words, f as a, unnest(range(1, k)) as j from f where k >= 2),
+s as (select c.*, x.f as l, y.f as r, (2000000::hugeint * a) // (x.f + y.f) as score from cuts c join f x on x.lang = c.lang and x.phrase = array_to_string(c.words[1:j], ' ') join f y on y.lang = c.lang and y.phrase = array_to_string(c.words[j + 1:], ' ')),
+best as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+part as (select lang, k, f, array_to_string(words[i:i + m - 1], ' ') as phrase from (select lang, k, f, words, m, unnest(range(1, k - m + 2)) as i from f, (select unnest([2, 3]) as m) where k > m)),
+longer as (select lang, phrase, max(f) as most from part group by all),
+kept as (select b.* from best b left join longer o on o.lang = b.lang and o.phrase = b.phrase where most is null or 100 * most < 80 * a)
+select kept.lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n.n::bigint as n, score::bigint as score
+from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept) kept join n on n.lang = kept.lang where rank <= 2000
 """,
     "op13_merkle": r"""
 with recursive d as (select doc_id, lang, case when lang is null then '' else '.' || lang end as grp,
