@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import collocations, decontamination, fingerprints, language_id, line_dedup, merkle, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
+from quillspark.llm import collocations, decontamination, fingerprints, knn_join, language_id, line_dedup, merkle, ngram_jaccard, pii, secret_scan, sentencepiece_codec, token_counts, warc
 from quillspark.llm.common import cut, delete_path, staging_path, table
 
 
@@ -117,6 +117,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn_join.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents")).withColumnRenamed("grp", "lang")
 
@@ -140,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_warc": op9_warc,
     "op10_secrets": op10_secrets,
+    "op11_topk_search": op11_topk_search,
     "op12_collocations": op12_collocations,
     "op13_merkle": op13_merkle,
 }
@@ -183,6 +188,11 @@ r as (select digest, max(page_id) as response from d where n >= 1000 group by di
 select d.page_id, n::bigint as payload_bytes, d.digest as payload_digest, case when response is null or response = page_id then 'response' else 'revisit' end as record_type,
     case when response <> page_id then response end as refers_to, true as complete
 from d left join r on r.digest = d.digest
+""",
+    "op11_topk_search": r"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id as query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i]))::bigint as score from v q join v d on q.vec_id <> d.vec_id where q.vec_id % 50 = 0)
+select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank, vec_id, score from s qualify rank <= 5
 """,
     "op12_collocations": r"""
 with p as (select doc_id, coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
