@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,34 @@ TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcde
 STOP = b"."
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte: first all lowest bytes, then the next ones."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack(raw: bytes, kind: type = np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def pack_places(places: np.ndarray) -> bytes:
+    """Ascending places, as steps."""
+    return pack(np.diff(places, prepend=0).astype(np.int32))
+
+
+def unpack_places(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw, np.int32), dtype=np.int64)
+
+
+def pack_words(words: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
+
+def unpack_words(raw: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(raw).split(b"\n")
+
+
 class Vocabulary(dict):
     """word: number; the stop between pieces is 0."""
 
@@ -63,7 +92,7 @@ def split_words(raw: bytes) -> Iterator[list[bytes]]:
 
 
 def blocks(docs: DataFrame, text_col: str, group_col: str, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """block, grp, words (joined by line feeds), counts int64[], seq uint16[] or uint32[] (numbers of words from 1, 0 between pieces), n_words."""
+    """block, grp, words, counts, seq (numbers of words from 1, 0 between pieces), all packed, and n_words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
@@ -77,9 +106,9 @@ def blocks(docs: DataFrame, text_col: str, group_col: str, block_words: int = BL
             seq = np.concatenate(parts)
             counts = np.bincount(seq, minlength=len(vocabulary))[1:].astype(np.int64)
             made += 1
-            kind = np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32
-            row = [(part << 32) + made, grp, b"\n".join(list(vocabulary)[1:]), counts.tobytes(), seq.astype(kind).tobytes(), int(counts.sum())]
-            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "grp", "words", "counts", "seq", "n_words"])
+            row = [(part << 32) + made, grp, pack_words(list(vocabulary)[1:]), pack(counts), pack(seq), int(counts.sum())]
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)], ["block", "grp", "words", "counts", "seq", "n_words"])
 
         for piece in text_slices(batches):
             by_grp: dict[str, list[bytes]] = {}
@@ -124,14 +153,12 @@ def word_keys(encoded: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 block, grp, words, counts = (batch.column(c)[i].as_py() for c in range(4))
-                if not words:
-                    continue
-                words, counts = words.split(b"\n"), np.frombuffer(counts, dtype=np.int64)
+                words, counts = unpack_words(words), unpack(counts)
                 to = np.fromiter(map(zlib.crc32, words), dtype=np.int64, count=len(words)) % buckets
-                rows = [(k, block, grp, at.astype(np.int32).tobytes(), b"\n".join([words[j] for j in at]), None, None, counts[at].tobytes()) for k, at in by_bucket(to)]
+                rows = [(k, block, grp, pack_places(at), pack_words([words[j] for j in at]), None, None, pack(counts[at])) for k, at in by_bucket(to)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
-    return encoded.select("block", "grp", "words", "counts").mapInArrow(run, SENT)
+    return encoded.where("n_words > 0").select("block", "grp", "words", "counts").mapInArrow(run, SENT)
 
 
 KINDS = (pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
@@ -143,41 +170,44 @@ def named(sent: DataFrame, least: int) -> DataFrame:
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
         bucket = int(rows["bucket"].iloc[0])
-        counts = [np.frombuffer(x, dtype=np.int64) for x in rows["counts"]]
+        counts = [unpack(x) for x in rows["counts"]]
         ends = np.cumsum([len(x) for x in counts])
-        n, at = np.concatenate(counts), np.concatenate([np.frombuffer(x, dtype=np.int32) for x in rows["at"]])
-        first, key = word_classes(rows) if rows["words"].iloc[0] is not None else pair_classes(rows)
+        n, at = np.concatenate(counts), np.concatenate([unpack_places(x) for x in rows["at"]])
+        if rows["words"].iloc[0] is not None:
+            words = [unpack_words(x) for x in rows["words"]]
+            first, key = word_classes(rows["grp"], words)
+        else:
+            left, right = (np.concatenate([unpack(x) for x in rows[c]]) for c in ("lefts", "rights"))
+            first, key = pair_classes(left, right)
         total = np.bincount(key, weights=n, minlength=len(first)).astype(np.int64) if n.sum() < 1 << 53 else np.array([n[key == k].sum() for k in range(len(first))], dtype=np.int64)
         often = total >= least
         ids = np.where(often, (bucket << 32) + np.cumsum(often) - 1, -1)
         owner = np.searchsorted(ends, first[often], side="right")
         grams = pd.DataFrame({"id": ids[often], "grp": rows["grp"].to_numpy()[owner], "f": total[often]})
         if rows["words"].iloc[0] is not None:
-            words = [w for x in rows["words"] for w in x.split(b"\n")]
-            grams["word"] = [words[k] for k in first[often]]
+            flat = [w for x in words for w in x]
+            grams["word"] = [flat[k] for k in first[often]]
         else:
-            for c in ("left", "right"):
-                grams[c] = np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows[f"{c}s"]])[first[often]]
+            grams["left"], grams["right"] = left[first[often]], right[first[often]]
         told, known = [], ids[key]
         for block, a, b in zip(rows["block"], np.concatenate([[0], ends[:-1]]), ends, strict=True):
             has = known[a:b] >= 0
             if has.any():
-                told.append((block, at[a:b][has].tobytes(), known[a:b][has].tobytes()))
+                told.append((block, pack_places(at[a:b][has]), pack(known[a:b][has])))
         out = pd.concat([grams, pd.DataFrame(told, columns=["block", "at", "ids"])]).reindex(columns=[x.split()[0] for x in NAMED.split(", ")])
         return out.astype({c: "Int64" for c in ("id", "left", "right", "f", "block")}).astype(object).where(lambda x: x.notna(), None)
 
-    def word_classes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def word_classes(grps: pd.Series, words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         seen, key, first = {}, [], []
-        for grp, words in zip(rows["grp"], rows["words"], strict=True):
-            for word in words.split(b"\n"):
+        for grp, mine in zip(grps, words, strict=True):
+            for word in mine:
                 k = seen.setdefault((grp, word), len(first))
                 if k == len(first):
                     first.append(len(key))
                 key.append(k)
         return np.array(first, dtype=np.int64), np.array(key, dtype=np.int64)
 
-    def pair_classes(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        left, right = (np.concatenate([np.frombuffer(x, dtype=np.int64) for x in rows[c]]) for c in ("lefts", "rights"))
+    def pair_classes(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((right, left))
         opens = np.concatenate([[True], (np.diff(left[order]) != 0) | (np.diff(right[order]) != 0)])
         key = np.empty(len(order), dtype=np.int64)
@@ -214,14 +244,13 @@ def pair_keys(encoded: DataFrame, known: DataFrame, length: int, buckets: int) -
     def run(mine: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(mine) or not len(told):
             return pd.DataFrame(columns=NAMES)
-        block, grp, raw, n_vocabulary = mine[["block", "grp", "seq", "n_vocabulary"]].iloc[0]
-        seq = np.frombuffer(raw, dtype=np.uint16 if n_vocabulary < 1 << 16 else np.uint32)
-        joined = lambda rows, c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in rows[c]]).astype(np.int64)
-        left, right, counts = pairs_of(seq, {int(k): (joined(x, "at", np.int32), joined(x, "ids", np.int64)) for k, x in told.groupby("length")}, length)
+        block, grp, raw = mine[["block", "grp", "seq"]].iloc[0]
+        joined = lambda rows, c, how: np.concatenate([how(x) for x in rows[c]])
+        left, right, counts = pairs_of(unpack(raw, np.uint32), {int(k): (joined(x, "at", unpack_places), joined(x, "ids", unpack)) for k, x in told.groupby("length")}, length)
         if not len(left):
             return pd.DataFrame(columns=NAMES)
         to = (mixed(mixed(left.view(np.uint64)) + right.view(np.uint64) * ODD[2]) >> np.uint64(1)).astype(np.int64) % buckets
-        return pd.DataFrame([(k, block, grp, at.astype(np.int32).tobytes(), None, left[at].tobytes(), right[at].tobytes(), counts[at].astype(np.int64).tobytes()) for k, at in by_bucket(to)], columns=NAMES)
+        return pd.DataFrame([(k, block, grp, pack_places(at), None, pack(left[at]), pack(right[at]), pack(counts[at].astype(np.int64))) for k, at in by_bucket(to)], columns=NAMES)
 
     return encoded.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(run, SENT)
 
@@ -232,7 +261,7 @@ def named_phrases(docs: DataFrame, text_col: str = "text", group_col: str = "lan
     counted = cut(encoded.groupBy("grp").agg(F.sum("n_words").alias("n")))
     words = counted.agg(F.sum("n")).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-words // BUCKET_WORDS))
-    state = encoded.select("block", "grp", "seq", F.floor(F.octet_length("counts") / 8).cast("long").alias("n_vocabulary"))
+    state = encoded.where("n_words > 0").select("block", "grp", "seq")
     levels, known = [], None
     for length in range(1, longest + 1):
         sent = word_keys(encoded, buckets) if length == 1 else pair_keys(state, known, length, buckets)
