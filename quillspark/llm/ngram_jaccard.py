@@ -6,9 +6,10 @@ Exact at any size, in four steps.
 2. Routing. Tokens are put in one order for all: the frequent ones last, the others by hash. Similar sets share a token
    among the first n - ceil(p n) + 1 of each, and, counted over all tokens, at least
    ceil(p/(1+p) (n + m)) - ceil(p max(n, m)) + 1 of those. Tokens are dealt to buckets; pairs of classes that meet there are counted,
-   summed over buckets, and those with too few in common go. Where more than BLOCK classes meet at a token they are tied to
-   the smallest of them instead of pairwise, which joins them all; for the frequent tokens that is done before the shuffle, in every task for what it
-   has read. Components of these ties are routing groups: no similar pair lies across two.
+   summed over buckets, and those with too few in common go. Where a token is frequent, or more than BLOCK classes meet at it, they are tied to
+   the smallest of them instead of pairwise, which joins them all; for the frequent tokens each task first does that for what it
+   has read, and sends the smallest on, to be tied to those of other tasks. A pair that shares a tied token is in one group whatever it shares besides, and of
+   any other pair every shared token is counted. Components of these ties are routing groups: no similar pair lies across two.
 3. Signature trees. A group's sets are dealt to bands of sizes, and within a band to chunks of CHUNK sets or CHUNK_BYTES of tokens. Similar sets
    lie in one band or in neighbouring ones; each such pair of chunks is a tile, dealt out by itself, that builds a signature tree and
    joins it with itself by dual traversal (signature_tree.py). Every similarity is checked on whole sets.
@@ -151,10 +152,13 @@ def ties(docs: DataFrame, frequent: np.ndarray, size: int, percent: int, shift:
         tokens, owners, sizes = tokens[fresh], owners[fresh], sizes[fresh]
         first = np.concatenate([[0], np.flatnonzero(np.diff(tokens)) + 1])
         many = np.diff(np.concatenate([first, [len(tokens)]]))
+        # the owners of a frequent token that are here stand for others, so none of them may be judged by what it shares
+        known = late.value
+        often = known[np.minimum(np.searchsorted(known, tokens[first]), len(known) - 1)] == tokens[first] if len(known) else np.zeros(len(first), dtype=bool)
         left, right, tied_a, tied_b = [], [], [], []
-        for m in np.unique(many[many > 1]):
-            at = first[many == m]
-            if m <= BLOCK:
+        for m, tie in np.unique(np.stack([many, often | (many > BLOCK)], axis=1)[many > 1], axis=0):
+            at = first[(many == m) & ((often | (many > BLOCK)) == bool(tie))]
+            if not tie:
                 i, j = np.triu_indices(m, 1)
                 for part in np.array_split(at, max(1, len(at) * len(i) // 2_000_000)):
                     a, b = (part[:, None] + i).ravel(), (part[:, None] + j).ravel()

@@ -162,3 +162,17 @@ def test_components_over_many_tasks(spark, monkeypatch):
     got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(13)).collect()
     assert len(got) == len(parent) and {r["node"]: r["component"] for r in got} == {x: root(x) for x in parent}
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 8, 32])
+def test_links_of_texts_that_share_a_frequent_passage(spark, parts):
+    """The passage is frequent in every slice, the texts are too short to have much else, and what links two of them is little more than it."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"w{k}" for k in range(10))
+    rows = [(2 * i + j, f"{passage} a{i} {'bc'[j]}{i}") for i in range(200) for j in (0, 1)]
+    rows += [(1000 + i, f"{' '.join(f'w{k}' for k in range(i % 6, i % 6 + 5))} {' '.join(f'u{i}x{k}' for k in range(12))}") for i in range(4200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, F.hash("doc_id"))
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.components(docs).collect()}
+    assert {i: c for i, c in got.items() if i < 1000} == {2 * i + j: 2 * i for i in range(200) for j in (0, 1)}
+    assert all(i == c for i, c in got.items() if i >= 1000)
