@@ -4,8 +4,9 @@ Tokens are runs of non-blank characters, up to PIECE of them; in longer runs, an
 none depends on where its run begins. A k-mer of tokens is an anchor if the least hash of its
 inner s-mers lies at its first or last place. Whether it does depends on nothing but the k-mer itself, so an edit moves only the anchors
 that touch it and equal passages have equal anchors wherever they stand. A text with fewer than k tokens has one anchor: all
-of them. A fingerprint is the sorted set of all anchor hashes of a text, whatever its length; likeness is the Dice coefficient of the
-anchors that two texts have in common, matched one to one with their places: a hash's first place with its first, and so on.
+of them. A fingerprint is the sorted list of all anchors of a text, whatever its length: each hash, numbered by its places in the text, the first, the second and so
+on. Likeness is the Dice coefficient of two fingerprints; what they have in common are the anchors that positional matching pairs, a hash's first place with its first, and so
+on. So equal fingerprints are alike (1), and what a fingerprint says is all that its likeness depends on.
 
 Defined results: null is the empty text; a text without tokens has no anchors, and two such texts are alike (1), one and any other text
 are not (0). Equal texts have equal fingerprints. Repeated rows are documents of their own, in order of identifier and
@@ -76,19 +77,17 @@ def numbered(places: str) -> Column:
     return let(F.transform(places, hash_of), counted)
 
 
-def fingerprint(places: str) -> Column:
-    """The sorted set of hashes of placed or numbered anchors."""
-    return F.array_distinct(F.transform(places, lambda x: F.shiftright(x, 32).cast("int")))
-
-
 def likeness(a: str, b: str) -> Column:
     """Dice coefficient of two sets, such as numbered anchors, or placed ones if only what stands in its place shall count."""
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2 * common / (F.size(a) + F.size(b)))
 
 
-def rendered(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
+def rendered(anchors: str) -> Column:
+    """The text of a fingerprint (numbered anchors): eight digits for each hash, and for its later places their number between two `~` as well."""
+    digits = lambda x: F.lpad(F.hex(F.shiftright(x, 32).bitwiseAND(0xFFFFFFFF)), 8, "0")
+    number = lambda x: x.bitwiseAND(0xFFFFFFFF)
+    return F.array_join(F.transform(anchors, lambda x: F.when(number(x) == 0, digits(x)).otherwise(F.concat(digits(x), F.lit("~"), number(x).cast("string"), F.lit("~")))), "")
 
 
 def in_order(df: DataFrame, key: str) -> tuple[DataFrame, str]:

@@ -89,8 +89,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprints.rendered(fingerprints.fingerprint("numbered")).alias("fingerprint"),
-        fingerprints.rendered(fingerprints.fingerprint("edited_numbered")).alias("edited_fingerprint"),
+        fingerprints.rendered("numbered").alias("fingerprint"),
+        fingerprints.rendered("edited_numbered").alias("edited_fingerprint"),
         fingerprints.likeness("numbered", "edited_numbered").alias("near_edited"),
         fingerprints.likeness("numbered", "next_numbered").alias("near_next"),
         fingerprints.likeness("places", "edited_places").alias("in_place_edited"),

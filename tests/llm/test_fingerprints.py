@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 from llm_data import prose
@@ -25,6 +26,26 @@ def test_query_against_brute_force(spark, sf):
     assert near[len(near) // 2] > 0.7 and sum(r["near_edited"] > r["near_next"] for r in rows.values()) > 0.93 * len(rows)
 
 
+def said(fingerprint):
+    """The anchors that the text of a fingerprint names."""
+    return {(h, int(k or 0)) for h, k in re.findall(r"([0-9A-F]{8})(?:~(\d+)~)?", fingerprint)}
+
+
+def test_near_is_the_likeness_of_the_fingerprints_returned(spark, sf, tmp_path):
+    cycle = prose(21, 30) + " "
+    texts = [(k, cycle * n) for k, n in enumerate([4, 2, 40, 10, 10])] + [(10, ""), (11, None), (12, " \n"), (13, "a b"), (14, "a b")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for folder in (sf, str(tmp_path)):
+        rows = sorted(queries.op8_fingerprints(spark, folder).collect(), key=lambda r: r["doc_id"])
+        dice = lambda a, b: 1.0 if not a and not b else 2 * len(a & b) / (len(a) + len(b))
+        for k, r in enumerate(rows):
+            after = rows[(k + 1) % len(rows)]
+            own = said(r["fingerprint"])
+            assert abs(r["near_edited"] - dice(own, said(r["edited_fingerprint"]))) < 1e-12
+            assert abs(r["near_next"] - dice(own, said(after["fingerprint"]))) < 1e-12
+            assert r["near_next"] == 1 or r["fingerprint"] != after["fingerprint"]
+
+
 def ordered(rows):
     return sorted(((-(1 << 63) if i is None else i, t or "") for i, t in rows))
 
@@ -83,7 +104,7 @@ def test_long_texts_are_compared_by_all_their_anchors(spark, tmp_path):
     assert len(anchors[1]) > 1500
     for i, nxt in ((1, 2), (2, 3), (3, 4), (4, 1)):
         a, b = Counter(anchors[i]), Counter(anchors[nxt])
-        assert got[i]["fingerprint"] == "".join(f"{x & 0xFFFFFFFF:08X}" for x in sorted(a))
+        assert got[i]["fingerprint"] == "".join(f"{x & 0xFFFFFFFF:08X}" + (f"~{k}~" if k else "") for x in sorted(a) for k in range(a[x]))
         assert abs(got[i]["near_next"] - 2 * (a & b).total() / (a.total() + b.total())) < 1e-12
     assert got[1]["near_next"] > 0 and got[3]["near_next"] < 1
 
