@@ -21,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import ascii_lower, cut, let
+from quillspark.llm.common import ascii_lower, count_below, cut, let
 
 SPAN, GRAM = 10, 5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 32 << 20
+#: Fingerprints of a document that are looked through one by one.
+FEW = 32
 
 
 def words(text: Column) -> Column:
@@ -81,7 +83,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     doc_prints, by_span = with_fingerprints(rows.select("id", "th", words(F.col("text")).alias("words")), spans, gram)
     met = doc_prints.select("id", "th", F.explode(F.array_distinct(F.concat(*by_span.values()))).alias("print")).join(small(item_prints), "print", "left_semi")
-    met = cut(met.groupBy("id", "th").agg(F.collect_set("print").alias("prints")))
+    met = cut(met.groupBy("id", "th").agg(F.array_sort(F.collect_set("print")).alias("prints")))
     bytes_met = met.agg(F.sum(8 * F.size("prints") + 40)).first()[0] or 0
     named = F.broadcast(met) if bytes_met <= BROADCAST_BYTES else met
 
@@ -113,5 +115,8 @@ def _windows(item_rows: DataFrame, spans: list[int], of_span) -> DataFrame:
 
 
 def _candidates(span: int, column: str) -> Column:
-    starts = let(F.col(column), lambda prints: F.filter(positions(F.size("words"), span), lambda i: F.array_contains("prints", prints[i])))
+    def has(value: Column) -> Column:  # few are looked through, many searched by halving
+        return F.when(F.size("prints") <= FEW, F.array_contains("prints", value)).otherwise(F.coalesce(F.get(F.col("prints"), count_below(F.col("prints"), value)) == value, F.lit(False)))
+
+    starts = let(F.col(column), lambda prints: F.filter(positions(F.size("words"), span), lambda i: let(prints[i], has)))
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.lit(span).alias("size"), window_text(i, span).alias("window")))

@@ -79,3 +79,19 @@ def test_clean_keeps_all_columns(make_docs, items, planted):
     kept = decontamination.clean(docs, items)
     assert kept.columns == docs.columns
     assert sorted((repr(r["doc_id"]) for r in kept.collect())) == sorted(repr(i) for i, _, hit, _ in brute(planted, ITEMS) if not hit)
+
+
+def test_a_text_of_200000_words_copied_whole(spark):
+    """Every window of the document is an item's, so each has a fingerprint to be found among some tens of thousands."""
+    import time
+
+    text = prose(77, 200_000)
+    docs = spark.createDataFrame([(1, text), (2, "before it " + text[: len(text) // 2] + " after"), (3, prose(78, 500))], "doc_id long, text string")
+    items = spark.createDataFrame([("whole", text)], "item_id string, text string")
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.n, r.items) for r in decontamination.decontaminate(docs, items).selectExpr("doc_id", "n_words", "size(hits) as n", "items").collect()}
+    copied = len(text[: len(text) // 2].split())
+    assert got[1] == (200_000, 200_000, ["whole"])
+    assert got[2][0] == copied + 3 and copied - 1 <= got[2][1] <= copied and got[2][2] == ["whole"]
+    assert got[3] == (500, 0, [])
+    assert time.time() - began < 120
