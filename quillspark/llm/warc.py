@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import broadcast_if_small, cut
+from quillspark.llm.common import SLICE_BYTES, broadcast_if_small, cut, text_slices
 
 REVISIT_BYTES, SEGMENT_BYTES, CHUNK_BYTES, RECORDS_PER_FILE = 1000, 4096, 1500, 2000
 END = "\r\n\r\n"
@@ -98,16 +98,20 @@ def write_archive(pages: DataFrame, path: str, page_col: str = "page_id", url_co
     rows = rows.join(broadcast_if_small(cut(latest), 80), ["digest", "n"], "left").withColumn("is_revisit", F.col("of").isNotNull() & ~F.col("page").eqNullSafe(F.col("of")))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
+        for piece in text_slices(batches, column=2):  # the payload
+            out, held = [], 0
+            for i in range(piece.num_rows):
+                r = {name: piece.column(k)[i].as_py() for k, name in enumerate(piece.schema.names)}
                 page = "" if r["page"] is None else str(r["page"])
                 of = None if r["of"] is None else str(r["of"])
-                out += written(page, r["url"], r["payload"], r["digest"], of, r["is_revisit"], segment_bytes, chunk_bytes)
-                if len(out) >= 1000:
-                    yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                for record in written(page, r["url"], r["payload"], r["digest"], of, r["is_revisit"], segment_bytes, chunk_bytes):
+                    out.append(record)
+                    held += len(record)
+                    if held >= SLICE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     made = rows.select("page", "url", "payload", "digest", "of", "is_revisit").mapInArrow(records, "record binary")
     made.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", records_per_file).mode("overwrite").text(path)

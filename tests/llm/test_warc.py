@@ -113,3 +113,11 @@ def test_query(spark, sf):
     rows = [(r["page_id"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     got = queries.op9_warc(spark, sf).withColumnRenamed("payload_digest", "digest")
     assert collected(got) == brute(rows)
+
+
+def test_many_long_pages_in_one_task(spark, tmp_path):
+    """Some 40 MB in one Arrow batch; the writer takes them a few at a time."""
+    rows = [(i, f"{i} " * 60_000) for i in range(100)]
+    df = spark.createDataFrame([(i, "http://a", h) for i, h in rows], "page_id long, url string, html string").repartition(1)
+    warc.write_archive(df, f"{tmp_path}/a", segment_bytes=1 << 18)
+    assert collected(warc.read_archive(spark, f"{tmp_path}/a", payloads=False)) == brute(rows)
