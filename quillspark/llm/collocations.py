@@ -38,7 +38,7 @@ from quillspark.llm.shingles import ODD, mixed
 
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
 #: Words of a block, bytes of a text that are split at a time, and words for which there is a bucket.
-BLOCK_WORDS, PART, BUCKET_WORDS = 1 << 19, 1 << 20, 1 << 20
+BLOCK_WORDS, PART, BUCKET_WORDS = 1 << 21, 1 << 20, 1 << 20
 LEAST_BUCKETS = 16
 #: A-Z become a-z, what ends a piece a full stop.
 TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"." * 10)
