@@ -205,3 +205,30 @@ def is_visual_equation(role: Text, text: Text, program: Text, object_target: Tex
     """An equation element with an object or picture, or without any text."""
     given = lambda c: text_or_empty(c) != ""
     return F.coalesce(column(role) == "equation", F.lit(False)) & (given(program) | given(object_target) | given(image_target) | (normal_for_style(text) == ""))
+
+
+#: Signs that typeset formulas have, signs that group, words of headings, and what else reads as mathematics beside a digit.
+TYPESET_SIGNS = ("=", "+", "/", "^", "\u00d7", "\u00f7", "\u00b7", "\u2264", "\u2265")
+GROUPING_SIGNS = ("(", ")", "[", "]")
+HEADING_WORDS = ("answer", "answers", "chapter", "section", "exercise", "problem", "review", "solution", "solutions")
+MATH_MARKS = "[=+\\-/*^()\u00b2\u00b3\u00bc\u00bd\u00be\u2264\u2265]"
+DIGIT = r"[\p{Nd}\x{00B2}\x{00B3}\x{00B9}\x{2070}\x{2074}-\x{2079}\x{2080}-\x{2089}]"
+
+
+def is_typeset_equation(s: Text) -> Column:
+    """A short text of three characters or more with a sign of mathematics and something to go with it, or an assignment; no heading of a section, no sentence."""
+    text = F.trim(text_or_empty(s))
+    count = lambda pattern: F.regexp_count(text, F.lit(pattern))
+    signs = lambda values: sum((text.contains(x).cast("int") for x in values), F.lit(0))
+    sentence = (count(r"(?U)\b[\w']+\b") >= 8) & (count("[A-Za-z]{2,}") >= 5)
+    heading = text.rlike(rf"(?iU)\b({'|'.join(HEADING_WORDS)})\b")
+    low = F.lower(text)
+    typeset = (signs(TYPESET_SIGNS) >= 1) & ((count(DIGIT) >= 1) | (count(r"\p{L}") >= 2))
+    grouped = (signs(GROUPING_SIGNS) >= 2) & ((count(DIGIT) >= 1) | low.rlike(r"(?U)\b[a-z]\b"))
+    return (F.length(text) >= 3) & ~sentence & ~heading & (typeset | grouped | low.rlike(r"(?U)\b[a-z]\s*=\s*."))
+
+
+def is_math_text(s: Text) -> Column:
+    """A typeset equation, or a digit with any mark of mathematics."""
+    text = F.trim(text_or_empty(s))
+    return is_typeset_equation(text) | (text.rlike(DIGIT) & text.rlike(MATH_MARKS))
