@@ -8,14 +8,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
-ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
-TENS = "_ _ twenty thirty forty fifty sixty seventy eighty ninety".split()
+ONES = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen")
+TENS = ("", "", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 SCALES = ("million", "thousand", "")
 SIGNS = {
     ">=": "greater than or equal to", "<=": "less than or equal to", "!=": "not equal to", "<>": "not equal to", "==": "equals", "->": "maps to", "≤": "less than or equal to", "≥": "greater than or equal to",
     "×": "times", "*": "times", "·": "times", "÷": "divided by", "−": "minus", "–": "minus", "—": "minus", ">": "greater than", "<": "less than", "=": "equals", "+": "plus", "/": "over",
 }
-POWERS = {2: "squared", 3: "cubed"}
+POWERS = {"2": "squared", "3": "cubed"}
 
 
 def integer_words(n: Column) -> Column:
@@ -36,6 +36,12 @@ def integer_words(n: Column) -> Column:
     return F.when(size > 999_999_999, n.cast("string")).otherwise(F.concat_ws(" ", F.when(n < 0, "minus"), words))
 
 
+def spoken_digits(digits: str) -> str:
+    """A number of any length: words up to nine digits, beyond that the digits, without zeros in front."""
+    short = digits.lstrip("0")
+    return short if len(short) > 9 else spoken_integer(int(short or "0"))
+
+
 def spoken_integer(n: int) -> str:
     if abs(n) > 999_999_999:
         return str(n)
@@ -52,7 +58,7 @@ def spoken_integer(n: int) -> str:
     return " ".join(out or [ONES[0]])
 
 
-NUMBER = re.compile(r"(?<![\w.])(\d{1,3}(?:,\d{3})+|\d+)(?:\.(\d+))?(%?)(?![\w])")
+NUMBER = re.compile(r"(?<![\w.])([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.([0-9]+))?(%?)(?![\w])")
 SIGN = re.compile("|".join(re.escape(x) for x in sorted(SIGNS, key=len, reverse=True)))
 
 
@@ -60,7 +66,7 @@ def spoken_numbers(text: str) -> str:
     """Whole numbers in words, decimals digit by digit, % as percent; numbers that are part of a word stay."""
 
     def say(m: re.Match) -> str:
-        words = [spoken_integer(int(m[1].replace(",", "")))]
+        words = [spoken_digits(m[1].replace(",", ""))]
         if m[2]:
             words += ["point", *(ONES[int(c)] for c in m[2])]
         return " ".join(words + (["percent"] if m[3] else []))
@@ -69,7 +75,7 @@ def spoken_numbers(text: str) -> str:
 
 
 FRACTION, ROOT = re.compile(r"\\frac\s*\{([^{}]+)\}\s*\{([^{}]+)\}"), re.compile(r"\\sqrt\s*\{([^{}]+)\}")
-POWER = re.compile(r"\b([A-Za-z])\s*\^\s*(?:\{\s*(\d+)\s*\}|(\d+)\b)")
+POWER = re.compile(r"\b([A-Za-z])\s*\^\s*(?:\{\s*([0-9]+)\s*\}|([0-9]+)\b)")
 HYPHEN = re.compile(r"(?<=\d)-(?=\d)|(?<=[\w)])-(?=[A-Za-z_(])|(?<=\s)-(?=\s)")
 
 
@@ -77,8 +83,8 @@ def spoken_signs(text: str) -> str:
     """A formula as words: fractions, roots and powers, then signs (longer ones first), then numbers."""
 
     def power(m: re.Match) -> str:
-        n = int(m[2] or m[3])
-        return f"{m[1]} {POWERS.get(n) or 'to the ' + spoken_integer(n)}"
+        digits = (m[2] or m[3]).lstrip("0")
+        return f"{m[1]} {POWERS.get(digits) or 'to the ' + spoken_digits(digits)}"
 
     while (inner := ROOT.sub(r" square root of \1 ", FRACTION.sub(r" \1 over \2 ", text))) != text:
         text = inner

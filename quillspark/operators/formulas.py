@@ -16,11 +16,25 @@ from quillspark.functions.columns import let
 from quillspark.functions.text import collapse
 
 #: What number words stand for, words that say nothing about a formula's signs, words that end a formula, words of prose, and functions.
-NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "half": 2, "halves": 2, "third": 3, "thirds": 3, "quarter": 4, "quarters": 4, "fourth": 4, "fourths": 4}
-SAYING = "open close parenthesis fraction over equals equal times plus minus sub subscript bar and bracket ellipsis divided by where showing cross cancellation the is replaced with to of or raised power formula definition definitions form negative".split()
-BREAKS = "and or but given where then therefore because determine solution equation formula definition definitions chapter section contents form point".split()
-PROSE = "and as by for from if in is of on or the then to with form formula definition definitions".split()
-FUNCTIONS = "sin cos tan sec csc cot log ln exp lim gcd lcm max min".split()
+NUMBER_WORDS = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13",
+    "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19", "twenty": "20", "half": "2", "halves": "2", "third": "3", "thirds": "3", "quarter": "4",
+    "quarters": "4", "fourth": "4", "fourths": "4",
+}
+SAYING = (
+    "open", "close", "parenthesis", "fraction", "over", "equals", "equal", "times", "plus", "minus", "sub", "subscript", "bar", "and", "bracket", "ellipsis", "divided", "by", "where", "showing",
+    "cross", "cancellation", "the", "is", "replaced", "with", "to", "of", "or", "raised", "power", "formula", "definition", "definitions", "form", "negative",
+)
+BREAKS = (
+    "and", "or", "but", "given", "where", "then", "therefore", "because", "determine", "solution", "equation", "formula", "definition", "definitions", "chapter", "section", "contents", "form",
+    "point",
+)
+PROSE = (
+    "and", "as", "by", "for", "from", "if", "in", "is", "of", "on", "or", "the", "then", "to", "with", "form", "formula", "definition", "definitions",
+)
+FUNCTIONS = (
+    "sin", "cos", "tan", "sec", "csc", "cot", "log", "ln", "exp", "lim", "gcd", "lcm", "max", "min",
+)
 SIGNS = r"[=+*/⁄_(){}\[\]|∣·×÷−-]"
 PLAIN_SIGNS = r"[=+\-*/_(){}\[\]|:]"
 #: Limits: gaps between lines of a cluster and between clusters, their overlap, and how far a box may grow.
@@ -31,7 +45,7 @@ def extracted(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def words_of(values: list[str]) -> Column:
+def words_of(values: tuple[str, ...]) -> Column:
     return F.array(*map(F.lit, values))
 
 
@@ -40,7 +54,7 @@ def description_tokens(s: Column) -> Column:
 
     def tokens(text: Column) -> Column:
         found = extracted(text, r"[0-9]+(?:\.[0-9]+)?|[a-z]+")
-        spoken = F.create_map(*[F.lit(x) for word, n in NUMBER_WORDS.items() for x in (word, str(n))])
+        spoken = F.create_map(*[F.lit(x) for word, n in NUMBER_WORDS.items() for x in (word, n)])
         digits = F.filter(F.transform(found, lambda t: F.try_element_at(spoken, t)), lambda t: t.isNotNull())
         subscripts = F.transform(extracted(text, r"\b[a-z]\s+sub(?:script)?\s+[0-9]+(?:\.[0-9]+)?\b"), lambda x: F.concat(F.left(x, F.lit(1)), F.regexp_extract(x, r"[0-9.]+$", 0)))
         return F.array_sort(F.array_except(F.concat(found, digits, subscripts), words_of(SAYING)))

@@ -233,12 +233,12 @@ def tinted_colours(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""select p_partkey, '' || p_partkey || ',' || p_partkey * 7 as refs, case when p_size > 10 then (p_partkey + 0.5 + p_size - 3 + 0.25)::double end as total, lower('Figure' || p_size) as name,
     (list_sum(list_transform(string_split(p_brand, ''), lambda c: unicode(c))) % 4)::bigint as variant,
-    greatest(least(8, (p_size % 9 + 4 * (p_size % 3)) // 4), case when p_size % 2 = 0 then p_size % 12 else 0 end - 1, case when p_size * 100 >= 720 then least(8, round_even((p_size * 100 - 720) / 720, 0)) else 0 end)::bigint as level_of
-    from part where p_size % 2 = 1 or p_size % 12 between 1 and 9""")
+    greatest(least(8, (p_size % 9 + 4 * (p_size % 3)) // 4), case when p_size % 2 = 0 then least(8, p_size % 12 - 1) else 0 end, case when p_size * 100 >= 720 then least(8, round_even((p_size * 100 - 720) / 720, 0)) else 0 end)::bigint as level_of
+    from part""")
 def literals(spark: SparkSession, d: str) -> DataFrame:
     """References, boxes and names of page files, wordings by code points, and levels of lists."""
     k, s = F.col("p_partkey"), F.col("p_size")
-    rows = table(spark, d, "part").where((s % 2 == 1) | (s % 12).between(1, 9))
+    rows = table(spark, d, "part")
     numbers = text.four_numbers(F.when(s > 10, F.concat_ws(" ", F.lit("["), k, F.lit(".5"), s, F.lit("-3"), F.lit("]"))).otherwise("[1 2 3]"))
     literal = F.concat_ws(" ", F.lit("<</A"), k, F.lit("0 R /B"), k * 7, F.lit("0 R>>"))
     leading = F.concat(F.repeat(F.lit(" "), (s % 9).cast("int")), F.repeat(F.lit("\t"), (s % 3).cast("int")))

@@ -63,6 +63,11 @@ def value(spark):
         (lambda: signs_as_words(F.lit(r"\frac{x^2}{2} -> y^{5}")), "x squared over two maps to y to the five"),
         (lambda: signs_as_words(F.lit("7-2")), "seven minus two"),
         (lambda: without_openings(F.lit("This image shows a cat")), "a cat"),
+        (lambda: without_openings(F.lit("Here is the screen-reader friendly alt text for the image: a cat")), "a cat"),
+        (lambda: without_openings(F.lit("Photo of there are - cats")), "- cats"),
+        (lambda: numbers_as_words(F.lit("7" * 5000 + " and 0000000012")), "7" * 5000 + " and twelve"),
+        (lambda: signs_as_words(F.lit("x^{" + "9" * 5000 + "}")), "x to the " + "9" * 5000),
+        (lambda: signs_as_words(F.lit("x^02 + ٣")), "x squared plus ٣"),
         (lambda: signs_as_words(F.lit("a >= 3")), "a greater than or equal to three"),
         (lambda: G.size_class_of_points(F.lit(36.0), F.lit(50.0)), "small"),
         (lambda: G.size_class_of_points(F.lit(100.0), F.lit(100.0)), "medium"),
