@@ -25,10 +25,10 @@ LETTERS_SQL = "case when v <= 26 then chr((96 + v)::int) else chr((96 + (v - 1)
 
 @query(f"""with l as (select l_orderkey // 16 as doc, row_number() over (partition by l_orderkey // 16 order by l_orderkey, {ORDER}) as rn, case when l_partkey % 7 > 0 then (l_suppkey % 2 + 1)::varchar end as num_id,
     case when l_suppkey % 11 = 0 then 3 else l_partkey % 3 end as level, case when l_returnflag = 'N' then '1. item' else 'item' end as text from lineitem),
-d(num_id, level, template, format, start, first) as (values {LEVELS_SQL}), c as (select l.*, template from l join d using (num_id, level)), k(k) as (values (0), (1), (2)),
-s as (select c.doc, c.rn, c.num_id, k.k, coalesce(max(e.rn) filter (where e.level < k.k), 0) as since from c cross join k join c e on e.doc = c.doc and e.num_id = c.num_id and e.rn <= c.rn group by c.doc, c.rn, c.num_id, k.k),
-n as (select s.doc, s.rn, s.num_id, s.k, count(*) filter (where e.level = s.k) as items, min(e.rn) filter (where e.level = s.k) as own, min(e.rn) filter (where e.level <> s.k and contains(e.template, '%' || (s.k + 1))) as read
-    from s join c e on e.doc = s.doc and e.num_id = s.num_id and e.rn between s.since and s.rn group by s.doc, s.rn, s.num_id, s.k),
+d(num_id, level, template, format, start, first) as (values {LEVELS_SQL}), c as (select l.*, template from l join d using (num_id, level)),
+s as (select c.*, k, coalesce(max(case when level < k then rn end) over (partition by doc, num_id, k order by rn), 0) as since from c, (values (0), (1), (2)) k(k)),
+n as (select doc, rn, num_id, k, count(case when level = k then 1 end) over w as items, min(case when level = k then rn end) over w as own, min(case when level <> k and contains(template, '%' || (k + 1)) then rn end) over w as read
+    from s window w as (partition by doc, num_id, k, since order by rn)),
 v as (select n.doc, n.rn, n.k, d.format, case when items = 0 then d.start when read < own then d.start + items else coalesce(d.first, d.start) + items - 1 end as v from n join d on d.num_id = n.num_id and d.level = n.k),
 w as (select doc, rn, max(shown) filter (where k = 0) as v0, max(shown) filter (where k = 1) as v1, max(shown) filter (where k = 2) as v2 from (select doc, rn, k, case format when 'decimal' then v::varchar when 'lowerLetter' then {LETTERS_SQL} else {ROMAN_SQL} end as shown from v) group by doc, rn),
 p as (select l.*, d.num_id is not null as defined, case when l.num_id is null then '' when d.num_id is null then (l.level + 1) || '.' else trim(replace(replace(replace(d.template, '%1', v0), '%2', v1), '%3', v2)) end as prefix
