@@ -1,19 +1,20 @@
 """Where a described formula stands on a page: words to segments, segments to lines, lines to clusters, clusters to a box.
 
 words: item, line, x0, y0, x1, y1, text. described: item, description, and box (struct x0, y0, x1, y1) of what is known so far. All steps are windows and
-groups over items and lines; an item's few clusters are then covered greedily, in a group of its own.
+groups over items and lines; an item's few clusters are then covered greedily, by a fold that streams through the items.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.columns import let
 from quillspark.functions.text import collapse
+from quillspark.operators.folds import each_document
+from quillspark.session import cut
 
 #: What number words stand for, words that say nothing about a formula's signs, words that end a formula, words of prose, and functions.
 NUMBER_WORDS = {
@@ -141,15 +142,16 @@ def measured(words: DataFrame, *by: str) -> DataFrame:
     return grouped.withColumns({"overlap": F.size("met"), "strong": F.size(F.filter("met", is_strong)), "signs": F.regexp_count("text", F.lit(PLAIN_SIGNS))})
 
 
-def segment_stats(judged: DataFrame) -> DataFrame:
-    """item, line, segment, text, overlap, strong, signs, math_words, long_words, score."""
-    rows = measured(segments(judged), "item", "line", "segment")
+def segment_stats(judged: DataFrame, inside: DataFrame | None = None) -> DataFrame:
+    """item, line, segment, text, overlap, strong, signs, math_words, long_words, score. inside: the segments(), where they are known."""
+    rows = measured(segments(judged) if inside is None else inside, "item", "line", "segment")
     return rows.withColumn("score", F.col("overlap") * 6.0 + F.col("strong") * 4.0 + F.col("signs") * 1.5 + F.col("math_words") - F.col("long_words") * 4.0)
 
 
 def line_words(judged: DataFrame) -> DataFrame:
     """The words of each line that may be the formula's: those of the best segment where it is clearly best, else of all segments, else all words."""
-    stats = segment_stats(judged)
+    known = cut(segments(judged))  # read for the stats and for the words themselves
+    stats = segment_stats(judged, known)
     order = Window.partitionBy("item", "line").orderBy(F.desc("score"), F.desc("strong"), F.desc("overlap"), "segment")
     ranked = stats.select("item", "line", "segment", "score", "strong", "overlap").withColumn("place", F.row_number().over(order))
     nth = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
@@ -157,7 +159,8 @@ def line_words(judged: DataFrame) -> DataFrame:
         nth(1, "segment").alias("best"),
         ((nth(1, "overlap") > 0) & (F.coalesce(nth(1, "strong") > nth(2, "strong"), F.lit(True)) | (nth(1, "score") >= nth(2, "score") + 3) | (nth(1, "overlap") >= nth(2, "overlap") + 2))).alias("clear"),
     )
-    inside = segments(judged).join(lines, ["item", "line"]).where(~F.col("clear") | (F.col("segment") == F.col("best"))).drop("best", "clear", "segment")
+    lines = cut(lines)
+    inside = known.join(lines, ["item", "line"]).where(~F.col("clear") | (F.col("segment") == F.col("best"))).drop("best", "clear", "segment")
     return inside.unionByName(judged.join(lines, ["item", "line"], "left_anti"))
 
 
@@ -205,9 +208,8 @@ def covering(found: DataFrame, described: DataFrame) -> DataFrame:
     rows = rows.withColumns({"strong_met": F.filter("met", is_strong), "strong_wanted": F.filter("wanted", is_strong)})
     rows = rows.select("item", "cluster", "met", "strong_met", "strong_wanted", "strong", "overlap", "signs", (F.col("math_words") - 2 * F.col("long_words")).alias("plain"), "score", "x0", "y0", "x1", "y1")
 
-    def cover(mine: pd.DataFrame) -> pd.DataFrame:
-        order = ["strong", "overlap", "signs", "plain", "score"]
-        ranked = mine.sort_values([*order, "cluster"], ascending=[False] * len(order) + [True]).to_dict("records")
+    def cover(item: object, mine: list) -> Iterator[tuple]:
+        ranked = sorted((r._asdict() for r in mine), key=lambda r: (*(-r[c] for c in ("strong", "overlap", "signs", "plain", "score")), r["cluster"]))
         wanted = {x for r in ranked for x in r["strong_wanted"]}
         strong = {x for r in ranked for x in r["strong_met"]}
         chosen, rest, covered = ranked[:1], ranked[1:], set(ranked[0]["met"])
@@ -221,9 +223,10 @@ def covering(found: DataFrame, described: DataFrame) -> DataFrame:
                     covered |= set(r["met"])
                     grown = True
         box = [f(r[c] for r in chosen) for f, c in ((min, "x0"), (min, "y0"), (max, "x1"), (max, "y1"))]
-        return pd.DataFrame([[ranked[0]["item"], sorted(r["cluster"] for r in chosen), len(covered), *box]], columns=["item", "chosen", "covered", "x0", "y0", "x1", "y1"])
+        yield ",".join(str(r["cluster"]) for r in sorted(chosen, key=lambda r: r["cluster"])), len(covered), *box
 
-    return rows.groupBy("item").applyInPandas(cover, "item long, chosen array<long>, covered long, x0 double, y0 double, x1 double, y1 double")
+    told = each_document(rows, "item", ["cluster"], cover, "item long, chosen string, covered long, x0 double, y0 double, x1 double, y1 double")
+    return told.withColumn("chosen", F.split("chosen", ",").cast("array<bigint>"))
 
 
 def area(b: Column) -> Column:
@@ -232,7 +235,8 @@ def area(b: Column) -> Column:
 
 def refined(words: DataFrame, described: DataFrame) -> DataFrame:
     """described with its box drawn in to the formula's clusters; it stays as it was where there is none, or where the new one is too much larger."""
-    found = covering(clusters(line_candidates(judged_words(words, described))), described)
+    judged = cut(judged_words(words, described))  # tokens of every word are found once
+    found = cut(covering(clusters(line_candidates(judged)), described))
     new = F.struct("f.x0", "f.y0", "f.x1", "f.y1")
     grown = area(new) / area(F.col("d.box"))
     fits = (area(F.col("d.box")) <= 0) | (grown <= GROWTH) | ((F.col("f.covered") > 0) & (grown <= GROWTH_COVERED))
