@@ -16,7 +16,7 @@ from quillspark.functions import geometry as G
 from quillspark.operators import anchors, inventory, numbering
 from quillspark.plans.queries import query
 from quillspark.plans.views import BOXES_SQL, COLOURS_SQL, ELEMENTS_SQL, ITEMS_SQL, OPENING_PHRASES, PHRASES_SQL, _sql_list, boxes, colours, elements, items, phrases
-from quillspark.session import table
+from quillspark.session import cut, table
 from quillspark.sources import docx, docx_repairs
 
 SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in docx.NS.items() if k != "pr")
@@ -59,14 +59,14 @@ LINES_SQL = r"""e as (select doc_id::varchar as path, i - 1 as k, lines[i] as li
     count(*) filter (where k % 2 = 0) as with_effective_alt_text, count(*) filter (where k % 2 = 1) as without_alt_text from e where k % 3 = 0 group by path""")
 def package_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Packages read, their visual items told from remains, and summed up."""
-    return inventory.summarize(docx.inventory(made_packages(spark, d)), "path")
+    return inventory.summarize(docx.inventory(cut(made_packages(spark, d))), "path")
 
 
 @query(rf"""with {LINES_SQL} select path, 'word/document.xml' as source_part, k::varchar as docpr_id, 'written ' || k as alt_text from e where k % 6 = 0
     union all select path, 'word/document.xml', k::varchar, '' from e where k % 6 = 3""")
 def package_write_back(spark: SparkSession, d: str) -> DataFrame:
     """Texts written to packages and read again; empty ones take the old text away."""
-    made = made_packages(spark, d)
+    made = cut(made_packages(spark, d))
     found = docx.inventory(made)
     new = found.select("path", "source_part", "docpr_id", F.when(F.col("docpr_id").cast("int") % 6 == 0, F.concat(F.lit("written "), "docpr_id")).otherwise("").alias("alt_text"))
     again = docx.inventory(docx.with_texts(made, new).select("path", "content"))

@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,16 +196,32 @@ def level_rows(content: bytes) -> Iterator[dict]:
             yield {"num_id": num.get(tag("w:numId")), "ilvl": x.get(tag("w:ilvl")), "start": own if own is not None else 1 if first is None else first, "num_fmt": value(x, "w:numFmt") or "decimal", "lvl_text": value(x, "w:lvlText")}
 
 
-def _table(source: DataFrame, rows: Callable[[bytes], Iterator[dict]], schema: str, counted: bool = False) -> DataFrame:
-    names = [x.split()[0] for x in schema.split(", ")]
+ARROW = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<string>": pa.list_(pa.string())}
+#: Rows that a task gives at a time.
+OUT_ROWS = 5000
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                found = [x | {"path": path} | ({"idx": k} if counted else {}) for k, x in enumerate(rows(bytes(content)))]
-                yield pd.DataFrame(found, columns=names).astype(object).where(lambda x: x.notna(), None)
 
-    return source.mapInPandas(run, schema)
+def _table(source: DataFrame, rows: Callable[[bytes], Iterator[dict]], schema: str, counted: bool = False) -> DataFrame:
+    """rows() of every package, with its path and, if counted, their number. One package is held at a time, and OUT_ROWS rows of any."""
+    kinds = {name: ARROW[kind] for name, kind in (x.split() for x in schema.split(", "))}
+
+    def batch(out: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x.get(name) for x in out], kind) for name, kind in kinds.items()], list(kinds))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for given in batches:
+            for path, content in zip(given.column(0), given.column(1), strict=True):
+                path = path.as_py()
+                for k, x in enumerate(rows(content.as_py())):
+                    out.append(x | {"path": path} | ({"idx": k} if counted else {}))
+                    if len(out) == OUT_ROWS:
+                        yield batch(out)
+                        out = []
+        if out:
+            yield batch(out)
+
+    return source.select("path", "content").mapInArrow(run, schema)
 
 
 def _judged(rows: DataFrame) -> DataFrame:
