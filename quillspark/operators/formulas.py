@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ SIGNS = r"[=+*/⁄_(){}\[\]|∣·×÷−-]"
 PLAIN_SIGNS = r"[=+\-*/_(){}\[\]|:]"
 #: Limits: gaps between lines of a cluster and between clusters, their overlap, and how far a box may grow.
 LINE_GAP, CLUSTER_GAP, CLUSTER_OVERLAP, GROWTH, GROWTH_COVERED = 0.75, 6.5, 0.12, 1.12, 1.75
+#: Of a search over the whole page: a cluster's gap and overlap, and how far across and down a word may be away.
+SEARCH_CLUSTERS, SEARCH_GAP = (4.0, 0.2), (18.0, 6.0)
 
 
 def extracted(text: Column, pattern: str, group: int = 0) -> Column:
@@ -188,7 +191,7 @@ def clusters(candidates: DataFrame) -> DataFrame:
     return grouped.withColumns({"overlap": F.size("met"), "strong": F.size(F.filter("met", is_strong))})
 
 
-def may_join(cluster: dict, chosen: list[dict], covered: set[str], wanted_strong: set[str], strong: set[str]) -> bool:
+def may_join(cluster: dict, chosen: list[dict], covered: set[str], wanted_strong: set[str], strong: set[str], most_gap: float, least_overlap: float) -> bool:
     """A cluster is taken in if it brings a new token (a strong one, once all strong ones are there) and stands near a chosen one, above or below."""
     fresh = set(cluster["met"]) - covered
     if not fresh or (wanted_strong and wanted_strong <= covered and not fresh & strong):
@@ -197,12 +200,12 @@ def may_join(cluster: dict, chosen: list[dict], covered: set[str], wanted_strong
     def near(other: dict) -> bool:
         gap = max(0.0, cluster["y0"] - other["y1"], other["y0"] - cluster["y1"])
         width = max(0.01, min(cluster["x1"] - cluster["x0"], other["x1"] - other["x0"]))
-        return gap <= CLUSTER_GAP and max(0.0, min(cluster["x1"], other["x1"]) - max(cluster["x0"], other["x0"])) / width >= CLUSTER_OVERLAP
+        return gap <= most_gap and max(0.0, min(cluster["x1"], other["x1"]) - max(cluster["x0"], other["x0"])) / width >= least_overlap
 
     return any(map(near, chosen))
 
 
-def covering(found: DataFrame, described: DataFrame) -> DataFrame:
+def covering(found: DataFrame, described: DataFrame, most_gap: float = CLUSTER_GAP, least_overlap: float = CLUSTER_OVERLAP) -> DataFrame:
     """item, chosen (clusters that make up the formula) and the box around them. The best cluster comes first; others join while they may."""
     rows = found.join(described.select("item", description_tokens(F.col("description")).alias("wanted")), "item")
     rows = rows.withColumns({"strong_met": F.filter("met", is_strong), "strong_wanted": F.filter("wanted", is_strong)})
@@ -217,7 +220,7 @@ def covering(found: DataFrame, described: DataFrame) -> DataFrame:
         while grown:
             grown = False
             for r in list(rest):
-                if may_join(r, chosen, covered, wanted, strong):
+                if may_join(r, chosen, covered, wanted, strong, most_gap, least_overlap):
                     chosen.append(r)
                     rest.remove(r)
                     covered |= set(r["met"])
@@ -244,6 +247,84 @@ def refined(words: DataFrame, described: DataFrame) -> DataFrame:
     return out.select("d.item", "d.description", F.when(F.col("f.item").isNotNull() & fits, new).otherwise(F.col("d.box")).alias("box"), F.col("f.chosen").alias("chosen"))
 
 
+def search_words(judged: DataFrame) -> DataFrame:
+    """The words of judged_words() from which a formula may be put together: without breaks, prose and short words that no token asks for; with signs and anchor (a sign, a digit, two letters)."""
+    low = F.lower(collapse("text"))
+    letters = F.regexp_replace(low, "[^a-z]", "")
+    digit = low.rlike(r"\p{Nd}")
+    other = low.isin(*PROSE, *BREAKS) | is_long_word(F.col("text")) | (F.length(letters).between(1, 3) & ~letters.isin(*FUNCTIONS) & ~digit)
+    signs = F.regexp_count("text", F.lit(PLAIN_SIGNS))
+    rows = judged.where(F.col("formulaish") & (low != "") & ((F.size("met") > 0) | ~other))
+    return rows.select("item", "line", "n", "met", signs.alias("signs"), ((signs > 0) | digit | (F.length(letters) >= 2)).alias("anchor"), F.filter("met", is_strong).alias("strong_met"), "x0", "y0", "x1", "y1")
+
+
+def grown_from_words(found: DataFrame) -> DataFrame:
+    """item, words and box of the best cluster of search_words(): from each word that has a token (from all, if none has), whatever is within SEARCH_GAP of the growing box joins. A box that grows never lets go of
+    what it reached, so all in reach join at once, round by round. Best: most anchors, signs, tokens, strong ones, then the least area a word; the first word's on a tie."""
+
+    def grow(_: object, mine: list) -> Iterator[tuple]:
+        sides = np.array([[r.x0, r.y0, r.x1, r.y1] for r in mine])
+        best = None
+        for seed in [k for k, r in enumerate(mine) if r.met] or range(len(mine)):
+            inside = np.zeros(len(mine), dtype=bool)
+            inside[seed] = True
+            while True:
+                box = [*sides[inside, :2].min(axis=0), *sides[inside, 2:].max(axis=0)]
+                across = np.maximum(0.0, np.maximum(sides[:, 0] - box[2], box[0] - sides[:, 2]))
+                down = np.maximum(0.0, np.maximum(sides[:, 1] - box[3], box[1] - sides[:, 3]))
+                more = inside | ((across <= SEARCH_GAP[0]) & (down <= SEARCH_GAP[1]))
+                if (more == inside).all():
+                    break
+                inside = more
+            words = [r for r, x in zip(mine, inside, strict=True) if x]
+            area = max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1])
+            score = sum(r.anchor for r in words), sum(r.signs for r in words), len({t for r in words for t in r.met}), len({t for r in words for t in r.strong_met}), -area / len(words)
+            if best is None or score > best[0]:
+                best = score, len(words), *map(float, box)
+        yield best[1:]
+
+    return each_document(found, "item", ["line", "n"], grow, "item long, words long, x0 double, y0 double, x1 double, y1 double")
+
+
+def located(words: DataFrame, described: DataFrame) -> DataFrame:
+    """item, way and box of formulas of which nothing but the description is known: where the page's clusters cover it (closer together than in refined()), else where words grow together to it; null where
+    the page has nothing. A box without width or height is none."""
+    judged = cut(judged_words(words, described))
+    valid = lambda df: df.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    covered = cut(valid(covering(clusters(line_candidates(judged)), described, *SEARCH_CLUSTERS)).select("item", F.lit("clusters").alias("way"), "x0", "y0", "x1", "y1"))
+    left = judged.join(covered.select("item"), "item", "left_anti")
+    grown = valid(grown_from_words(search_words(left))).select("item", F.lit("words").alias("way"), "x0", "y0", "x1", "y1")
+    both = covered.unionByName(grown).select("item", "way", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    return described.select("item").join(both, "item", "left")
+
+
+def box_signals(words: DataFrame, boxes: DataFrame) -> DataFrame:
+    """item, and of the words in its box (with a little room): overlap, strong, signs and math_words. boxes: item, description, box."""
+    b = F.col("box")
+    met = words.join(boxes, "item").where((F.col("x1") >= b["x0"] - 1.5) & (F.col("x0") <= b["x1"] + 1.5) & (F.col("y1") >= b["y0"] - 1.0) & (F.col("y0") <= b["y1"] + 1.0))
+    rows = met.withColumns({"wanted": description_tokens(F.col("description")), "math": is_math_word(F.col("text"))})
+    told = rows.groupBy("item").agg(F.first("wanted").alias("wanted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.count_if("math").alias("math_words"))
+    told = told.withColumn("met", overlap_tokens(F.col("text"), F.col("wanted")))
+    told = told.select("item", F.size("met").alias("overlap"), F.size(F.filter("met", is_strong)).alias("strong"), F.regexp_count("text", F.lit(SIGNS)).alias("signs"), "math_words")
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return boxes.select("item").join(told, "item", "left").select("item", *map(none, ("overlap", "strong", "signs", "math_words")))
+
+
+def better_places(words: DataFrame, described: DataFrame, searched: DataFrame) -> DataFrame:
+    """described with its box replaced by the one that was searched for (item, box) where that says no less and is smaller: no fewer strong tokens or tokens, about as many signs, mostly within the old box or close to it,
+    and at most 0.92 of its area. A missing box is always replaced."""
+    old = described.select("item", "description", "box")
+    new = old.select("item", "description").join(searched.where("box is not null").select("item", "box"), "item")
+    rows = old.alias("d").join(searched.alias("s"), "item", "left").join(box_signals(words, old.where("box is not null")).alias("a"), "item", "left").join(box_signals(words, new).alias("b"), "item", "left")
+    d, s, A, B = F.col("d.box"), F.col("s.box"), (lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0))), (lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0)))
+    shared = F.greatest(F.lit(0.0), F.least(d["x1"], s["x1"]) - F.greatest(d["x0"], s["x0"])) * F.greatest(F.lit(0.0), F.least(d["y1"], s["y1"]) - F.greatest(d["y0"], s["y0"]))
+    away = (F.greatest(F.lit(0.0), d["x0"] - s["x1"], s["x0"] - d["x1"]) > 12) | (F.greatest(F.lit(0.0), d["y0"] - s["y1"], s["y0"] - d["y1"]) > 8)
+    says = (B("strong") >= A("strong")) & (B("overlap") >= A("overlap")) & ~((B("signs") + 1 < A("signs")) & (B("overlap") <= A("overlap")))
+    fits = (area(s) > 0) & (area(d) > 0) & says & ~((shared / area(s) < 0.5) & away) & (area(s) <= area(d) * 0.92)
+    take = s.isNotNull() & (d.isNull() | (area(d) <= 0) | F.coalesce(fits, F.lit(False)))
+    return rows.select("item", "d.description", F.when(take, s).otherwise(d).alias("box"), take.alias("replaced"))
+
+
 def drawn_in_to_wrappers(words: DataFrame, described: DataFrame) -> DataFrame:
     """described with its box drawn in to what stands between the first opening and the last closing sign of a kind that the description names,
     braces before parentheses before brackets, unless that is larger."""

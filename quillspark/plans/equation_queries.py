@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import equations, responses
 from quillspark.operators import formulas
 from quillspark.plans.queries import query
+from quillspark.session import cut
 from quillspark.plans.views import DESCRIPTIONS, PHRASES_SQL, described, page_words, phrases
 
 
@@ -130,3 +131,12 @@ def formula_boxes(spark: SparkSession, d: str) -> DataFrame:
 def wrapper_boxes(spark: SparkSession, d: str) -> DataFrame:
     """Boxes drawn in to the wrappers that a description names."""
     return formulas.drawn_in_to_wrappers(page_words(spark, d), described(spark, d)).select("item", "box.*")
+
+
+@query()
+def formula_searches(spark: SparkSession, d: str) -> DataFrame:
+    """Formulas looked for by their descriptions alone, and which of the places found are taken instead of the known ones; tests hold the growth against a plain loop."""
+    words, wanted = page_words(spark, d), described(spark, d)
+    found = cut(formulas.located(words, wanted))
+    better = formulas.better_places(words, wanted, found)
+    return found.select("item", "way", F.col("box").alias("found")).join(better, "item").select("item", "way", "replaced", F.col("found.x0").alias("found_x0"), F.col("found.y0").alias("found_y0"), "box.*")

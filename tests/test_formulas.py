@@ -98,3 +98,61 @@ def test_list_levels_and_bonuses(spark):
     plain = compare.score(at, at, 1.0, 1.0)
     assert round(compare.score(at | {"reading_order": 3}, at | {"reading_order": 4}, 1.0, 1.0) - plain, 6) == 0.025
     assert round(compare.score(at | {"sequence_order": 3}, at | {"sequence_order": 3}, 1.0, 1.0) - plain, 6) == 0.08
+
+
+def grown_plainly(words):
+    """The best cluster of one item's words, one word after the other."""
+    gaps = lambda a, b: (max(0.0, a[0] - b[2], b[0] - a[2]), max(0.0, a[1] - b[3], b[1] - a[3]))
+    best = None
+    for seed in [w for w in words if w["met"]] or words:
+        cluster, box, grew = [seed], seed["box"], True
+        while grew:
+            grew = False
+            for w in words:
+                if all(w is not x for x in cluster):
+                    across, down = gaps(box, w["box"])
+                    if across <= 18 and down <= 6:
+                        cluster.append(w)
+                        box = (min(box[0], w["box"][0]), min(box[1], w["box"][1]), max(box[2], w["box"][2]), max(box[3], w["box"][3]))
+                        grew = True
+        tokens = {t for w in cluster for t in w["met"]}
+        strong = {t for w in cluster for t in w["strong_met"]}
+        score = (sum(w["anchor"] for w in cluster), sum(w["signs"] for w in cluster), len(tokens), len(strong), -(box[2] - box[0]) * (box[3] - box[1]) / len(cluster))
+        if best is None or score > best[0]:
+            best = score, len(cluster), box
+    return best[1:]
+
+
+def test_words_grow_as_in_a_plain_loop(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for item in range(40):
+        for n in range(rng.randrange(1, 30)):
+            x, y = rng.random() * 150, rng.random() * 60
+            met = rng.sample(["x", "y", "12", "x2"], rng.choice([0, 0, 0, 1, 2]))
+            rows.append((item, n // 5, n, met, rng.randrange(3), rng.random() < 0.5, [t for t in met if len(t) > 1], x, y, x + 1 + rng.random() * 12, y + 1 + rng.random() * 6))
+    df = spark.createDataFrame(rows, "item long, line long, n long, met array<string>, signs int, anchor boolean, strong_met array<string>, x0 double, y0 double, x1 double, y1 double")
+    got = {r["item"]: (r["words"], tuple(round(r[c], 9) for c in ("x0", "y0", "x1", "y1"))) for r in formulas.grown_from_words(df).collect()}
+    for item in range(40):
+        words = [{"met": r[3], "signs": r[4], "anchor": r[5], "strong_met": r[6], "box": r[7:]} for r in rows if r[0] == item]
+        n, box = grown_plainly(words)
+        assert got[item] == (n, tuple(round(x, 9) for x in box)), item
+
+
+def test_located_falls_back_to_words_and_better_places_are_taken(spark):
+    words = [
+        (1, 0, 0.0, 0.0, 20.0, 9.0, "x2"), (1, 0, 22.0, 0.0, 30.0, 9.0, "="), (1, 0, 32.0, 0.0, 50.0, 9.0, "12.5"),
+        (2, 0, 0.0, 0.0, 60.0, 9.0, "abc1"), (2, 0, 62.0, 0.0, 90.0, 9.0, "def2"), (2, 0, 92.0, 0.0, 120.0, 9.0, "ghi3"), (2, 0, 122.0, 0.0, 130.0, 9.0, "="), (3, 0, 0.0, 0.0, 60.0, 9.0, "Nothing"),
+    ]
+    words = spark.createDataFrame(words, "item long, line long, x0 double, y0 double, x1 double, y1 double, text string")
+    box = (0.0, 0.0, 300.0, 300.0)
+    wanted = spark.createDataFrame([(1, "x sub 2 equals twelve 12.5", box), (2, "cosine of it", box), (3, "q", None), (4, "z", box)], "item long, description string, box struct<x0: double, y0: double, x1: double, y1: double>")
+    found = formulas.located(words, wanted)
+    got = {r["item"]: (r["way"], tuple(r["box"]) if r["box"] else None) for r in found.collect()}
+    assert got[1] == ("clusters", (0.0, 0.0, 50.0, 9.0))
+    assert got[2] == ("words", (122.0, 0.0, 130.0, 9.0))
+    assert got[3] == (None, None) and got[4] == (None, None)
+    better = {r["item"]: (r["replaced"], tuple(r["box"]) if r["box"] else None) for r in formulas.better_places(words, wanted, found).collect()}
+    assert better == {1: (True, (0.0, 0.0, 50.0, 9.0)), 2: (True, (122.0, 0.0, 130.0, 9.0)), 3: (False, None), 4: (False, box)}
