@@ -232,3 +232,12 @@ def is_math_text(s: Text) -> Column:
     """A typeset equation, or a digit with any mark of mathematics."""
     text = F.trim(text_or_empty(s))
     return is_typeset_equation(text) | (text.rlike(DIGIT) & text.rlike(MATH_MARKS))
+
+
+def is_equation_fragment(s: Text) -> Column:
+    """A line that may be a part of an equation: mathematics, or, with fewer than three words, a letter, sign or number by itself, a sign of typeset formulas, or a digit in eight characters at most."""
+    text = F.trim(text_or_empty(s))
+    alone = text.rlike(r"^(?:[A-Za-z]|[=+\-/*^()\[\]]|[A-Za-z]?[0-9]+(?:\.[0-9]+)?)$")
+    signs = text.rlike("[\uf0b4\u00d7\u00b7\u2264\u2265]")
+    words = F.regexp_count(text, F.lit("[A-Za-z]{2,}"))
+    return (text != "") & (is_math_text(text) | ((words < 3) & (alone | signs | ((F.length(text) <= 8) & text.rlike(DIGIT)))))

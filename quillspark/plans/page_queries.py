@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import geometry as G
-from quillspark.operators import structure
+from quillspark.operators import regions, structure
 from quillspark.plans.queries import query
+from quillspark.plans.views import PAGE_WORDS, page_words
 from quillspark.session import table
 from quillspark.sources import content_streams
 
@@ -119,3 +120,39 @@ def owned_marks(spark: SparkSession, d: str) -> DataFrame:
     """The marked content that each figure and formula owns, roles taken as they stand."""
     nodes = tree_nodes(spark, d).withColumns({"role": F.element_at(F.array(*map(F.lit, ("Figure", "Pic", "Formula", "P", "Span", "Formula", "Loop"))), F.col("node") % 7 + 1), "has_alt": F.trim(F.coalesce("alt", F.lit(""))) != ""})
     return structure.owned_content(nodes).select("doc_id", "item", F.array_join(F.col("mcids").cast("array<string>"), ",").alias("mcids"))
+
+
+#: Of the words that stand on the pages of the view, those that may be parts of equations; none is one by itself.
+FRAGMENTS = ("x2", "=", "+", "12.5", "(", ")", "y", "37", "a")
+
+
+def raw_page(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lines, pictures and paths: an order is a block of a page, its order lines are words of one row, a path each, and a picture if returned."""
+    words = page_words(spark, d)
+    unit = G.box(F.col("x0") / 300, F.col("y0") / 100, F.col("x1") / 300, F.col("y1") / 100)
+    lines = words.select(F.col("item").alias("doc_id"), F.lit(1).alias("page"), F.col("line").alias("block"), (F.col("x0") / 20).cast("int").alias("line"), unit.alias("box"), "text")
+    n, k = F.col("l_orderkey"), F.col("l_linenumber")
+    x, y = (k - 1) * 0.1301, (n % 4) * 0.2403
+    rows = table(spark, d, "lineitem").select(F.floor(n / 4).cast("long").alias("doc_id"), F.lit(1).alias("page"), ((n % 4) * 10 + k).cast("long").alias("n"), G.box(x, y, x + 0.1, y + 0.12).alias("box"), "l_returnflag")
+    return lines, rows.where("l_returnflag = 'R'").select("doc_id", "page", F.col("n").alias("block"), "box"), rows.drop("l_returnflag")
+
+
+_PAGE_LIST = "[" + ", ".join(f"'{w}'" for w in PAGE_WORDS) + "]"
+_FRAGMENT_LIST = "[" + ", ".join(f"'{w}'" for w in FRAGMENTS) + "]"
+
+
+@query(f"""with w as (select l_orderkey // 4 as doc_id, l_orderkey % 4 as block, l_linenumber as line, ({_PAGE_LIST})[l_partkey % {len(PAGE_WORDS)} + 1] as text, (l_orderkey % 4) * 0.2403 as py, (l_linenumber - 1) * 0.1301 as px, l_returnflag = 'R' as shown,
+    l_linenumber * 20 / 300 as x0, ((l_orderkey % 4) * 10 + case when l_orderkey % 8 > 3 then 30 else 0 end) / 100 as y0 from lineitem),
+v as (select *, (line * 20 + length(text) * 4) / 300 as x1, y0 + 0.095 as y1 from w),
+t as (select doc_id, block, string_agg(text, chr(10) order by line, text) as text, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, sum(length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g'))) + 0 as own from v group by doc_id, block),
+s as (select *, length(trim(regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g'))) as chars from t),
+e as (select doc_id, block, string_agg(text, ' ' order by line, text) as text, min(x0) as x0 from v where list_contains({_FRAGMENT_LIST}, text) group by doc_id, block having count(*) > 1),
+g as (select v.doc_id, v.block, v.line, v.px, count(s.block) as blocks, coalesce(sum(s.chars), 0) as chars from (select distinct doc_id, block, line, px, py from v) v left join s on s.doc_id = v.doc_id and (s.x0 + s.x1) / 2 between v.px - 0.01 and least(1, v.px + 0.1) + 0.01 and (s.y0 + s.y1) / 2 between greatest(0, v.py - 0.01) and least(1, v.py + 0.12) + 0.01 group by v.doc_id, v.block, v.line, v.px),
+p as (select doc_id, 'image' as kind, 0 as late, block * 10 + line as place, px as x0, null as blocks, null as chars from v where shown union all select doc_id, 'vector', 1, block * 10 + line, px, blocks, chars from g where not (blocks >= 4 and chars >= 28))
+select doc_id, 'text' as kind, row_number() over (partition by doc_id order by block) - 1 as n, round(x0, 6) as x0, text, null as text_blocks, null as text_chars from s
+union all select doc_id, 'equation_line', row_number() over (partition by doc_id order by block) - 1, round(greatest(0, x0 - 0.004), 6), text, null, null from e
+union all select doc_id, kind, row_number() over (partition by doc_id order by late, place) - 1, round(x0, 6), null, blocks::bigint, chars::bigint from p""")
+def page_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Text blocks, equation lines, pictures and drawings of pages."""
+    found = regions.regions(*raw_page(spark, d))
+    return found.select("doc_id", "kind", "n", F.round("box.x0", 6).alias("x0"), "text", "text_blocks", "text_chars")
