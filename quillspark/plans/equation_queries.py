@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.functions import equations, responses
+from quillspark.functions import equations, responses, transcription
 from quillspark.operators import formulas
 from quillspark.plans.queries import query
 from quillspark.session import cut
-from quillspark.plans.views import DESCRIPTIONS, PHRASES_SQL, described, page_words, phrases
+from quillspark.plans.views import DESCRIPTIONS, PHRASES_SQL, described, elements, page_words, phrases
 
 
 def listed(values) -> str:
@@ -140,3 +140,10 @@ def formula_searches(spark: SparkSession, d: str) -> DataFrame:
     found = cut(formulas.located(words, wanted))
     better = formulas.better_places(words, wanted, found)
     return found.select("item", "way", F.col("box").alias("found")).join(better, "item").select("item", "way", "replaced", F.col("found.x0").alias("found_x0"), F.col("found.y0").alias("found_y0"), "box.*")
+
+
+@query()
+def transcriptions(spark: SparkSession, d: str) -> DataFrame:
+    """The equation that each line of a document holds, transcribed strictly; tests/test_transcription.py holds it against a plain version."""
+    rows = elements(spark, d).select("doc_id", "idx", transcription.strict_transcription("text").alias("equation"))
+    return rows.where("equation <> ''")
