@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from quillspark.operators import regions, structure
 from quillspark.plans.queries import query
 from quillspark.plans.views import PAGE_WORDS, page_words
 from quillspark.session import table
-from quillspark.sources import content_streams
+from quillspark.sources import content_streams, xlsx
 
 WIDTH, HEIGHT = 612.0, 792.0
 
@@ -156,3 +159,26 @@ def page_regions(spark: SparkSession, d: str) -> DataFrame:
     """Text blocks, equation lines, pictures and drawings of pages."""
     found = regions.regions(*raw_page(spark, d))
     return found.select("doc_id", "kind", "n", F.round("box.x0", 6).alias("x0"), "text", "text_blocks", "text_chars")
+
+
+def picture_books(spark: SparkSession, d: str) -> DataFrame:
+    """path, content: a workbook for each document, with a row for every line and, on every third, a picture of what the line says; every ninth hangs on no cell."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, lines in zip(*batch.columns, strict=True):
+                said = lines.as_py()
+                placed = [(None, None, f"p{k}.png", x.encode()) if k % 9 == 0 else (k, k % 4, f"p{k}.png", x.encode()) for k, x in enumerate(said) if k % 3 == 0]
+                book = xlsx.with_pictures(xlsx.workbook([(k, x) for k, x in enumerate(said)]), placed)
+                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([book], pa.binary())], ["path", "content"])
+
+    return rows.mapInArrow(build, "path string, content binary")
+
+
+@query(f"""with {LINES_SQL} select doc_id::varchar as path, 'ALT Management' as sheet, (k // 3 + 1)::int as picture, case when k % 9 = 0 then 999999 else k end::int as row, case when k % 9 = 0 then 999999 else k % 4 end::int as col,
+    'xl/media/p' || k || '.png' as part, md5(line) as digest from l where k % 3 = 0""")
+def workbook_pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Pictures written to workbooks and read again, with the cells that they hang on."""
+    found = xlsx.pictures(picture_books(spark, d))
+    return found.select("path", "sheet", "picture", "row", "col", "part", F.md5("content").alias("digest"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ from quillspark.functions import text as T
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+DRAWING = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
+BLIP = "{http://schemas.openxmlformats.org/drawingml/2006/main}blip"
+EMBED = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}embed"
+#: Fixed value: the row and column of a picture that hangs on no cell.
+UNANCHORED = 999999
 CELLS = "path string, sheet_no int, sheet string, row_no int, col_no int, value string"
 #: The inventory's columns: fixed values. Those from the fourth on are hidden.
 HEADERS = ("File Name", "Image", "ALT Text", "Item ID", "Type", "Source Part", "Page", "Original ALT", "Generated ALT")
@@ -79,6 +86,82 @@ def cells(source: DataFrame) -> DataFrame:
     return source.mapInPandas(run, CELLS)
 
 
+def linked(archive: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The parts that a part links to, by the links' names."""
+    folder, _, name = part.rpartition("/")
+    links = f"{folder}/_rels/{name}.rels"
+    if links not in archive.namelist():
+        return {}
+    whole = lambda target: target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target))
+    return {x.get("Id"): whole(x.get("Target") or "") for x in ET.fromstring(archive.read(links))}
+
+
+def picture_rows(content: bytes) -> Iterator[tuple]:
+    """sheet_no, sheet, picture (its place among the sheet's), row, col, part and content of each picture of a sheet's drawings."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = set(archive.namelist())
+        book = linked(archive, "xl/workbook.xml")
+        for number, sheet in enumerate(ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{MAIN}sheet"), 1):
+            part = book.get(sheet.get(LINK))
+            if part not in names:
+                continue
+            links, picture = linked(archive, part), 0
+            for drawing in ET.fromstring(archive.read(part)).iter(f"{MAIN}drawing"):
+                drawn = links.get(drawing.get(LINK))
+                if drawn not in names:
+                    continue
+                media = linked(archive, drawn)
+                for anchor in ET.fromstring(archive.read(drawn)):
+                    start = anchor.find(f"{DRAWING}from")
+                    at = [int(start.findtext(f"{DRAWING}{c}") or UNANCHORED) for c in ("row", "col")] if start is not None else [UNANCHORED] * 2
+                    for blip in anchor.iter(BLIP):
+                        target = media.get(blip.get(EMBED))
+                        if target in names:
+                            picture += 1
+                            yield number, sheet.get("name"), picture, *at, target, archive.read(target)
+
+
+PICTURES = "path string, sheet_no int, sheet string, picture int, row int, col int, part string, content binary"
+
+
+def pictures(source: DataFrame) -> DataFrame:
+    """The pictures of each workbook with the row and column (from 0) that they hang on; those that hang on none come last, at UNANCHORED. In order: sheet, row, col, picture."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                for row in picture_rows(content.as_py()):  # a batch for each, as pictures may be large
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((path.as_py(), *row), kinds, strict=True)], [x.split()[0] for x in PICTURES.split(", ")])
+
+    return source.select("path", "content").mapInArrow(run, PICTURES)
+
+
+def with_pictures(book: bytes, placed: list[tuple[int | None, int | None, str, bytes]]) -> bytes:
+    """A workbook() with pictures on its sheet: row and column (from 0; None for a place that hangs on no cell), the name of the part, and its content."""
+    spaces = f'xmlns:xdr="{DRAWING[1:-1]}" xmlns:a="{BLIP[1:].partition("}")[0]}" xmlns:r="{LINK[1:-3]}"'
+    start = lambda row, col: f"<xdr:from><xdr:col>{col}</xdr:col><xdr:colOff>0</xdr:colOff><xdr:row>{row}</xdr:row><xdr:rowOff>0</xdr:rowOff></xdr:from>"
+    shape = lambda k: f'<xdr:ext cx="635000" cy="635000"/><xdr:pic><xdr:nvPicPr><xdr:cNvPr id="{k}" name="Picture {k}"/><xdr:cNvPicPr/></xdr:nvPicPr><xdr:blipFill><a:blip r:embed="rId{k}"/></xdr:blipFill><xdr:spPr/></xdr:pic><xdr:clientData/>'
+    anchors = "".join(f'<xdr:absoluteAnchor><xdr:pos x="0" y="0"/>{shape(k)}</xdr:absoluteAnchor>' if row is None else f"<xdr:oneCellAnchor>{start(row, col)}{shape(k)}</xdr:oneCellAnchor>" for k, (row, col, _, _) in enumerate(placed, 1))
+    link = lambda k, kind, target: f'<Relationship Id="rId{k}" Type="{LINK[1:-3]}/{kind}" Target="{target}"/>'
+    links = lambda inner: f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{inner}</Relationships>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(book)) as old, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as new:
+        for name in old.namelist():
+            text = old.read(name).decode()
+            if name == "xl/worksheets/sheet1.xml":
+                text = text.replace("</worksheet>", f'<drawing xmlns:r="{LINK[1:-3]}" r:id="rId1"/></worksheet>')
+            elif name == "[Content_Types].xml":
+                text = text.replace("</Types>", '<Default Extension="png" ContentType="image/png"/><Override PartName="/xl/drawings/drawing1.xml" ContentType="application/vnd.openxmlformats-officedocument.drawing+xml"/></Types>')
+            new.writestr(name, text)
+        new.writestr("xl/worksheets/_rels/sheet1.xml.rels", links(link(1, "drawing", "../drawings/drawing1.xml")))
+        new.writestr("xl/drawings/drawing1.xml", f'<?xml version="1.0" encoding="UTF-8"?><xdr:wsDr {spaces}>{anchors}</xdr:wsDr>')
+        new.writestr("xl/drawings/_rels/drawing1.xml.rels", links("".join(link(k, "image", f"../media/{part}") for k, (_, _, part, _) in enumerate(placed, 1))))
+        for part, content in {part: content for _, _, part, content in placed}.items():
+            new.writestr(f"xl/media/{part}", content)
+    return out.getvalue()
+
+
 def by_header(rows: DataFrame) -> DataFrame:
     """path, row_no and values: a map from each first-row header, lower-cased with single spaces, to the row's value. The first sheet only."""
     first = rows.where("sheet_no = 1")

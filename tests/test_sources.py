@@ -98,3 +98,13 @@ def test_shared_strings_and_sparse_rows(spark):
     raw = package(**{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": xlsx.BOOK_LINKS, "xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": shared})
     rows = xlsx.cells(spark.createDataFrame([("p", raw)], "path string, content binary")).orderBy("col_no").collect()
     assert [(r["row_no"], r["col_no"], r["value"]) for r in rows] == [(2, 2, "ab"), (2, 27, "7")]
+
+
+def test_pictures_of_workbooks(spark):
+    book = xlsx.with_pictures(xlsx.workbook([("a", "b"), ("c", "d")]), [(1, 0, "a.png", b"A"), (None, None, "b.png", b"B"), (0, 2, "a.png", b"A")])
+    odd = xlsx.workbook([("no picture",)])
+    rows = xlsx.pictures(spark.createDataFrame([("x", bytearray(book)), ("y", bytearray(odd))], "path string, content binary")).orderBy("sheet", "row", "col", "picture").collect()
+    assert [(r["path"], r["sheet_no"], r["picture"], r["row"], r["col"], r["part"], bytes(r["content"])) for r in rows] == [
+        ("x", 1, 3, 0, 2, "xl/media/a.png", b"A"), ("x", 1, 1, 1, 0, "xl/media/a.png", b"A"), ("x", 1, 2, 999999, 999999, "xl/media/b.png", b"B"),
+    ]
+    assert [r["value"] for r in xlsx.cells(spark.createDataFrame([("x", bytearray(book))], "path string, content binary")).collect()] == ["a", "b", "c", "d"]
