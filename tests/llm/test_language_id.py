@@ -66,3 +66,43 @@ def test_predictions_beside_columns_of_their_names(make_docs, odd_rows, learned)
     said = language_id.with_predictions(docs, learned, lang_pred="__lang", score="__score", accepted="__accepted")
     assert said.columns == [*docs.columns, "__lang", "__score", "__accepted"]
     assert sorted(map(repr, said.select(docs.columns).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_query_against_plain_loops(spark, sf):
+    """Dictionaries, sizes and scores of the query, made again one text, one language and one chunk after the other."""
+    import re
+
+    import zstandard
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 40))
+    rows = [r for r in docs.withColumn("rank", rank).collect()]
+
+    def words(text):
+        said = re.sub(r"[\W\d_]+", " ", text.lower()).strip()
+        return said.encode() if any(c.isalpha() for c in said) else b""
+
+    sample = {}
+    usable = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] and any(c.isalpha() for c in r["text"])]
+    for lang in {r["lang"] for r in usable}:
+        mine = [r for r in usable if r["lang"] == lang]
+        bound = min(1 << 40, (1 << 40) * language_id.SAMPLE_ROWS // len(mine))
+        cut = lambda t: t if len(t.encode()) <= 20_000 else t[next(i for i, c in enumerate(t) if c.isalpha()) :][:5000]
+        found = sorted((r["rank"], words(cut(r["text"]))) for r in mine if r["rank"] < bound)
+        sample[lang] = b" ".join(t for _, t in found if t)[: language_id.DICTIONARY_BYTES]
+    size = max(map(len, sample.values()))
+    coders = {}
+    for lang, raw in sample.items():
+        raw = b"\0" * (size - len(raw)) + raw
+        given = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        how = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, dict_size=len(raw), source_size=language_id.CHUNK_BYTES, min_match=3, strategy=zstandard.STRATEGY_BTOPT, write_content_size=False, write_dict_id=False)
+        given.precompute_compress(compression_params=how)
+        coders[lang] = zstandard.ZstdCompressor(dict_data=given, compression_params=how)
+    got = {r["doc_id"]: r for r in queries.op7_language_id(spark, sf).collect()}
+    for r in rows:
+        raw = words(r["text"] or "")
+        sizes = {lang: sum(len(coder.compress(raw[k : k + language_id.CHUNK_BYTES])) for k in range(0, len(raw), language_id.CHUNK_BYTES)) for lang, coder in coders.items()}
+        first, second = sorted(sizes, key=lambda lang: (sizes[lang], lang))[:2]
+        expected = (first, (sizes[second] - sizes[first]) / sizes[second]) if raw else ("und", 0.0)
+        assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == expected
