@@ -101,3 +101,53 @@ def test_repaired_contrast_is_enough(spark):
     df = spark.createDataFrame(pairs, "c string, g string").withColumn("r", colour.accessible(F.col("c"), F.col("g")))
     best_possible = F.greatest(colour.contrast(F.lit("000000"), F.col("g")), colour.contrast(F.lit("FFFFFF"), F.col("g")))
     assert df.where((colour.contrast(F.col("r"), F.col("g")) < 4.45) & (best_possible >= 4.5)).count() == 0  # rounding to 8 bits costs a little
+
+
+def test_page_space_matrices_and_polygons(value):
+    m = lambda *x: F.struct(*[F.lit(float(v)).alias(c) for c, v in zip("abcdef", x)])
+    scaled, moved = m(2, 0, 0, 3, 0, 0), m(1, 0, 0, 1, 10, 20)
+    assert tuple(value(G.transform(scaled, F.lit(1.0), F.lit(1.0)))) == (2.0, 3.0)
+    assert tuple(value(G.transform(G.multiply(scaled, moved), F.lit(1.0), F.lit(1.0)))) == (12.0, 23.0)
+    assert tuple(value(G.transform(G.multiply(moved, scaled), F.lit(1.0), F.lit(1.0)))) == (22.0, 63.0)
+    box = G.box(F.lit(10.0), F.lit(20.0), F.lit(50.0), F.lit(80.0))
+    assert tuple(value(G.from_pdf_space(box, F.lit(100.0), F.lit(200.0)))) == (0.1, 0.6, 0.5, 0.9)
+    assert tuple(value(G.from_page_space(box, F.lit(100.0), F.lit(200.0)))) == (0.1, 0.1, 0.5, 0.4)
+    assert tuple(value(G.around_polygon(F.array(*map(F.lit, (3.0, 9.0, 1.0, 4.0, 2.0, 8.0)))))) == (1.0, 4.0, 3.0, 9.0)
+
+
+@pytest.mark.parametrize(("name", "stem"), [("a/b\\My file (1).docx", "My_file_1_"), ("plain", "plain"), (".hidden", ""), ("x.tar.gz", "x.tar"), (None, ""), ("é ü.pdf", "_")])
+def test_file_stem(value, name, stem):
+    assert value(text.file_stem(F.lit(name).cast("string"))) == stem
+
+
+@pytest.mark.parametrize(
+    ("said", "fonts", "sizes", "issues"),
+    [
+        ("Page one", ["Times New Roman"], [10.0, 10.04], []), ("page one", ["times new roman"], [10.0], ["capital", "case"]), ("Page ONE", [], None, ["font:unknown", "size:unknown", "case"]),
+        ("12", ["Arial", "Times New Roman"], [9.0, 10.0], ["font:Arial", "size:9.0"]), ("PAGE", ["Times New Roman"], [10.0], ["case"]),
+    ],
+)
+def test_footer_issues(spark, said, fonts, sizes, issues):
+    row = spark.createDataFrame([(said, fonts, sizes)], "t string, f array<string>, s array<double>")
+    assert row.select(text.footer_issues("t", F.col("f"), F.col("s")).alias("x")).first()["x"] == issues
+
+
+def test_content_is_preferred_where_the_declared_box_is_off(value):
+    from quillspark.functions import visual
+
+    box = lambda *x: G.box(*map(F.lit, map(float, x)))
+    page = F.lit(612.0 * 792.0)
+    ask = lambda a, b: value(visual.prefers_content(a, b, page))
+    assert ask(box(0, 0, 100, 100), box(0, 0, 95, 95)) is False
+    assert ask(box(0, 0, 100, 100), box(50, 50, 150, 150)) is True  # little of it inside
+    assert ask(box(0, 0, 60, 100), box(0, 0, 100, 100)) is True  # much narrower
+    assert ask(box(0, 0, 600, 700), box(0, 0, 500, 300)) is True  # most of the page, for less than a third of it
+    assert ask(box(0, 0, 100, 100), box(0, 0, 0, 0)) is False
+    assert ask(F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"), box(0, 0, 1, 1)) is True
+
+
+def test_list_report(spark):
+    from quillspark.operators import anchors
+
+    runs = spark.createDataFrame([(1, 1, "decimal"), (1, 1, "decimal"), (1, 2, "lowerLetter"), (1, 0, "bullet"), (2, 0, "bullet")], "doc_id long, list_id long, kind string")
+    assert {tuple(r) for r in anchors.list_report(runs).collect()} == {(1, 3, 1, 2), (2, 0, 1, 0)}
