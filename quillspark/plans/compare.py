@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import ordered
+from quillspark.session import heavy_tasks
 
 ALIGNED = "pair long, n long, left_idx long, right_idx long, score double, similarity double"
 LEAST_SCORE = 0.45
@@ -42,8 +43,73 @@ def skip_cost(normal: str) -> float:
     return 0.08 if not normal else 0.12 if len(normal) <= 6 else 0.18
 
 
+def ratio_bounds(left: list[str], right: list[str]) -> np.ndarray:
+    """What no ratio can exceed: twice the characters that both have, over all of them. Equal texts have 1, and no bound is below the ratio."""
+    place = {c: k for k, c in enumerate(sorted(set("".join(left + right))))}
+    counts = []
+    for texts in (left, right):
+        mine = np.zeros((len(texts), max(1, len(place))), dtype=np.int32)
+        for k, text in enumerate(texts):
+            np.add.at(mine[k], [place[c] for c in text], 1)
+        counts.append(mine)
+    sizes = [x.sum(axis=1) for x in counts]
+    shared = np.stack([np.minimum(row, counts[1]).sum(axis=1) for row in counts[0]])  # a row of pairs at a time
+    total = sizes[0][:, None] + sizes[1][None, :]
+    return np.where(total > 0, 2 * shared / np.maximum(1, total), 1.0)
+
+
+def score_bounds(left: list[dict], right: list[dict]) -> np.ndarray:
+    """What no score() of a pair can exceed."""
+    of = lambda side, c: np.array([x[c] for x in side], dtype=float)
+    near = lambda c: 1 - np.minimum(np.abs(of(left, c)[:, None] - of(right, c)[None, :]), 1)
+    texts = [ratio_bounds([x[c] for x in left], [x[c] for x in right]) for c in ("text", "normal")]
+    value = 0.34 * texts[0] + 0.46 * texts[1] + 0.12 * near("y_norm") + 0.05 * near("x_norm") + 0.02 * near("doc_y") + 0.01 / (1 + np.abs(of(left, "page")[:, None] - of(right, "page")[None, :]))
+    roles = [np.array([x["role"] or "" for x in side], dtype=object) for side in (left, right)]
+    value += np.where((roles[0][:, None] == roles[1][None, :]) & (roles[0] != "")[:, None], 0.05, 0.0)
+    for order, most in (("reading_order", 0.05), ("sequence_order", 0.08)):
+        if order in left[0] and order in right[0]:
+            value += np.nan_to_num(most / (1 + np.abs(of(left, order)[:, None] - of(right, order)[None, :])))
+    return value + 2e-6  # for rounding
+
+
+def best_moves(scores: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best total up to every pair of prefixes and the move that leads there: 0 pairs, 1 skips left, 2 skips right; a pairing wins a tie over skipping left, that over skipping right. By diagonals."""
+    m, n = scores.shape
+    best, move = np.zeros((m + 1, n + 1)), np.zeros((m + 1, n + 1), dtype=np.int8)
+    best[1:, 0], best[0, 1:] = -np.cumsum(down), -np.cumsum(across)
+    for d in range(2, m + n + 1):
+        i = np.arange(max(1, d - n), min(m, d - 1) + 1)
+        j = d - i
+        paired, up, side = best[i - 1, j - 1] + scores[i - 1, j - 1], best[i - 1, j] - down[i - 1], best[i, j - 1] - across[j - 1]
+        chosen = (up > paired).astype(np.int8)
+        top = np.where(chosen == 1, up, paired)
+        chosen[side > top] = 2
+        move[i, j], best[i, j] = chosen, np.maximum(side, top)
+    return best, move
+
+
+def pairings(move: np.ndarray) -> list[tuple[int, int]]:
+    """The pairs on the best way, from the end."""
+    i, j = move.shape[0] - 1, move.shape[1] - 1
+    out = []
+    while i and j:
+        if move[i, j] == 0:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        else:
+            i, j = (i - 1, j) if move[i, j] == 1 else (i, j - 1)
+    return out
+
+
+#: Rounds in which only the pairs on the best way are scored, before all that may be on it are.
+ROUNDS = 8
+
+
 def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The best order-keeping pairing of two documents, skips at a cost; a pairing wins a tie over skipping left, that over skipping right. Pairs of too low a score are left out."""
+    """The best order-keeping pairing of two documents, skips at a cost; ties as in best_moves(). Pairs of too low a score are left out.
+
+    Scores start as bounds. The best way by bounds is found, its pairs are scored, and so on until all pairs of the best way are scored: no other way can be better then, as bounds are never below scores, and none wins a tie
+    that it would not have won. After some rounds every pair is scored that lies on a way not known to be worse. So alike documents cost a little more than their length, and others no more than all pairs."""
     none = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "int64") for c in ALIGNED.split(", ")})
     if left.empty or right.empty:
         return none
@@ -57,30 +123,28 @@ def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             ratios[a, b] = 1.0 if a == b else ratio(a, b)
         return ratios[a, b]
 
-    m, n = len(left), len(right)
-    down, across = [skip_cost(x["normal"]) for x in left], [skip_cost(x["normal"]) for x in right]
-    scores = np.array([[score(a, b, known(a["text"], b["text"]), known(a["normal"], b["normal"])) for b in right] for a in left])
-    best = np.zeros((m + 1, n + 1))
-    best[1:, 0], best[0, 1:] = -np.cumsum(down), -np.cumsum(across)
-    move = np.zeros((m + 1, n + 1), dtype=np.int8)
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            options = (best[i - 1, j - 1] + scores[i - 1, j - 1], best[i - 1, j] - down[i - 1], best[i, j - 1] - across[j - 1])
-            move[i, j] = 1 if options[1] > options[0] else 0
-            top = options[move[i, j]]
-            if options[2] > top:
-                move[i, j], top = 2, options[2]
-            best[i, j] = top
-    out, i, j = [], m, n
-    while i and j:
-        if not move[i, j]:
-            i, j = i - 1, j - 1
-            if scores[i, j] >= LEAST_SCORE:
-                out.append((left[i]["pair"], 0, left[i]["idx"], right[j]["idx"], scores[i, j], known(left[i]["comparison"], right[j]["comparison"])))
-        elif move[i, j] == 1:
-            i -= 1
-        else:
-            j -= 1
+    down, across = (np.array([skip_cost(x["normal"]) for x in side]) for side in (left, right))
+    scores = score_bounds(left, right)
+    exact = np.zeros(scores.shape, dtype=bool)
+    least, rounds = -np.inf, 0
+    while True:
+        best, move = best_moves(scores, down, across)
+        way = pairings(move)
+        wanted = [c for c in way if not exact[c]]
+        if not wanted:
+            break
+        rounds += 1
+        if rounds > ROUNDS:
+            back, _ = best_moves(scores[::-1, ::-1], down[::-1], across[::-1])
+            through = best[:-1, :-1] + scores + back[::-1, ::-1][1:, 1:]
+            wanted = list(map(tuple, np.argwhere((through >= least - 1e-9) & ~exact)))
+        for i, j in wanted:
+            a, b = left[i], right[j]
+            scores[i, j], exact[i, j] = score(a, b, known(a["text"], b["text"]), known(a["normal"], b["normal"])), True
+        on_left, on_right = {i for i, _ in way}, {j for _, j in way}
+        total = sum(scores[c] for c in way) - sum(c for k, c in enumerate(down) if k not in on_left) - sum(c for k, c in enumerate(across) if k not in on_right)
+        least = max(least, total)
+    out = [(left[i]["pair"], 0, left[i]["idx"], right[j]["idx"], scores[i, j], known(left[i]["comparison"], right[j]["comparison"])) for i, j in way if scores[i, j] >= LEAST_SCORE]
     if not out:
         return none
     frame = pd.DataFrame(out[::-1], columns=[c.split()[0] for c in ALIGNED.split(", ")])
@@ -99,7 +163,9 @@ def prepared(paragraphs: DataFrame) -> DataFrame:
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """pair, n, left_idx, right_idx, score, similarity; both sides as prepared() gives them."""
-    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(align, ALIGNED)
+    tasks = heavy_tasks(left.sparkSession)
+    dealt = lambda df: df.repartition(tasks, "pair").groupBy("pair")
+    return dealt(left).cogroup(dealt(right)).applyInPandas(align, ALIGNED)
 
 
 def differences(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -30,3 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def heavy_tasks(spark: SparkSession) -> int:
+    """Into how many tasks rows are dealt that cost much more time than bytes: adaptive execution, which goes by bytes, would put many such rows into a few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
