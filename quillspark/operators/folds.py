@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
+from quillspark.session import heavy_tasks
 
 
 OUT_ROWS = 20_000
@@ -43,7 +44,7 @@ def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[obj
         row = namedtuple("row", b.schema.names)
         return map(row._make, zip(*(c.to_pylist() for c in b.columns), strict=True))
 
-    return df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+    return df.where(F.col(key).isNotNull()).repartition(heavy_tasks(df.sparkSession), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def list_runs(lines: DataFrame) -> DataFrame:
