@@ -1,15 +1,10 @@
-"""Generation of missing texts in numbered batches: choose, batch, ask, join back by number, accept.
+"""Generation of missing texts in numbered batches: choose, batch, and, when the batches have been asked, join the recorded answers back by number and accept what is fit.
 
-A generator is a function of a batch (a frame with number, role, hint) that gives an answer's text. The one here is a deterministic stand-in; one that calls a service takes its
-place without any other change, since it runs inside grouped tasks and everything before and after is columns.
+Who is asked is no part of this: batches() goes out as a table, answers come in as one.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +26,8 @@ def batches(items: DataFrame, by: str = "source") -> DataFrame:
     return left.withColumns({"batch": F.floor(F.col("__at") / F.col("__size")).cast("long"), "number": (F.col("__at") % F.col("__size") + 1).cast("int")}).drop("__at", "__size", "__small")
 
 
-def stand_in(batch: pd.DataFrame) -> str:
-    return "```json\n" + json.dumps({"items": [{"number": int(r.number), "alt_text": f"{r.role.title()} {r.number}: {r.hint}"} for r in batch.itertuples()]}) + "\n```"
-
-
-def generated(items: DataFrame, generator: Callable[[pd.DataFrame], str] = stand_in, by: str = "source") -> DataFrame:
-    """by, id, text: what the generator says of every item without text; items that an answer leaves out get none."""
-    asked = batches(items, by).select(by, "batch", "number", "id", "role", F.coalesce("hint", F.lit("")).alias("hint"))
-
-    def ask(batch: pd.DataFrame) -> pd.DataFrame:
-        said = responses.numbered_texts(generator(batch.sort_values("number")))
-        return pd.DataFrame({by: batch[by], "id": batch["id"], "said": [said.get(n) for n in batch["number"]]})
-
-    schema = f"{by} {asked.schema[by].dataType.simpleString()}, id long, said string"
-    answers = asked.groupBy(by, "batch").applyInPandas(ask, schema)
-    return answers.select(by, "id", responses.cleaned(F.col("said")).alias("text")).where("text <> ''")
+def accepted(items: DataFrame, answers: DataFrame, by: str = "source") -> DataFrame:
+    """by, id, text: what recorded answers say of every item without text, cleaned; items that an answer leaves out, or says nothing fit of, get none. answers: by, batch, said (the answer's text, as it came)."""
+    told = answers.select(by, "batch", F.explode(responses.parse(F.col("said"))).alias("x")).select(by, "batch", "x.number", "x.text")
+    asked = batches(items, by).select(by, "batch", "number", "id")
+    return asked.join(told, [by, "batch", "number"]).select(by, "id", responses.cleaned(F.col("text")).alias("text")).where("text <> ''")

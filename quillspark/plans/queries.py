@@ -375,8 +375,12 @@ def generation_batches(spark: SparkSession, d: str) -> DataFrame:
 n as (select l.source, id, role, row_number() over (partition by l.source order by id) - 1 as at_, case when small then 6 else 24 end as size from l join s on s.source = l.source)
 select source, id, upper(role[1]) || role[2:] || ' ' || (at_ % size + 1)::varchar || ': item of ' || source as text from n""")
 def generated_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Missing texts from a deterministic stand-in for a generator, batched, asked, and joined back by number."""
-    return generation.generated(items(spark, d).withColumn("hint", F.concat(F.lit("item of "), "source")))
+    """Missing texts from answers that are kept as a table, one for each batch: fenced JSON that names its items by number, with the openings and quotes that come with it."""
+    rows = items(spark, d)
+    said = F.concat(F.lit('"Alt text: This image shows '), F.initcap("role"), F.lit(" "), F.col("number").cast("string"), F.lit(": item of "), "source", F.lit('"'))
+    asked = generation.batches(rows).select("source", "batch", F.struct("number", said.alias("alt_text")).alias("x"))
+    answers = asked.groupBy("source", "batch").agg(F.concat(F.lit("```json\n"), F.to_json(F.struct(F.sort_array(F.collect_list("x")).alias("items"))), F.lit("\n```")).alias("said"))
+    return generation.accepted(rows, answers)
 
 
 @query()

@@ -88,9 +88,9 @@ def test_answers(answer, expected):
 def test_items_an_answer_leaves_out_get_nothing(spark):
     items = spark.createDataFrame([("s", i, "equation" if i % 2 else "image", "", "h") for i in range(10)], "source string, id long, role string, alt_text string, hint string")
     assert generation.batches(items).select(F.max("number")).first()[0] == 6
-    some = generation.generated(items, lambda batch: "1. only the first")
-    assert sorted(r["id"] for r in some.collect()) == [0, 6]
-    assert generation.generated(items).count() == 10
+    # recorded answers: a list, one that is cut short, and one that talks about itself
+    answers = spark.createDataFrame([("s", 0, "1. only the first one\n2. Alt text: \"The image shows a cat on a mat\""), ("s", 1, "Please provide the image")], "source string, batch long, said string")
+    assert sorted(r["text"] for r in generation.accepted(items, answers).collect()) == ["a cat on a mat", "only the first one"]
 
 
 def test_large_ids_and_missing_documents(spark):
