@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import cut
+
 
 def dedupe_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
     """The first row of each key, in the given order; rows without a key all stay. Pre-aggregated: the winners' order is found by min(),
@@ -125,14 +127,35 @@ def ordered_distinct(df: DataFrame, by: list[str], value: str, order: str) -> Da
     return first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list("f")), lambda x: x[value]).alias("values"))
 
 
+def running_before(df: DataFrame, order: list[str], amount: str, name: str = "before") -> DataFrame:
+    """df with the sum of `amount` over all rows that come before, in the order of columns that name each row. Rows are dealt by ranges and summed up there; between the ranges only their totals are, of which there is one for each."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    dealt = cut(dealt.withColumn("__span", F.shiftright("__at", 33)))
+    totals = dealt.groupBy("__span").agg(F.sum(amount).alias("__total"))
+    earlier = totals.select("__span", (F.sum("__total").over(Window.orderBy("__span")) - F.col("__total")).alias("__earlier"))
+    within = F.sum(amount).over(Window.partitionBy("__span").orderBy("__at")) - F.col(amount)
+    return dealt.join(earlier, "__span").withColumn(name, within + F.col("__earlier")).drop("__at", "__span", "__earlier")
+
+
 def union_with_offsets(sheets: DataFrame, rows: DataFrame) -> DataFrame:
-    """All rows of all sheets below one another, headers kept. sheets: file_no, sheet_no, n_rows (one row for each sheet, so the running sum is over
-    a small table); rows: file_no, sheet_no, row_no, ... Adds out_row."""
-    order = Window.partitionBy(F.lit(0)).orderBy("file_no", "sheet_no")
-    offsets = sheets.select("file_no", "sheet_no", (F.sum("n_rows").over(order) - F.col("n_rows")).alias("offset"))
+    """All rows of all sheets below one another, headers kept. sheets: file_no, sheet_no, n_rows; rows: file_no, sheet_no, row_no, ... Adds out_row."""
+    offsets = running_before(sheets, ["file_no", "sheet_no"], "n_rows", "offset").select("file_no", "sheet_no", "offset")
     return rows.join(offsets, ["file_no", "sheet_no"]).withColumn("out_row", F.col("offset") + F.col("row_no")).drop("offset")
 
 
+def stacked_layout(sheets: DataFrame, layout: DataFrame) -> DataFrame:
+    """kind, top, left, bottom, right, size, hidden: the layout of all sheets below one another. Merged cells, rows with a height and pictures move down by what stands above their sheet; a column is as wide as in the sheet in which it is
+    widest, and hidden if it is in any. layout: file_no, sheet_no, kind (merge, row, picture or column), top, left, bottom, right, size, hidden; what hangs on no cell stays so (null top)."""
+    offsets = running_before(sheets, ["file_no", "sheet_no"], "n_rows", "offset").select("file_no", "sheet_no", "offset")
+    moved = layout.where("kind <> 'column'").join(offsets, ["file_no", "sheet_no"])
+    down = lambda c: (F.col(c) + F.col("offset")).cast("long").alias(c)
+    moved = moved.select("kind", down("top"), F.col("left").cast("long").alias("left"), down("bottom"), F.col("right").cast("long").alias("right"), F.col("size").cast("double").alias("size"), F.coalesce("hidden", F.lit(False)).alias("hidden"))
+    columns = layout.where("kind = 'column'").select(F.explode(F.sequence(F.col("left").cast("long"), F.col("right").cast("long"))).alias("left"), "size", "hidden")  # some thousand columns at most
+    widest = columns.groupBy("left").agg(F.max("size").cast("double").alias("size"), F.coalesce(F.bool_or("hidden"), F.lit(False)).alias("hidden"))
+    none = F.lit(None).cast("long")
+    return moved.unionByName(widest.select(F.lit("column").alias("kind"), none.alias("top"), "left", none.alias("bottom"), F.col("left").alias("right"), "size", "hidden"))
+
+
 def top_per_key(df: DataFrame, by: list[str], score: Column, k: int, *ties: str) -> DataFrame:
     """The k best rows of each key, with their place."""
     order = Window.partitionBy(*by).orderBy(score.desc(), *ties)

@@ -195,6 +195,28 @@ def union_of_sheets(spark: SparkSession, d: str) -> DataFrame:
     return ordered.union_with_offsets(sheets, rows).select("file_no", "sheet_no", "row_no", "out_row", "c1")
 
 
+@query("""with s as (select l_orderkey // 100 as file_no, l_orderkey % 100 as sheet_no, l_linenumber as n, l_partkey as k, l_suppkey as j from lineitem), z as (select file_no, sheet_no, max(n) + 2 as n_rows from s group by all),
+o as (select *, sum(n_rows) over (order by file_no, sheet_no) - n_rows as off from z),
+m as (select case k % 3 when 0 then 'merge' when 1 then 'row' else 'picture' end as kind, case when k % 6 <> 5 then off + n end as top, case when k % 3 <> 1 then j % 20 end as left_, case when k % 6 <> 5 then off + n + case when k % 3 = 0 then 1 else 0 end end as bottom, case when k % 3 <> 1 then j % 20 + 1 end as right_,
+    case when k % 3 = 1 then (k % 40)::double end as size, coalesce(case when j % 5 > 0 then k % 7 = 0 and k % 3 = 1 end, false) as hidden from s join o using (file_no, sheet_no)),
+c as (select unnest(range(j % 20 + 1, j % 20 + n + 1)) as left_, case when k % 4 > 0 then (k % 90)::double end as size, k % 97 = 0 and j % 3 = 0 as hidden from s)
+select kind, top::bigint as top, left_::bigint as "left", bottom::bigint as bottom, right_::bigint as "right", size, hidden from m union all select 'column', null, left_, null, left_, max(size), bool_or(hidden) from c group by left_""")
+def layout_of_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as sheets of merged cells, rows of a height, pictures (some of which hang on no cell) and spans of columns, stacked below one another."""
+    n, k, j = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    rows = table(spark, d, "lineitem").select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("file_no"), (F.col("l_orderkey") % 100).alias("sheet_no"), n.cast("long").alias("n"), k.alias("k"), j.alias("j"))
+    n, k, j = F.col("n"), F.col("k"), F.col("j")
+    sheets = rows.groupBy("file_no", "sheet_no").agg((F.max("n") + 2).alias("n_rows"))
+    kind, anchored = F.when(k % 3 == 0, "merge").when(k % 3 == 1, "row").otherwise("picture"), k % 6 != 5
+    placed = rows.select(
+        "file_no", "sheet_no", kind.alias("kind"), F.when(anchored, n).alias("top"), F.when(k % 3 != 1, j % 20).alias("left"), F.when(anchored, n + F.when(k % 3 == 0, 1).otherwise(0)).alias("bottom"), F.when(k % 3 != 1, j % 20 + 1).alias("right"),
+        F.when(k % 3 == 1, (k % 40).cast("double")).alias("size"), F.when(j % 5 > 0, (k % 7 == 0) & (k % 3 == 1)).alias("hidden"),
+    )
+    none = F.lit(None).cast("long")
+    spans = rows.select("file_no", "sheet_no", F.lit("column").alias("kind"), none.alias("top"), (j % 20 + 1).alias("left"), none.alias("bottom"), (j % 20 + n).alias("right"), F.when(k % 4 > 0, (k % 90).cast("double")).alias("size"), ((k % 97 == 0) & (j % 3 == 0)).alias("hidden"))
+    return ordered.stacked_layout(sheets, placed.unionByName(spans))
+
+
 @query("""with i as (select o_custkey as doc_id, o_orderkey as id, row_number() over (partition by o_custkey order by o_orderkey) as pos, count(*) over (partition by o_custkey) as expected from orders),
 s as (select o_custkey as doc_id, o_orderkey as row_no, case when o_custkey % 2 = 0 or o_orderkey % 3 > 0 then o_orderkey end as item_id, o_orderpriority as text from orders),
 l as (select doc_id, item_id, arg_max(text, row_no) as by_id from s where item_id is not null group by all), k as (select doc_id, count(*) as ids from l group by doc_id),

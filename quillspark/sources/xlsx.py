@@ -137,6 +137,42 @@ def pictures(source: DataFrame) -> DataFrame:
     return source.select("path", "content").mapInArrow(run, PICTURES)
 
 
+LAYOUT = "path string, sheet_no int, kind string, top int, left int, bottom int, right int, size double, hidden boolean"
+
+
+def layout_rows(content: bytes) -> Iterator[tuple]:
+    """sheet_no, kind, top, left, bottom, right, size and hidden of merged cells, rows of a height, and spans of columns of a width; what is only hidden, too."""
+    place = lambda cell: ((m := re.fullmatch("([A-Z]+)([0-9]+)", cell)) and (int(m[2]), column_number(m[1]))) or (None, None)
+    size = lambda x: float(x) if x else None
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names, book = set(archive.namelist()), linked(archive, "xl/workbook.xml")
+        for number, sheet in enumerate(ET.fromstring(archive.read("xl/workbook.xml")).iter(f"{MAIN}sheet"), 1):
+            if book.get(sheet.get(LINK)) not in names:
+                continue
+            for x in ET.fromstring(archive.read(book[sheet.get(LINK)])).iter():
+                hidden = x.get("hidden") in ("1", "true")
+                if x.tag == f"{MAIN}mergeCell":
+                    first, _, last = (x.get("ref") or "").partition(":")
+                    yield number, "merge", *place(first), *place(last or first), None, False
+                elif x.tag == f"{MAIN}col" and (x.get("width") or hidden):
+                    yield number, "column", None, int(x.get("min")), None, int(x.get("max")), size(x.get("width")), hidden
+                elif x.tag == f"{MAIN}row" and x.get("r") and (x.get("ht") or hidden):
+                    yield number, "row", int(x.get("r")), None, int(x.get("r")), None, size(x.get("ht")), hidden
+
+
+def layout(source: DataFrame) -> DataFrame:
+    """How the sheets of workbooks are laid out, as ordered.stacked_layout() takes it."""
+    kinds = (pa.string(), pa.int32(), pa.string(), *[pa.int32()] * 4, pa.float64(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                if rows := [(path.as_py(), *x) for x in layout_rows(content.as_py())]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in LAYOUT.split(", ")])
+
+    return source.select("path", "content").mapInArrow(run, LAYOUT)
+
+
 def with_pictures(book: bytes, placed: list[tuple[int | None, int | None, str, bytes]]) -> bytes:
     """A workbook() with pictures on its sheet: row and column (from 0; None for a place that hangs on no cell), the name of the part, and its content."""
     spaces = f'xmlns:xdr="{DRAWING[1:-1]}" xmlns:a="{BLIP[1:].partition("}")[0]}" xmlns:r="{LINK[1:-3]}"'
@@ -207,5 +243,23 @@ def concatenated(rows: DataFrame) -> DataFrame:
     """Cells of all sheets of all workbooks below one another: out_row, col_no, value; header rows stay."""
     from quillspark.operators.ordered import union_with_offsets
 
-    sheets = rows.groupBy(F.col("path").alias("file_no"), "sheet_no").agg(F.max("row_no").alias("n_rows"))
-    return union_with_offsets(sheets, rows.withColumnRenamed("path", "file_no")).select("file_no", "sheet_no", "out_row", "col_no", "value")
+    return union_with_offsets(sheet_rows(rows), rows.withColumnRenamed("path", "file_no")).select("file_no", "sheet_no", "out_row", "col_no", "value")
+
+
+def sheet_rows(rows: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """file_no, sheet_no, n_rows of cells(), and of layout() where merged cells go further down."""
+    ends = rows.select(F.col("path").alias("file_no"), "sheet_no", F.col("row_no").alias("end"))
+    if placed is not None:
+        ends = ends.unionByName(placed.where("kind = 'merge'").select(F.col("path").alias("file_no"), "sheet_no", F.col("bottom").alias("end")))
+    return ends.groupBy("file_no", "sheet_no").agg(F.max("end").alias("n_rows"))
+
+
+def concatenated_layout(source: DataFrame) -> DataFrame:
+    """The layout of all sheets of all workbooks below one another, pictures included (their rows and columns from 1)."""
+    from quillspark.operators.ordered import stacked_layout
+
+    placed = layout(source)
+    none = F.lit(None).cast("int")
+    at = lambda c: F.when(F.col(c) != UNANCHORED, F.col(c) + 1)
+    hung = pictures(source).select("path", "sheet_no", F.lit("picture").alias("kind"), at("row").alias("top"), at("col").alias("left"), at("row").alias("bottom"), at("col").alias("right"), none.cast("double").alias("size"), F.lit(False).alias("hidden"))
+    return stacked_layout(sheet_rows(cells(source), placed), placed.unionByName(hung).withColumnRenamed("path", "file_no"))

@@ -108,3 +108,16 @@ def test_pictures_of_workbooks(spark):
         ("x", 1, 3, 0, 2, "xl/media/a.png", b"A"), ("x", 1, 1, 1, 0, "xl/media/a.png", b"A"), ("x", 1, 2, 999999, 999999, "xl/media/b.png", b"B"),
     ]
     assert [r["value"] for r in xlsx.cells(spark.createDataFrame([("x", bytearray(book))], "path string, content binary")).collect()] == ["a", "b", "c", "d"]
+
+
+def test_layout_of_workbooks(spark):
+    book = f'<workbook xmlns="{xlsx.MAIN[1:-1]}" xmlns:r="{xlsx.LINK[1:-3]}"><sheets><sheet name="S" sheetId="1" r:id="rId1"/></sheets></workbook>'
+    sheet = f'<worksheet xmlns="{xlsx.MAIN[1:-1]}"><cols><col min="2" max="3" width="12.5"/><col min="4" max="4" hidden="1"/></cols><sheetData><row r="1" ht="20"><c r="A1"><v>1</v></c></row><row r="3" hidden="1"/></sheetData><mergeCells><mergeCell ref="A2:C4"/></mergeCells></worksheet>'
+    raw = package(**{"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": xlsx.BOOK_LINKS, "xl/worksheets/sheet1.xml": sheet})
+    other = xlsx.with_pictures(xlsx.workbook([("x", "y")], hidden_from=2), [(0, 1, "a.png", b"A"), (None, None, "b.png", b"B")])
+    source = spark.createDataFrame([("a", raw), ("b", bytearray(other))], "path string, content binary")
+    got = {tuple(r) for r in xlsx.concatenated_layout(source).collect()}
+    assert got == {
+        ("merge", 2, 1, 4, 3, None, False), ("row", 1, None, 1, None, 20.0, False), ("row", 3, None, 3, None, None, True), ("picture", 5, 2, 5, 2, None, False), ("picture", None, None, None, None, None, False),
+        ("column", None, 1, None, 1, 30.0, False), ("column", None, 2, None, 2, 30.0, True), ("column", None, 3, None, 3, 12.5, False), ("column", None, 4, None, 4, None, True),
+    }
