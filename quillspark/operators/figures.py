@@ -49,13 +49,13 @@ def grown(figures: DataFrame, parts: DataFrame) -> DataFrame:
     """figure, box, joined (how many parts) of each figure when nothing more is in reach. figures: figure, box; parts: figure, kind, box. Null boxes are never in reach."""
     left = cut(parts.where("box is not null").select("figure", "kind", F.col("box").alias("__part")))
     now = cut(figures.select("figure", "box", F.lit(0).cast("long").alias("joined")))
+    done = now.where(F.lit(False))
     while True:
         tried = left.join(now, "figure").withColumn("__in", F.coalesce(belongs(F.col("box"), F.col("__part"), F.col("kind")), F.lit(False)))
         tried = cut(tried.select("figure", "kind", "__part", "__in"))
-        new = tried.where("__in").groupBy("figure").agg(G.union(F.col("__part")).alias("__more"), F.count("*").alias("__n"))
+        new = cut(tried.where("__in").groupBy("figure").agg(G.union(F.col("__part")).alias("__more"), F.count("*").alias("__n")))
+        done = done.unionByName(now.join(new, "figure", "left_anti"))  # what nothing joined is as it will be, and is not looked at again
         if new.isEmpty():
-            return now
-        both = now.join(new, "figure", "left")
-        wider = F.when(F.col("__more").isNull(), F.col("box")).otherwise(G.union_of(F.col("box"), F.col("__more")))
-        now = cut(both.select("figure", wider.alias("box"), (F.col("joined") + F.coalesce("__n", F.lit(0))).alias("joined")))
-        left = tried.where("not __in").drop("__in")
+            return done
+        now = cut(now.join(new, "figure").select("figure", G.union_of(F.col("box"), F.col("__more")).alias("box"), (F.col("joined") + F.col("__n")).alias("joined")))
+        left = tried.where("not __in").join(new, "figure", "left_semi").drop("__in")
