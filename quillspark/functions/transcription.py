@@ -26,6 +26,8 @@ SIGN_CLASS = r"A-Za-z0-9_+\-=/^().,<>≤≥×÷·\s"
 BLANKS = (r"(?<![A-Za-z0-9])(?:_\s*){2,}(?![A-Za-z0-9])", r"(?<![A-Za-z0-9])(?:[-–—]\s*){3,}(?![A-Za-z0-9])")
 BLANK = " ___ "
 EDGES = " \t\r\n,;:"
+#: Without any of these in it, or what they were misread as, a text comes to nothing, so most lines of prose are done with one look.
+HOPEFUL = r"(?i)[0-9=^_\\≤≥×÷·−–—âÂÃ]|-\s*-|fraction|squared|numerator|denominator|plus|minus"
 
 
 def replaced(text: Column, *steps: tuple[str, str]) -> Column:
@@ -73,4 +75,8 @@ def strict_transcription(s: Text) -> Column:
         done = F.btrim(with_blanks(text), F.lit(EDGES))
         return let(done, lambda x: F.when((x != "") & is_equation(x), x).otherwise(""))
 
-    return let(with_blanks(repaired(collapse(s))), lambda text: let(core(text), lambda best: let(spaced(best), finished)))
+    def transcribed(text: Column) -> Column:
+        found = let(with_blanks(repaired(text)), lambda t: let(core(t), lambda best: let(spaced(best), finished)))
+        return F.when(text.rlike(HOPEFUL), found).otherwise("")
+
+    return let(collapse(s), transcribed)
