@@ -47,22 +47,24 @@ def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[obj
     return df.where(F.col(key).isNotNull()).repartition(heavy_tasks(df.sparkSession), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
-def list_runs(lines: DataFrame) -> DataFrame:
+def list_runs(lines: DataFrame, marked: bool = False) -> DataFrame:
     """doc_id, idx, list_id, level, kind, number: typed list markers as lists. A new list begins where its level has none, the kind or template changes, the number is 1
     or doesn't follow; plain or blank lines end all lists, bullets those of their level and deeper, numbers the deeper ones. lines: doc_id, idx, text, numbered
-    (already a real list item: left alone, ends nothing); style and twips too, if the style's name and the indent may deepen a level."""
+    (already a real list item: left alone, ends nothing); style and twips too, if the style's name and the indent may deepen a level. If marked, the marker's
+    template follows, and marker: how many characters it takes."""
     prefix = T.list_prefix("text")
     leading = F.coalesce(prefix["leading"], T.leading_blanks("text"))
     level = T.list_level(leading, "style", F.col("twips")) if "style" in lines.columns else T.indent_level(leading)
     is_bullet = F.coalesce(T.opens_with_bullet("text"), F.lit(False))
     rows = lines.select(
         "doc_id", "idx", F.coalesce("numbered", F.lit(False)).alias("numbered"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"), is_bullet.alias("bullet"),
-        level.cast("int").alias("level"), prefix["kind"].alias("kind"), prefix["template"].alias("template"), T.prefix_number(prefix).alias("number"),
+        level.cast("int").alias("level"), prefix["kind"].alias("kind"), prefix["template"].alias("template"), T.prefix_number(prefix).alias("number"), *([T.after_first_word("text").alias("marker")] if marked else []),
     )
 
     def fold(_: object, mine: list) -> Iterator[tuple]:
         open_lists: dict[int, tuple] = {}
         last_id = 0
+        marks = (lambda r: (r.template, r.marker)) if marked else (lambda r: ())
         for r in mine:
             if r.blank:
                 open_lists.clear()
@@ -70,7 +72,7 @@ def list_runs(lines: DataFrame) -> DataFrame:
                 continue
             elif r.bullet:
                 open_lists = {k: v for k, v in open_lists.items() if k < r.level}
-                yield r.idx, 0, r.level, "bullet", None
+                yield r.idx, 0, r.level, "bullet", None, *marks(r)
             elif r.kind is None:
                 open_lists.clear()
             else:
@@ -80,9 +82,9 @@ def list_runs(lines: DataFrame) -> DataFrame:
                     last_id += 1
                     own = last_id
                 open_lists[r.level] = (r.kind, r.template, r.number, own)
-                yield r.idx, own, int(r.level), r.kind, int(r.number)
+                yield r.idx, own, int(r.level), r.kind, int(r.number), *marks(r)
 
-    return each_document(rows, "doc_id", ["idx"], fold, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, idx long, list_id long, level int, kind string, number long")
+    return each_document(rows, "doc_id", ["idx"], fold, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, idx long, list_id long, level int, kind string, number long" + (", template string, marker int" if marked else ""))
 
 
 def match_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
