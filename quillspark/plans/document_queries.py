@@ -7,7 +7,7 @@ import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,22 +35,23 @@ def made_packages(spark: SparkSession, d: str, marker: Callable[[int], str] = la
         formula = "<m:oMath><m:r><m:t>a=b</m:t></m:r></m:oMath>" if k % 5 == 1 else ""
         return f'<w:p><w:r><w:t xml:space="preserve">{escape(marker(k) + line)}</w:t></w:r>{picture}{formula}</w:p>'
 
-    def build(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            made = []
-            for lines in frame["lines"]:
-                out = io.BytesIO()
-                with zipfile.ZipFile(out, "w") as archive:
-                    archive.writestr("[Content_Types].xml", "<Types/>")
-                    archive.writestr("_rels/.rels", "<Relationships/>")
-                    archive.writestr("word/header1.xml", f"<w:hdr {SPACES}>{paragraph(1, lines[0])}</w:hdr>")
-                    archive.writestr("word/document.xml", f"<w:document {SPACES}><w:body>{''.join(paragraph(k, x) for k, x in enumerate(lines))}</w:body></w:document>")
-                made.append(out.getvalue())
-            yield pd.DataFrame({"path": frame["path"], "content": made})
+    def package(lines: list[str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as archive:
+            archive.writestr("[Content_Types].xml", "<Types/>")
+            archive.writestr("_rels/.rels", "<Relationships/>")
+            archive.writestr("word/header1.xml", f"<w:hdr {SPACES}>{paragraph(1, lines[0])}</w:hdr>")
+            archive.writestr("word/document.xml", f"<w:document {SPACES}><w:body>{''.join(paragraph(k, x) for k, x in enumerate(lines))}</w:body></w:document>")
+        return out.getvalue()
 
-    return rows.mapInPandas(build, "path string, content binary")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = ((path.as_py(), package(lines.as_py())) for batch in batches for path, lines in zip(*batch.columns, strict=True))
+        return docx.in_batches(made, MADE)
 
+    return rows.mapInArrow(build, "path string, content binary")
 
+
+MADE = pa.schema([("path", pa.string()), ("content", pa.binary())])
 LINES_SQL = r"""e as (select doc_id::varchar as path, i - 1 as k, lines[i] as line from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as i
     from (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[^\x0A\x20-\x{D7FF}\x{E000}-\x{FFFD}]', '', 'g'), chr(10)) as lines from documents)))"""
 
@@ -59,14 +60,14 @@ LINES_SQL = r"""e as (select doc_id::varchar as path, i - 1 as k, lines[i] as li
     count(*) filter (where k % 2 = 0) as with_effective_alt_text, count(*) filter (where k % 2 = 1) as without_alt_text from e where k % 3 = 0 group by path""")
 def package_inventory(spark: SparkSession, d: str) -> DataFrame:
     """Packages read, their visual items told from remains, and summed up."""
-    return inventory.summarize(docx.inventory(cut(made_packages(spark, d))), "path")
+    return inventory.summarize(docx.inventory(made_packages(spark, d)), "path")
 
 
 @query(rf"""with {LINES_SQL} select path, 'word/document.xml' as source_part, k::varchar as docpr_id, 'written ' || k as alt_text from e where k % 6 = 0
     union all select path, 'word/document.xml', k::varchar, '' from e where k % 6 = 3""")
 def package_write_back(spark: SparkSession, d: str) -> DataFrame:
     """Texts written to packages and read again; empty ones take the old text away."""
-    made = cut(made_packages(spark, d))
+    made = made_packages(spark, d)
     found = docx.inventory(made)
     new = found.select("path", "source_part", "docpr_id", F.when(F.col("docpr_id").cast("int") % 6 == 0, F.concat(F.lit("written "), "docpr_id")).otherwise("").alias("alt_text"))
     again = docx.inventory(docx.with_texts(made, new).select("path", "content"))
@@ -99,6 +100,7 @@ def package_lists(spark: SparkSession, d: str) -> DataFrame:
     """Typed markers become lists of the word processor; read again, their rendered numbers are what was typed."""
     made = made_packages(spark, d, marker=typed_marker)
     again = docx_repairs.with_lists(made, docx_repairs.typed_lists(docx_repairs.paragraphs(made))).select("path", "content")
+    again = cut(again)  # read for its paragraphs and for its levels, written once
     return rendered_lists(docx_repairs.paragraphs(again), docx.numbering(again))
 
 
