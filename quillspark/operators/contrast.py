@@ -19,6 +19,10 @@ HIGHLIGHTS = {
 }
 
 
+#: Among how many keys runs without a style are dealt.
+DEALT = 4096
+
+
 def resolved_styles(styles: DataFrame, value: str) -> DataFrame:
     """doc_id, style_id and the value it has or inherits; cycles end."""
     key = lambda c: F.when(F.col(c).isNotNull(), F.struct("doc_id", F.col(c).alias("style_id")))
@@ -34,11 +38,16 @@ def effective(runs: DataFrame, styles: DataFrame, default_color: str = "000000",
     """runs with effective_color and ground. A run's own colour counts, else that of the nearest style it names, with nothing further down; the ground is the first of highlight, own shading,
     nested shading, and the shadings of the three styles."""
     colors, grounds = resolved_styles(styles, "color"), resolved_styles(styles, "shading")
+    given = runs.columns
     nearest = F.coalesce("run_style", "para_style", "table_style")
-    runs = runs.withColumn("style_id", nearest).join(colors.withColumnRenamed("color", "__color"), ["doc_id", "style_id"], "left").drop("style_id")
-    for kind in ("run", "para", "table"):
-        named = grounds.select("doc_id", F.col("style_id").alias(f"{kind}_style"), F.col("shading").alias(f"__{kind}"))
-        runs = runs.join(named, ["doc_id", f"{kind}_style"], "left")
+    runs = runs.withColumn("style_id", nearest)
+    looked_up = [("style_id", colors.withColumnRenamed("color", "__color"))]
+    looked_up += [(f"{kind}_style", grounds.select("doc_id", F.col("style_id").alias(f"{kind}_style"), F.col("shading").alias(f"__{kind}"))) for kind in ("run", "para", "table")]
+    for name, known in looked_up:
+        # a run that names no style finds none: its rows are dealt by what they hold, or they would all meet in the task of the missing key
+        runs = runs.withColumn("__deal", F.when(F.col(name).isNull(), F.xxhash64(*given) % DEALT).otherwise(0))
+        runs = runs.join(known.withColumn("__deal", F.lit(0).cast("long")), ["doc_id", name, "__deal"], "left").drop("__deal")
+    runs = runs.drop("style_id")
     runs = runs.withColumn("effective_color", F.coalesce("color", "__color", F.lit(default_color)))
     return runs.withColumn("ground", F.coalesce(highlight(F.col("highlight")), "shading", "nested_shading", "__run", "__para", "__table", F.lit(default_ground))).drop("__color", "__run", "__para", "__table")
 
