@@ -75,3 +75,8 @@ def test_counters_against_a_plain_loop(spark):
             shown = shown.replace(f"%{k + 1}", str(now.get(k)))
         want[d, n] = shown
     assert got == want
+
+
+def test_typed_markers_are_found_once(spark):
+    lines = spark.createDataFrame([("a", 0, "1. x", False)], "doc_id string, idx long, text string, numbered boolean")
+    assert plan_of(folds.list_runs(lines)).count("AS __prefix#") == 1
