@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.columns import let
 from quillspark.functions.text import collapse
 from quillspark.operators.folds import each_document
-from quillspark.session import cut
+from quillspark.session import cut, tasks_for
 
 #: What number words stand for, words that say nothing about a formula's signs, words that end a formula, words of prose, and functions.
 NUMBER_WORDS = {
@@ -39,6 +39,8 @@ FUNCTIONS = (
 )
 SIGNS = r"[=+*/⁄_(){}\[\]|∣·×÷−-]"
 PLAIN_SIGNS = r"[=+\-*/_(){}\[\]|:]"
+#: Up to so many different texts of words, some 300 bytes each, go to all tasks; more are shuffled.
+BROADCAST_TEXTS = 50_000
 #: Limits: gaps between lines of a cluster and between clusters, their overlap, and how far a box may grow.
 LINE_GAP, CLUSTER_GAP, CLUSTER_OVERLAP, GROWTH, GROWTH_COVERED = 0.75, 6.5, 0.12, 1.12, 1.75
 #: Of a search over the whole page: a cluster's gap and overlap, and how far across and down a word may be away.
@@ -79,11 +81,18 @@ def visual_tokens(s: Column) -> Column:
     return let(F.lower(collapse(s)), tokens)
 
 
+def may_run_together(s: Column) -> Column:
+    return F.filter(extracted(F.lower(collapse(s)), "[a-z]{2,4}"), lambda r: ~r.isin(*BREAKS, *PROSE))
+
+
+def met_together(runs: Column, wanted: Column) -> Column:
+    met = F.transform(runs, lambda r: F.array_intersect(r, wanted))
+    return F.array_distinct(F.flatten(F.filter(met, lambda m: F.size(m) >= 2)))
+
+
 def run_together(s: Column, wanted: Column) -> Column:
     """Letters of runs of two to four, if at least two of a run are wanted: xy for x times y."""
-    runs = F.filter(extracted(F.lower(collapse(s)), "[a-z]{2,4}"), lambda r: ~r.isin(*BREAKS, *PROSE))
-    met = F.transform(runs, lambda r: F.array_intersect(F.split(r, ""), wanted))
-    return F.array_distinct(F.flatten(F.filter(met, lambda m: F.size(m) >= 2)))
+    return met_together(F.transform(may_run_together(s), lambda r: F.split(r, "")), wanted)
 
 
 def overlap_tokens(s: Column, wanted: Column) -> Column:
@@ -106,70 +115,86 @@ def is_long_word(s: Column) -> Column:
     return (F.length(letters) >= 3) & ~letters.rlike("^[Pp]")
 
 
-def judged_words(words: DataFrame, described: DataFrame) -> DataFrame:
-    """words with wanted (the item's tokens), met (those a word has), formulaish, breaks, weak (not fit for a segment's edge) and n, its place in the line."""
-    rows = words.join(described.select("item", description_tokens(F.col("description")).alias("wanted")), "item")
-    rows = rows.withColumn("met", overlap_tokens(F.col("text"), F.col("wanted")))
+def judged_texts(texts: DataFrame) -> DataFrame:
+    """What a word says by itself, whatever is looked for: texts (text) with tokens, runs (letters of those that may run together), plain_signs and signs, and what it is where no token asks for it."""
     low = F.lower(collapse("text"))
-    bare = F.size("met") == 0
     letters = F.regexp_replace(low, "[^a-z]", "")
     short = F.length(letters).between(1, 3) & ~letters.isin(*FUNCTIONS)
-    breaks = bare & F.arrays_overlap(extracted(low, "[a-z]+"), words_of(BREAKS))
-    weak = bare & (low != "") & ~low.rlike(r"^[=+\-*/_(){}\[\]|:.]+$") & (short | is_long_word(low))
-    rows = rows.withColumns({"breaks": F.coalesce(breaks, F.lit(False)), "formulaish": is_math_word(F.col("text")) | ~bare, "weak": weak, "math": is_math_word(F.col("text")), "long": is_long_word(F.col("text")) & bare})
+    rows = texts.withColumns({"tokens": visual_tokens(F.col("text")), "runs": F.transform(may_run_together(F.col("text")), lambda r: F.split(r, "")), "math": is_math_word(F.col("text")), "as_long": is_long_word(F.col("text"))})
+    return rows.withColumns({
+        "as_break": F.coalesce(F.arrays_overlap(extracted(low, "[a-z]+"), words_of(BREAKS)), F.lit(False)), "as_weak": (low != "") & ~low.rlike(r"^[=+\-*/_(){}\[\]|:.]+$") & (short | F.col("as_long")),
+        "plain_signs": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(PLAIN_SIGNS)), "signs": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(SIGNS)), "root": low.contains("root"), "square": low.contains("square"),
+    })
+
+
+def judged_words(words: DataFrame, described: DataFrame) -> DataFrame:
+    """words with met (the item's tokens that a word has), formulaish, breaks, weak (not fit for a segment's edge), n (its place in the line), and what its text says. Each text is looked at once, however many words
+    say it; items are dealt to tasks of about the same number of words, however many there are."""
+    known = cut(judged_texts(words.select("text").distinct()))
+    wanted = described.select("item", description_tokens(F.col("description")).alias("wanted"))
+    tasks, told = tasks_for(words), lambda rows, texts: rows.join(texts.withColumnRenamed("text", "__text"), F.col("text").eqNullSafe(F.col("__text"))).drop("__text")
+    small = known.count() <= BROADCAST_TEXTS
+    rows = told(words.repartition(tasks, "item"), F.broadcast(known)) if small else told(words, known).repartition(tasks, "item")
+    rows = rows.join(wanted, "item").withColumn("met", F.array_union(F.array_intersect("tokens", "wanted"), F.when(F.size("runs") > 0, met_together(F.col("runs"), F.col("wanted"))).otherwise(F.array().cast("array<string>"))))
+    bare = F.size("met") == 0
+    rows = rows.withColumns({"breaks": bare & F.col("as_break"), "formulaish": F.col("math") | ~bare, "weak": bare & F.col("as_weak"), "long": bare & F.col("as_long")})
+    rows = rows.withColumn("square", F.col("square") & F.array_contains("wanted", "square")).drop("tokens", "runs", "wanted", "as_break", "as_weak", "as_long")
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("item", "line").orderBy("x0", "y0", "text")))
 
 
-def segments(judged: DataFrame) -> DataFrame:
-    """The formula words of each line with the number of their segment: runs that no other word breaks, less the weak words at the edges of
-    those that have a wanted token. At least one word of a run stays."""
-    line = Window.partitionBy("item", "line").orderBy("n")
+def joined(parts: Column) -> dict[str, Column]:
+    """What words or segments (an array of structs) have together: tokens met, counts and box. A root in one and a square in another are a square root."""
+    each = lambda c: F.transform(parts, lambda x: x[c])
+    any_of = lambda c: F.exists(parts, lambda x: x[c])
+    total = lambda c: F.aggregate(each(c), F.lit(0).cast("long"), lambda a, x: a + x)
+    both = F.when(any_of("root") & any_of("square"), F.array(F.lit("square"))).otherwise(F.array().cast("array<string>"))
+    found = {"met": F.array_union(F.flatten(each("met")), both), "root": any_of("root"), "square": any_of("square")}
+    return found | {c: total(c) for c in ("words", "math_words", "long_words", "plain_signs", "signs")} | {"x0": F.array_min(each("x0")), "y0": F.array_min(each("y0")), "x1": F.array_max(each("x1")), "y1": F.array_max(each("y1"))}
+
+
+def line_parts(judged: DataFrame) -> DataFrame:
+    """item, line, segment, and its words (array of structs, in order): runs of formula words that no other word breaks, less the weak words at the edges of those that have a wanted token. At least one word of a run
+    stays. Under the segment -1 all words of a line that are in no run."""
     rows = judged.withColumn("inside", F.col("formulaish") & ~F.col("breaks"))
-    rows = rows.withColumn("segment", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(line)).where("inside")
-    run = Window.partitionBy("item", "line", "segment")
-    firm = F.when(~F.col("weak"), F.col("n"))
-    met = F.max(F.size("met")).over(run) > 0
-    first, last, end = F.min(firm).over(run), F.max(firm).over(run), F.max("n").over(run)
-    kept = F.when(~met, True).when(first.isNull(), F.col("n") == end).otherwise(F.col("n").between(first, last))
-    return rows.withColumn("kept", kept).where("kept").drop("kept", "inside")
-
-
-def measured(words: DataFrame, *by: str) -> DataFrame:
-    """For each group of words: text, wanted tokens met, strong ones, signs, math words, long words, and the box."""
-    grouped = words.groupBy(*by).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "text"))), lambda x: x["text"]), " ").alias("text"),
-        F.first("wanted").alias("wanted"), F.count("*").alias("words"), F.count_if("math").alias("math_words"), F.count_if("long").alias("long_words"), F.min("n").alias("first"),
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-    )
-    grouped = grouped.withColumn("met", overlap_tokens(F.col("text"), F.col("wanted")))
-    return grouped.withColumns({"overlap": F.size("met"), "strong": F.size(F.filter("met", is_strong)), "signs": F.regexp_count("text", F.lit(PLAIN_SIGNS))})
+    line = Window.partitionBy("item", "line").orderBy("x0", "y0", "text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("segment", F.sum(F.when(F.col("inside"), 0).otherwise(1)).over(line))
+    rows = rows.withColumn("segment", F.when(F.col("inside"), F.col("segment")).otherwise(-1).cast("long"))
+    count = lambda c: F.col(c).cast("long").alias(c)
+    word = F.struct("n", "text", "met", "weak", F.lit(1).cast("long").alias("words"), F.col("math").cast("long").alias("math_words"), F.col("long").cast("long").alias("long_words"), count("plain_signs"), count("signs"), "root", "square", "x0", "y0", "x1", "y1")
+    grouped = rows.groupBy("item", "line", "segment").agg(F.array_sort(F.collect_list(word)).alias("parts"))
+
+    def trimmed(run: Column) -> Column:
+        firm = F.transform(F.filter(run, lambda w: ~w["weak"]), lambda w: w["n"])
+        within = F.when(F.size(firm) == 0, F.slice(run, -1, 1)).otherwise(F.filter(run, lambda w: w["n"].between(F.array_min(firm), F.array_max(firm))))
+        return F.when((F.col("segment") < 0) | ~F.exists(run, lambda w: F.size(w["met"]) > 0), run).otherwise(within)
+
+    return grouped.withColumn("parts", trimmed(F.col("parts")))
 
 
-def segment_stats(judged: DataFrame, inside: DataFrame | None = None) -> DataFrame:
-    """item, line, segment, text, overlap, strong, signs, math_words, long_words, score. inside: the segments(), where they are known."""
-    rows = measured(segments(judged) if inside is None else inside, "item", "line", "segment")
-    return rows.withColumn("score", F.col("overlap") * 6.0 + F.col("strong") * 4.0 + F.col("signs") * 1.5 + F.col("math_words") - F.col("long_words") * 4.0)
+def scored(parts: DataFrame) -> DataFrame:
+    found = parts.withColumns(joined(F.col("parts")))
+    found = found.withColumns({"overlap": F.size("met"), "strong": F.size(F.filter("met", is_strong))})
+    return found.withColumn("score", F.col("overlap") * 6.0 + F.col("strong") * 4.0 + F.col("plain_signs") * 1.5 + F.col("math_words") - F.col("long_words") * 4.0)
 
 
-def line_words(judged: DataFrame) -> DataFrame:
-    """The words of each line that may be the formula's: those of the best segment where it is clearly best, else of all segments, else all words."""
-    known = cut(segments(judged))  # read for the stats and for the words themselves
-    stats = segment_stats(judged, known)
-    order = Window.partitionBy("item", "line").orderBy(F.desc("score"), F.desc("strong"), F.desc("overlap"), "segment")
-    ranked = stats.select("item", "line", "segment", "score", "strong", "overlap").withColumn("place", F.row_number().over(order))
-    nth = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
-    lines = ranked.groupBy("item", "line").agg(
-        nth(1, "segment").alias("best"),
-        ((nth(1, "overlap") > 0) & (F.coalesce(nth(1, "strong") > nth(2, "strong"), F.lit(True)) | (nth(1, "score") >= nth(2, "score") + 3) | (nth(1, "overlap") >= nth(2, "overlap") + 2))).alias("clear"),
-    )
-    lines = cut(lines)
-    inside = known.join(lines, ["item", "line"]).where(~F.col("clear") | (F.col("segment") == F.col("best"))).drop("best", "clear", "segment")
-    return inside.unionByName(judged.join(lines, ["item", "line"], "left_anti"))
+def segment_stats(judged: DataFrame) -> DataFrame:
+    """item, line, segment, first, words, text, met, overlap, strong, signs, math_words, long_words, box and score."""
+    rows = scored(line_parts(judged).where("segment >= 0")).withColumns({"signs": F.col("plain_signs"), "first": F.get("parts", F.lit(0))["n"], "text": F.array_join(F.transform("parts", lambda w: w["text"]), " ")})
+    return rows.drop("parts", "plain_signs", "root", "square")
 
 
 def line_candidates(judged: DataFrame) -> DataFrame:
-    """The lines that may hold the formula, with their stats and score. Lines of prose without a wanted token are none."""
-    rows = measured(line_words(judged), "item", "line").withColumn("signs", F.regexp_count("text", F.lit(SIGNS)))
+    """The lines that may hold the formula, with their stats and score, of the words that may be the formula's: those of the best segment where it is clearly best, else of all segments, else all words.
+    Lines of prose without a wanted token are none."""
+    stats = ("met", "root", "square", "words", "math_words", "long_words", "plain_signs", "signs", "x0", "y0", "x1", "y1")
+    ranked = F.struct((-F.col("score")).alias("less"), (-F.col("strong")).alias("fewer"), (-F.col("overlap")).alias("least"), "segment", *stats)
+    segments = F.col("segments")
+    lines = scored(line_parts(judged)).groupBy("item", "line").agg(F.array_sort(F.collect_list(F.when(F.col("segment") >= 0, ranked))).alias("segments"), F.collect_list(F.when(F.col("segment") < 0, ranked)).alias("rest"))
+    first, second = F.get(segments, F.lit(0)), F.get(segments, F.lit(1))
+    clear = (first["least"] < 0) & (second.isNull() | (first["fewer"] < second["fewer"]) | (first["less"] <= second["less"] - 3) | (first["least"] <= second["least"] - 2))
+    rows = lines.withColumn("parts", F.when(F.size(segments) == 0, F.col("rest")).when(clear, F.slice(segments, 1, 1)).otherwise(segments)).drop("segments", "rest")
+    rows = rows.withColumns(joined(F.col("parts"))).drop("parts")
+    rows = rows.withColumns({"overlap": F.size("met"), "strong": F.size(F.filter("met", is_strong))})
     rows = rows.withColumn("score", F.col("math_words") * 2.0 + F.col("signs") + F.col("overlap") * 3.0 - F.col("long_words") * 2.5)
     long, strong, signs, maths = F.col("long_words"), F.col("strong"), F.col("signs"), F.col("math_words")
     prose = ((long >= 3) & (strong == 0) & (signs < 3)) | ((long >= 2) & (maths <= 2) & (strong == 0) & (signs < 2)) | ((long >= 3) & (F.col("overlap") == 0) & (signs < 2))
@@ -238,8 +263,7 @@ def area(b: Column) -> Column:
 
 def refined(words: DataFrame, described: DataFrame) -> DataFrame:
     """described with its box drawn in to the formula's clusters; it stays as it was where there is none, or where the new one is too much larger."""
-    judged = cut(judged_words(words, described))  # tokens of every word are found once
-    found = cut(covering(clusters(line_candidates(judged)), described))
+    found = cut(covering(clusters(line_candidates(judged_words(words, described))), described))
     new = F.struct("f.x0", "f.y0", "f.x1", "f.y1")
     grown = area(new) / area(F.col("d.box"))
     fits = (area(F.col("d.box")) <= 0) | (grown <= GROWTH) | ((F.col("f.covered") > 0) & (grown <= GROWTH_COVERED))
@@ -253,7 +277,7 @@ def search_words(judged: DataFrame) -> DataFrame:
     letters = F.regexp_replace(low, "[^a-z]", "")
     digit = low.rlike(r"\p{Nd}")
     other = low.isin(*PROSE, *BREAKS) | is_long_word(F.col("text")) | (F.length(letters).between(1, 3) & ~letters.isin(*FUNCTIONS) & ~digit)
-    signs = F.regexp_count("text", F.lit(PLAIN_SIGNS))
+    signs = F.col("plain_signs")
     rows = judged.where(F.col("formulaish") & (low != "") & ((F.size("met") > 0) | ~other))
     return rows.select("item", "line", "n", "met", signs.alias("signs"), ((signs > 0) | digit | (F.length(letters) >= 2)).alias("anchor"), F.filter("met", is_strong).alias("strong_met"), "x0", "y0", "x1", "y1")
 

@@ -156,3 +156,17 @@ def test_located_falls_back_to_words_and_better_places_are_taken(spark):
     assert got[3] == (None, None) and got[4] == (None, None)
     better = {r["item"]: (r["replaced"], tuple(r["box"]) if r["box"] else None) for r in formulas.better_places(words, wanted, found).collect()}
     assert better == {1: (True, (0.0, 0.0, 50.0, 9.0)), 2: (True, (122.0, 0.0, 130.0, 9.0)), 3: (False, None), 4: (False, box)}
+
+
+def test_words_are_dealt_by_their_number_and_texts_judged_once(spark, look, monkeypatch):
+    words, wanted = look("the square root of y", "3 roots", "= squares y", "plain prose words")
+    monkeypatch.setattr(formulas, "tasks_for", lambda df: 7)
+    monkeypatch.setattr(formulas, "BROADCAST_TEXTS", 0)
+    shuffled = formulas.judged_words(words, wanted)
+    assert shuffled.rdd.getNumPartitions() == 7 and "wanted" not in shuffled.columns  # what a task sorts has no descriptions in it
+    monkeypatch.undo()
+    rows = lambda df: sorted(map(str, df.select("item", "line", "n", "text", "met", "breaks", "weak", "formulaish").collect()))
+    assert rows(shuffled) == rows(formulas.judged_words(words, wanted))
+    for r in formulas.segment_stats(formulas.judged_words(words, wanted)).collect():
+        tokens = spark.createDataFrame([(r["text"],)], "t string").select(formulas.overlap_tokens(F.col("t"), formulas.description_tokens(F.lit("the square root of y"))).alias("x")).first()["x"]
+        assert sorted(r["met"]) == sorted(tokens)  # as if the segment's text were looked at
