@@ -310,10 +310,10 @@ def grown_from_words(found: DataFrame) -> DataFrame:
     return each_document(found, "item", ["line", "n"], grow, "item long, words long, x0 double, y0 double, x1 double, y1 double")
 
 
-def located(words: DataFrame, described: DataFrame) -> DataFrame:
+def located(words: DataFrame, described: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """item, way and box of formulas of which nothing but the description is known: where the page's clusters cover it (closer together than in refined()), else where words grow together to it; null where
-    the page has nothing. A box without width or height is none."""
-    judged = cut(judged_words(words, described))
+    the page has nothing. A box without width or height is none. judged: the judged_words(), where they are known."""
+    judged = cut(judged_words(words, described)) if judged is None else judged
     valid = lambda df: df.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     covered = cut(valid(covering(clusters(line_candidates(judged)), described, *SEARCH_CLUSTERS)).select("item", F.lit("clusters").alias("way"), "x0", "y0", "x1", "y1"))
     left = judged.join(covered.select("item"), "item", "left_anti")
@@ -322,25 +322,32 @@ def located(words: DataFrame, described: DataFrame) -> DataFrame:
     return described.select("item").join(both, "item", "left")
 
 
-def box_signals(words: DataFrame, boxes: DataFrame) -> DataFrame:
-    """item, and of the words in its box (with a little room): overlap, strong, signs and math_words. boxes: item, description, box."""
-    b = F.col("box")
-    met = words.join(boxes, "item").where((F.col("x1") >= b["x0"] - 1.5) & (F.col("x0") <= b["x1"] + 1.5) & (F.col("y1") >= b["y0"] - 1.0) & (F.col("y0") <= b["y1"] + 1.0))
-    rows = met.withColumns({"wanted": description_tokens(F.col("description")), "math": is_math_word(F.col("text"))})
-    told = rows.groupBy("item").agg(F.first("wanted").alias("wanted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "x0", "text"))), lambda x: x["text"]), " ").alias("text"), F.count_if("math").alias("math_words"))
-    told = told.withColumn("met", overlap_tokens(F.col("text"), F.col("wanted")))
-    told = told.select("item", F.size("met").alias("overlap"), F.size(F.filter("met", is_strong)).alias("strong"), F.regexp_count("text", F.lit(SIGNS)).alias("signs"), "math_words")
-    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return boxes.select("item").join(told, "item", "left").select("item", *map(none, ("overlap", "strong", "signs", "math_words")))
+def box_signals(judged: DataFrame, boxes: DataFrame, *names: str) -> DataFrame:
+    """item, and for each box named (a struct or null) the overlap, strong, signs and math_words of the words in it (with a little room), under the box's name. judged: judged_words(); all boxes are looked at in one go."""
+    rows = judged.select("item", "met", "signs", "math", "root", "square", "x0", "y0", "x1", "y1").join(boxes.select("item", *names), "item")
+    inside = lambda b: F.coalesce((F.col("x1") >= b["x0"] - 1.5) & (F.col("x0") <= b["x1"] + 1.5) & (F.col("y1") >= b["y0"] - 1.0) & (F.col("y0") <= b["y1"] + 1.0), F.lit(False))
+    told = {}
+    for name in names:
+        here = inside(F.col(name))
+        told[f"{name}_met"] = F.collect_list(F.when(here & (F.size("met") > 0), F.col("met")))
+        told |= {f"{name}_signs": F.sum(F.when(here, F.col("signs"))), f"{name}_math": F.count_if(here & F.col("math")), f"{name}_root": F.max(here & F.col("root")) & F.max(here & F.col("square"))}
+    found = rows.groupBy("item").agg(*[c.alias(name) for name, c in told.items()])
 
+    def signals(name: str) -> Column:
+        met = F.array_union(F.flatten(f"{name}_met"), F.when(F.col(f"{name}_root"), F.array(F.lit("square"))).otherwise(F.array().cast("array<string>")))
+        return F.struct(met.alias("met"), F.coalesce(f"{name}_signs", F.lit(0)).cast("long").alias("signs"), F.col(f"{name}_math").cast("long").alias("math_words"))
 
-def better_places(words: DataFrame, described: DataFrame, searched: DataFrame) -> DataFrame:
+    found = found.select("item", *[signals(name).alias(name) for name in names])
+    values = lambda b: F.struct(F.size(b["met"]).cast("long").alias("overlap"), F.size(F.filter(b["met"], is_strong)).cast("long").alias("strong"), b["signs"].alias("signs"), b["math_words"].alias("math_words"))
+    return found.select("item", *[values(F.col(name)).alias(name) for name in names])
+
+
+def better_places(words: DataFrame, described: DataFrame, searched: DataFrame, judged: DataFrame | None = None) -> DataFrame:
     """described with its box replaced by the one that was searched for (item, box) where that says no less and is smaller: no fewer strong tokens or tokens, about as many signs, mostly within the old box or close to it,
-    and at most 0.92 of its area. A missing box is always replaced."""
-    old = described.select("item", "description", "box")
-    new = old.select("item", "description").join(searched.where("box is not null").select("item", "box"), "item")
-    rows = old.alias("d").join(searched.alias("s"), "item", "left").join(box_signals(words, old.where("box is not null")).alias("a"), "item", "left").join(box_signals(words, new).alias("b"), "item", "left")
-    d, s, A, B = F.col("d.box"), F.col("s.box"), (lambda c: F.coalesce(F.col(f"a.{c}"), F.lit(0))), (lambda c: F.coalesce(F.col(f"b.{c}"), F.lit(0)))
+    and at most 0.92 of its area. A missing box is always replaced. judged: the judged_words(), where they are known."""
+    both = described.select("item", "description", "box").alias("d").join(searched.select("item", F.col("box").alias("found")).alias("s"), "item", "left")
+    rows = both.join(box_signals(judged_words(words, described) if judged is None else judged, both, "box", "found").alias("a"), "item", "left")
+    d, s, A, B = F.col("d.box"), F.col("s.found"), (lambda c: F.coalesce(F.col("a.box")[c], F.lit(0))), (lambda c: F.coalesce(F.col("a.found")[c], F.lit(0)))
     shared = F.greatest(F.lit(0.0), F.least(d["x1"], s["x1"]) - F.greatest(d["x0"], s["x0"])) * F.greatest(F.lit(0.0), F.least(d["y1"], s["y1"]) - F.greatest(d["y0"], s["y0"]))
     away = (F.greatest(F.lit(0.0), d["x0"] - s["x1"], s["x0"] - d["x1"]) > 12) | (F.greatest(F.lit(0.0), d["y0"] - s["y1"], s["y0"] - d["y1"]) > 8)
     says = (B("strong") >= A("strong")) & (B("overlap") >= A("overlap")) & ~((B("signs") + 1 < A("signs")) & (B("overlap") <= A("overlap")))

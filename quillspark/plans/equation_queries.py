@@ -137,8 +137,9 @@ def wrapper_boxes(spark: SparkSession, d: str) -> DataFrame:
 def formula_searches(spark: SparkSession, d: str) -> DataFrame:
     """Formulas looked for by their descriptions alone, and which of the places found are taken instead of the known ones; tests hold the growth against a plain loop."""
     words, wanted = page_words(spark, d), described(spark, d)
-    found = cut(formulas.located(words, wanted))
-    better = formulas.better_places(words, wanted, found)
+    judged = cut(formulas.judged_words(words, wanted))
+    found = cut(formulas.located(words, wanted, judged))
+    better = formulas.better_places(words, wanted, found, judged)
     return found.select("item", "way", F.col("box").alias("found")).join(better, "item").select("item", "way", "replaced", F.col("found.x0").alias("found_x0"), F.col("found.y0").alias("found_y0"), "box.*")
 
 
