@@ -294,3 +294,19 @@ def test_filled(found, expected):
     style_map.filled(items)
     got = items[found.index(None)][1]
     assert (got if got is None else (got[0], got[3], round(got[4][1], 6), round(got[4][3], 6))) == expected
+
+
+def test_texts_held_in_others_are_found_from_few_runs():
+    import random
+    from collections import namedtuple
+
+    rng, block = random.Random(5), namedtuple("block", "normal is_math tokens page y0 y1")
+    whole = ["".join(rng.choice("ab ") for _ in range(rng.randrange(40))).strip() for _ in range(150)]
+    said = whole + [t[i : i + n] for t in whole for i, n in [(rng.randrange(20), rng.randrange(8, 14))]]
+    texts = style_map.Texts([block(t, False, [], 0, 0.0, 0.0) for t in said])
+    for t in (*said, *("".join(rng.choice("ab ") for _ in range(rng.randrange(60))) for _ in range(50))):
+        assert texts.same_texts(t) == sorted({x for x in said if style_map.same(t, x)})
+        assert list(style_map.counts_of(t)) == [t.count(chr(c)) for c in style_map.ALPHABET]
+    long = " ".join(str(rng.random()) for _ in range(500))
+    kept = style_map.Texts([block(long, False, [], 0, 0.0, 0.0)]).holding
+    assert sum(map(len, kept.values())) <= len(long) / style_map.STEP + 1  # not an entry a character
