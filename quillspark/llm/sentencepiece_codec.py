@@ -118,6 +118,12 @@ class PrefixTableCodec:
         known = self.pairs[left << 20 | right] = self.merged("".join(names)) == names
         return known
 
+    def forget(self) -> None:
+        """Lets go of what has been remembered of texts: a worker lives on after its task, and other stages need the memory."""
+        self.cache.clear()
+        self.pairs.clear()
+        self.cached = 0
+
     def known_ids(self, run: str) -> list[int]:
         """The ids of a run of characters that are all pieces. last[e] is the token that ends the encoding of run[:e]."""
         last, pairs = [-1] * (len(run) + 1), self.pairs
@@ -209,9 +215,12 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
-        for piece in text_slices(batches):
-            ids, column = _encoded(codec, piece.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([piece.column(0), column, pa.array([codec.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        try:
+            for piece in text_slices(batches):
+                ids, column = _encoded(codec, piece.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([piece.column(0), column, pa.array([codec.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
+        finally:
+            codec.forget()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

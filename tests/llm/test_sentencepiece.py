@@ -76,3 +76,20 @@ def test_a_full_cache_starts_anew(library, codec, monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "PAIRS", 20)
     text = prose(3, 400)
     assert codec.encode(text).tolist() == library.encode(text, add_eos=True) and len(codec.cache) < 20
+
+
+def test_workers_let_go_of_what_they_remember(spark):
+    from pyspark.sql import functions as F
+
+    def remembered(batches):
+        import pyarrow as pa
+
+        from quillspark.llm import sentencepiece_codec as module
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(c.cache) + len(c.pairs) for c in module._codecs.values())])], ["n"])
+
+    docs = spark.range(200, numPartitions=4).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id").cast("string")).alias("text"))
+    encoded = sentencepiece_codec.encode(docs, PATH)
+    assert encoded.where("size(ids) > 0").count() == 200
+    assert spark.range(8, numPartitions=4).mapInArrow(remembered, "n long").where("n > 0").count() == 0
