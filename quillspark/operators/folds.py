@@ -10,7 +10,9 @@ from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,32 @@ def each_document(df: DataFrame, key: str, order: list[str], fold: Callable[[obj
     return df.where(F.col(key).isNotNull()).repartition(heavy_tasks(df.sparkSession), key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+def changed(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys are others than those of the row before; the first row's are. A null is like a null."""
+    out = np.zeros(rows.num_rows, dtype=bool)
+    out[:1] = True
+    for c in (pa.concat_arrays(rows.column(k).chunks) for k in keys if rows.num_rows):
+        a, b = c.slice(1), c.slice(0, max(0, len(c) - 1))
+        other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        out[1:] |= other | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    return out
+
+
+def whole_documents(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of batches, sorted by key, in tables that part no document: so that folds may run over many documents at once, and hold a batch and a document."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*(x.slice(x.num_rows - 1) for x in held[-1:]), batch])
+        starts = np.flatnonzero(changed(rows, [key]))[1:] - len(held[-1:])  # of documents that begin in the batch, with one before them
+        if len(starts):
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])]).combine_chunks()
+            held, batch = [], batch.slice(starts[-1])
+        if batch.num_rows:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def list_runs(lines: DataFrame, marked: bool = False) -> DataFrame:
     """doc_id, idx, list_id, level, kind, number: typed list markers as lists. A new list begins where its level has none, the kind or template changes, the number is 1
     or doesn't follow; plain or blank lines end all lists, bullets those of their level and deeper, numbers the deeper ones. lines: doc_id, idx, text, numbered
