@@ -12,10 +12,11 @@ from quillspark.functions import geometry as G
 from quillspark.operators import regions, structure
 from quillspark.plans.queries import query
 from quillspark.plans.views import PAGE_WORDS, page_words
-from quillspark.session import table
-from quillspark.sources import content_streams, xlsx
+from quillspark.session import heavy_tasks, table
+from quillspark.sources import content_streams, docx, xlsx
 
 WIDTH, HEIGHT = 612.0, 792.0
+MADE = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -165,14 +166,15 @@ def picture_books(spark: SparkSession, d: str) -> DataFrame:
     """path, content: a workbook for each document, with a row for every line and, on every third, a picture of what the line says; every ninth hangs on no cell."""
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
 
+    def book(said: list[str]) -> bytes:
+        placed = [(None, None, f"p{k}.png", x.encode()) if k % 9 == 0 else (k, k % 4, f"p{k}.png", x.encode()) for k, x in enumerate(said) if k % 3 == 0]
+        return xlsx.pictured(xlsx.workbook_parts([(k, x) for k, x in enumerate(said)]), placed)
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, lines in zip(*batch.columns, strict=True):
-                said = lines.as_py()
-                placed = [(None, None, f"p{k}.png", x.encode()) if k % 9 == 0 else (k, k % 4, f"p{k}.png", x.encode()) for k, x in enumerate(said) if k % 3 == 0]
-                book = xlsx.with_pictures(xlsx.workbook([(k, x) for k, x in enumerate(said)]), placed)
-                yield pa.RecordBatch.from_arrays([pa.array([path.as_py()]), pa.array([book], pa.binary())], ["path", "content"])
+        made = ((path.as_py(), book(lines.as_py())) for batch in batches for path, lines in zip(*batch.columns, strict=True))
+        return docx.in_batches(made, MADE)
 
+    rows = rows.repartition(heavy_tasks(spark), "path")  # a split has many documents, each costly
     return rows.mapInArrow(build, "path string, content binary")
 
 

@@ -1,12 +1,16 @@
 """What pages, their texts and pictures cost as tables grow."""
 
+import io
 import random
+import zipfile
 
 import numpy as np
 import pyarrow as pa
 from test_regions import BOX, plain
 
 from quillspark.operators import folds, regions
+from quillspark.plans import page_queries
+from quillspark.sources import docx, xlsx
 
 
 def plan_of(df):
@@ -61,3 +65,21 @@ def test_texts_are_counted_in_parts(monkeypatch):
     monkeypatch.setattr(regions, "PAIRS", 7)
     parts = regions.texts_within(page, box, of, x, y, chars)
     assert [a.tolist() for a in whole] == [a.tolist() for a in parts] and whole[0].sum() > 0
+
+
+def test_workbooks_with_pictures_are_written_once(spark, sf):
+    """The same pictures as of a workbook that is written and rewritten; pictures and small parts are stored, large ones deflated. Documents are dealt to all cores."""
+    rows, placed = [(k, "line " * 30) for k in range(40)], [(1, 0, "a.png", b"A" * 5000), (None, None, "b.png", b"B"), (0, 2, "a.png", b"A" * 5000)]
+    book = xlsx.pictured(xlsx.workbook_parts(rows), placed)
+    assert list(xlsx.picture_rows(book)) == list(xlsx.picture_rows(xlsx.with_pictures(xlsx.workbook(rows), placed)))
+    assert list(xlsx.cell_rows(book)) == list(xlsx.cell_rows(xlsx.workbook(rows)))
+    with zipfile.ZipFile(io.BytesIO(book)) as archive:
+        kinds = {x.filename: x.compress_type for x in archive.infolist()}
+    assert kinds["xl/media/a.png"] == kinds["_rels/.rels"] == zipfile.ZIP_STORED and kinds["xl/worksheets/sheet1.xml"] == zipfile.ZIP_DEFLATED
+    assert "hashpartitioning(path" in plan_of(page_queries.picture_books(spark, sf))
+
+
+def test_pictures_leave_in_batches_bounded_by_bytes():
+    schema = pa.schema([*((f"c{k}", pa.int32()) for k in range(7)), ("content", pa.binary())])
+    assert [b.num_rows for b in docx.in_batches([(*range(7), b"x")] * 100, schema, content=7)] == [100]
+    assert max(b.num_rows for b in docx.in_batches([(*range(7), b"x" * (1 << 20))] * 20, schema, content=7)) == docx.OUT_BYTES >> 20
