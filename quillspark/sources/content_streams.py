@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.spatial import nearest_within
+from quillspark.session import cut
 
 # The operators of the format.
 SHOWS = ("Tj", "TJ", "'", '"')
@@ -188,8 +189,7 @@ def paint_log(streams: DataFrame, keys: list[str]) -> DataFrame:
         key, state, out, types = None, PageState(), [], None
         for batch in batches:
             types = [batch.schema.field(k).type for k in keys] + [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.string(), *[pa.float64()] * 4]
-            for i in range(batch.num_rows):
-                *now, content = (c[i].as_py() for c in batch.columns)
+            for *now, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now != key:
                     key, state = now, PageState()
                 for row in state.read(content or b""):
@@ -208,7 +208,7 @@ def components(log: DataFrame, keys: list[str], traces: DataFrame | None = None,
     """keys, mcid, kind, x0, y0, x1, y1: each content's boxes, once (to three decimals), in the log's space. names (keys, name): what `Do` may draw; without it, all. traces: keys, trace, the places x, y of its
     glyphs, and its box; a text is its nearest trace within 2.5 points, or nothing."""
     page = F.to_json(F.struct(*keys))
-    log = log.select(*keys, "seq", "kind", F.explode("mcids").alias("mcid"), "name", "x0", "y0", "x1", "y1")
+    log = cut(log.select(*keys, "seq", "kind", F.explode("mcids").alias("mcid"), "name", "x0", "y0", "x1", "y1"))  # else the streams are read again for each of its readers
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     drawn = log.where("kind <> 'text'")
     if names is not None:

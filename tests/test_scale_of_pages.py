@@ -83,3 +83,8 @@ def test_pictures_leave_in_batches_bounded_by_bytes():
     schema = pa.schema([*((f"c{k}", pa.int32()) for k in range(7)), ("content", pa.binary())])
     assert [b.num_rows for b in docx.in_batches([(*range(7), b"x")] * 100, schema, content=7)] == [100]
     assert max(b.num_rows for b in docx.in_batches([(*range(7), b"x" * (1 << 20))] * 20, schema, content=7)) == docx.OUT_BYTES >> 20
+
+
+def test_streams_are_read_once(spark, sf):
+    """What reads the log several times reads rows that are there, not the streams again."""
+    assert "MapInArrow" not in plan_of(page_queries.page_content(spark, sf))
