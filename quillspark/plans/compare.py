@@ -1,12 +1,13 @@
 """Comparison of two documents: ordered alignment, differences, reflow runs.
 
-Paragraphs: pair (of documents), idx, text, page, x_norm, y_norm, role. A pair's two sides meet in one grouped task; the alignment table grows with the
-product of their paragraphs, not with the collection.
+Paragraphs: pair (of documents), idx, text, page, x_norm, y_norm, role. A task streams through its pairs and holds the two sides of one at a time; the
+alignment table grows with the product of their paragraphs, not with the collection.
 """
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,20 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import ordered
-from quillspark.session import heavy_tasks
+from quillspark.functions.likeness import ratio
+from quillspark.operators import folds, ordered
 
 ALIGNED = "pair long, n long, left_idx long, right_idx long, score double, similarity double"
 LEAST_SCORE = 0.45
-#: Where elements without a place in an order stand.
+#: By what paragraphs are put in order, and where those without a place in an order stand.
+READ = ("sequence_order", "page", "reading_order", "y_norm", "x_norm", "idx")
 LAST = 10**9
 
 
-def ratio(a: str, b: str) -> float:
-    """difflib's ratio; the order of the arguments matters."""
-    return SequenceMatcher(None, a, b).ratio()
-
-
 def score(a: pd.Series, b: pd.Series, raw: float, normal: float) -> float:
     near = lambda c: 1 - min(abs(a[c] - b[c]), 1)
     value = 0.34 * raw + 0.46 * normal + 0.12 * near("y_norm") + 0.05 * near("x_norm") + 0.02 * near("doc_y") + 0.01 / (1 + abs(a["page"] - b["page"]))
@@ -45,13 +42,11 @@ def skip_cost(normal: str) -> float:
 
 def ratio_bounds(left: list[str], right: list[str]) -> np.ndarray:
     """What no ratio can exceed: twice the characters that both have, over all of them. Equal texts have 1, and no bound is below the ratio."""
-    place = {c: k for k, c in enumerate(sorted(set("".join(left + right))))}
-    counts = []
-    for texts in (left, right):
-        mine = np.zeros((len(texts), max(1, len(place))), dtype=np.int32)
-        for k, text in enumerate(texts):
-            np.add.at(mine[k], [place[c] for c in text], 1)
-        counts.append(mine)
+    codes = np.frombuffer("".join(left + right).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    place = np.cumsum(np.bincount(codes, minlength=1) > 0) - 1  # of each code point that occurs
+    width, lengths = max(1, int(place[-1]) + 1), [len(x) for x in left + right]
+    cells = np.repeat(np.arange(len(lengths)) * width, lengths) + place[codes]
+    counts = np.split(np.bincount(cells, minlength=len(lengths) * width).reshape(-1, width).astype(np.int32), [len(left)])
     sizes = [x.sum(axis=1) for x in counts]
     shared = np.stack([np.minimum(row, counts[1]).sum(axis=1) for row in counts[0]])  # a row of pairs at a time
     total = sizes[0][:, None] + sizes[1][None, :]
@@ -72,11 +67,17 @@ def score_bounds(left: list[dict], right: list[dict]) -> np.ndarray:
     return value + 2e-6  # for rounding
 
 
+#: Cells of a table for each of its diagonals up to which Python is quicker than numpy.
+SHORT = 50
+
+
 def best_moves(scores: np.ndarray, down: np.ndarray, across: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The best total up to every pair of prefixes and the move that leads there: 0 pairs, 1 skips left, 2 skips right; a pairing wins a tie over skipping left, that over skipping right. By diagonals."""
+    """The best total up to every pair of prefixes and the move that leads there: 0 pairs, 1 skips left, 2 skips right; a pairing wins a tie over skipping left, that over skipping right. By diagonals, or cell by cell where those are too short to pay."""
     m, n = scores.shape
     best, move = np.zeros((m + 1, n + 1)), np.zeros((m + 1, n + 1), dtype=np.int8)
     best[1:, 0], best[0, 1:] = -np.cumsum(down), -np.cumsum(across)
+    if m * n <= SHORT * (m + n):
+        return moves_by_cell(scores, down, across, best, move)
     for d in range(2, m + n + 1):
         i = np.arange(max(1, d - n), min(m, d - 1) + 1)
         j = d - i
@@ -84,10 +85,24 @@ def best_moves(scores: np.ndarray, down: np.ndarray, across: np.ndarray) -> tupl
         chosen = (up > paired).astype(np.int8)
         top = np.where(chosen == 1, up, paired)
         chosen[side > top] = 2
-        move[i, j], best[i, j] = chosen, np.maximum(side, top)
+        move[i, j], best[i, j] = chosen, np.where(chosen == 2, side, top)
     return best, move
 
 
+def moves_by_cell(scores: np.ndarray, down: np.ndarray, across: np.ndarray, best: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    totals, moves, costs = best.tolist(), move.tolist(), across.tolist()
+    for i, (line, skip) in enumerate(zip(scores.tolist(), down.tolist(), strict=True)):
+        above, here, chosen = totals[i], totals[i + 1], moves[i + 1]
+        for j, (paired, cost) in enumerate(zip(line, costs, strict=True)):
+            top, step = above[j] + paired, 0
+            if (up := above[j + 1] - skip) > top:
+                top, step = up, 1
+            if (side := here[j] - cost) > top:
+                top, step = side, 2
+            here[j + 1], chosen[j + 1] = top, step
+    return np.array(totals), np.array(moves, dtype=np.int8)
+
+
 def pairings(move: np.ndarray) -> list[tuple[int, int]]:
     """The pairs on the best way, from the end."""
     i, j = move.shape[0] - 1, move.shape[1] - 1
@@ -105,17 +120,34 @@ def pairings(move: np.ndarray) -> list[tuple[int, int]]:
 ROUNDS = 8
 
 
+def in_order(rows: list[dict]) -> list[dict]:
+    """Paragraphs as they are read: numbers that are missing come last, orders that are missing stand at LAST."""
+
+    def place(x: dict) -> list[tuple]:
+        values = [LAST if c.endswith("_order") and missing(x[c]) else x[c] for c in READ if c in x]
+        return [(True, 0) if missing(v) else (False, v) for v in values]
+
+    return sorted(rows, key=place)
+
+
+def missing(value: float | None) -> bool:
+    return value is None or math.isnan(value)
+
+
 def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """The best order-keeping pairing of two documents, skips at a cost; ties as in best_moves(). Pairs of too low a score are left out.
+    """way_of() for one pair of documents as frames."""
+    rows = [(x["pair"], *found) for x in left[:1].to_dict("records") for found in way_of(left.to_dict("records"), right.to_dict("records"))]
+    return pd.DataFrame({c.split()[0]: pd.Series([x[k] for x in rows], dtype="float64" if c.endswith("double") else "int64") for k, c in enumerate(ALIGNED.split(", "))})
+
+
+def way_of(left: list[dict], right: list[dict]) -> Iterator[tuple]:
+    """The best order-keeping pairing of two documents, skips at a cost; ties as in best_moves(): n, left_idx, right_idx, score, similarity. Pairs of too low a score are left out.
 
     Scores start as bounds. The best way by bounds is found, its pairs are scored, and so on until all pairs of the best way are scored: no other way can be better then, as bounds are never below scores, and none wins a tie
     that it would not have won. After some rounds every pair is scored that lies on a way not known to be worse. So alike documents cost a little more than their length, and others no more than all pairs."""
-    none = pd.DataFrame({c.split()[0]: pd.Series(dtype="float64" if c.endswith("double") else "int64") for c in ALIGNED.split(", ")})
-    if left.empty or right.empty:
-        return none
-    order = [c for c in ("sequence_order", "page", "reading_order", "y_norm", "x_norm", "idx") if c in left]
-    last = {c: LAST for c in order if c.endswith("_order")}
-    left, right = (x.loc[x[order].fillna(last).sort_values(order, kind="stable").index].to_dict("records") for x in (left, right))
+    if not left or not right:
+        return
+    left, right = in_order(left), in_order(right)
     ratios: dict[tuple[str, str], float] = {}
 
     def known(a: str, b: str) -> float:
@@ -137,19 +169,16 @@ def align(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if rounds > ROUNDS:
             back, _ = best_moves(scores[::-1, ::-1], down[::-1], across[::-1])
             through = best[:-1, :-1] + scores + back[::-1, ::-1][1:, 1:]
-            wanted = list(map(tuple, np.argwhere((through >= least - 1e-9) & ~exact)))
+            wanted = [(i, j) for j, i in np.argwhere(((through >= least - 1e-9) & ~exact).T).tolist()]  # by right texts
         for i, j in wanted:
             a, b = left[i], right[j]
             scores[i, j], exact[i, j] = score(a, b, known(a["text"], b["text"]), known(a["normal"], b["normal"])), True
         on_left, on_right = {i for i, _ in way}, {j for _, j in way}
         total = sum(scores[c] for c in way) - sum(c for k, c in enumerate(down) if k not in on_left) - sum(c for k, c in enumerate(across) if k not in on_right)
         least = max(least, total)
-    out = [(left[i]["pair"], 0, left[i]["idx"], right[j]["idx"], scores[i, j], known(left[i]["comparison"], right[j]["comparison"])) for i, j in way if scores[i, j] >= LEAST_SCORE]
-    if not out:
-        return none
-    frame = pd.DataFrame(out[::-1], columns=[c.split()[0] for c in ALIGNED.split(", ")])
-    frame["n"] = range(len(frame))
-    return frame
+    kept = [c for c in way[::-1] if scores[c] >= LEAST_SCORE]
+    for n, (i, j) in enumerate(kept):
+        yield n, left[i]["idx"], right[j]["idx"], float(scores[i, j]), known(left[i]["comparison"], right[j]["comparison"])
 
 
 def prepared(paragraphs: DataFrame) -> DataFrame:
@@ -163,9 +192,15 @@ def prepared(paragraphs: DataFrame) -> DataFrame:
 
 def aligned(left: DataFrame, right: DataFrame) -> DataFrame:
     """pair, n, left_idx, right_idx, score, similarity; both sides as prepared() gives them."""
-    tasks = heavy_tasks(left.sparkSession)
-    dealt = lambda df: df.repartition(tasks, "pair").groupBy("pair")
-    return dealt(left).cogroup(dealt(right)).applyInPandas(align, ALIGNED)
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(math.nan)).alias(c)
+    places, texts = ("page", "x_norm", "y_norm", "doc_y"), ["idx", "text", "role", "normal", "comparison", *[c for c in READ if c.endswith("_order") and c in left.columns and c in right.columns]]
+    side = lambda df, k: df.select("pair", F.lit(k).alias("side"), *texts, *map(number, places))
+
+    def fold(_: int, rows: list) -> Iterator[tuple]:
+        found = [x._asdict() for x in rows]
+        return way_of([x for x in found if x["side"] == 0], [x for x in found if x["side"] == 1])
+
+    return folds.each_document(side(left, 0).unionByName(side(right, 1)), "pair", ["side"], fold, ALIGNED)
 
 
 def differences(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
