@@ -80,9 +80,11 @@ def list_runs(lines: DataFrame, marked: bool = False) -> DataFrame:
     or doesn't follow; plain or blank lines end all lists, bullets those of their level and deeper, numbers the deeper ones. lines: doc_id, idx, text, numbered
     (already a real list item: left alone, ends nothing); style and twips too, if the style's name and the indent may deepen a level. If marked, the marker's
     template follows, and marker: how many characters it takes."""
+    lines = lines.withColumn("text", T.opening("text"))  # all that a marker is told from, however long the line
     lines = lines.withColumn("__prefix", T.list_prefix("text"))  # read by several columns, found once
     prefix = F.col("__prefix")
-    leading = F.coalesce(prefix["leading"], T.leading_blanks("text"))
+    lines = lines.withColumn("__leading", F.coalesce(prefix["leading"], T.leading_blanks("text")))
+    leading = F.col("__leading")
     level = T.list_level(leading, "style", F.col("twips")) if "style" in lines.columns else T.indent_level(leading)
     is_bullet = F.coalesce(T.opens_with_bullet("text"), F.lit(False))
     rows = lines.select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
@@ -16,18 +17,17 @@ from quillspark.functions import geometry as G
 from quillspark.operators import anchors, inventory, numbering
 from quillspark.plans.queries import query
 from quillspark.plans.views import BOXES_SQL, COLOURS_SQL, ELEMENTS_SQL, ITEMS_SQL, OPENING_PHRASES, PHRASES_SQL, _sql_list, boxes, colours, elements, items, phrases
-from quillspark.session import cut, table
+from quillspark.session import heavy_tasks, table
 from quillspark.sources import docx, docx_repairs
 
 SPACES = " ".join(f'xmlns:{k}="{v}"' for k, v in docx.NS.items() if k != "pr")
 #: Every line of a document becomes a paragraph of its package: every third has a picture, every fifth a formula; the first is the header, too.
-XML_SAFE = r"[^\x20-퟿-�]"
+NOT_XML = re.compile("[^\n\x20-퟿-�]")
 
 
 def made_packages(spark: SparkSession, d: str, marker: Callable[[int], str] = lambda k: "") -> DataFrame:
     """path, content: a package for each document, built in the tasks; its paragraphs may have typed markers."""
-    lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), XML_SAFE.replace(r"\x20", r"\x0A\x20"), ""), "\n")
-    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), lines.alias("lines"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
     def paragraph(k: int, line: str) -> str:
         said = "" if k % 2 else f' descr="picture {k}"'
@@ -45,9 +45,10 @@ def made_packages(spark: SparkSession, d: str, marker: Callable[[int], str] = la
         return out.getvalue()
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = ((path.as_py(), package(lines.as_py())) for batch in batches for path, lines in zip(*batch.columns, strict=True))
+        made = ((path.as_py(), package(NOT_XML.sub("", text.as_py()).split("\n"))) for batch in batches for path, text in zip(*batch.columns, strict=True))
         return docx.in_batches(made, MADE)
 
+    rows = rows.repartition(heavy_tasks(spark), "path")  # a row group has many documents, each costly
     return rows.mapInArrow(build, "path string, content binary")
 
 
@@ -98,17 +99,21 @@ def typed_marker(k: int) -> str:
     union all select path, max(k) + 1, true, '(a)', md5(regexp_replace(arg_min(line, k), '^\s+', '')) from e group by path""")
 def package_lists(spark: SparkSession, d: str) -> DataFrame:
     """Typed markers become lists of the word processor; read again, their rendered numbers are what was typed."""
-    made = made_packages(spark, d, marker=typed_marker)
+    made = made_packages(spark, d, marker=typed_marker).repartition(heavy_tasks(spark), "path")  # as they are dealt for writing, so that they are made once for both readers
     again = docx_repairs.with_lists(made, docx_repairs.typed_lists(docx_repairs.paragraphs(made))).select("path", "content")
-    again = cut(again)  # read for its paragraphs and for its levels, written once
-    return rendered_lists(docx_repairs.paragraphs(again), docx.numbering(again))
+    return numbered_items(*docx_repairs.items_and_levels(again))
 
 
 def rendered_lists(items: DataFrame, levels: DataFrame) -> DataFrame:
+    digest = F.md5(F.col("text").cast("binary")).alias("digest")
+    return numbered_items(items.where("num_id is not null").select("doc_id", "idx", "num_id", "level", digest), levels, numbering.LEVELS)
+
+
+def numbered_items(items: DataFrame, levels: DataFrame, deepest: int) -> DataFrame:
     key = F.concat_ws("/", "doc_id", "num_id")
     spec = levels.select(F.concat_ws("/", "path", "num_id").alias("num_id"), F.col("ilvl").cast("int").alias("level"), F.col("lvl_text").alias("template"), F.col("num_fmt").alias("format"), "start", F.lit(None).cast("int").alias("first"))
-    found = numbering.numbered(items.where("num_id is not null").withColumn("num_id", key), spec, ["doc_id"], ["idx"])
-    return found.select(F.col("doc_id").alias("path"), "idx", (F.col("prefix") != docx_repairs.BULLET).alias("numbered"), "prefix", F.md5(F.col("text").cast("binary")).alias("digest"))
+    found = numbering.numbered(items.withColumn("num_id", key), spec, ["doc_id"], ["idx"], deepest)
+    return found.select(F.col("doc_id").alias("path"), "idx", (F.col("prefix") != docx_repairs.BULLET).alias("numbered"), "prefix", "digest")
 
 
 def box_key():
